@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licences, pieces, quality, secrets, tokenids
+from . import html, licences, pieces, quality, secrets, tokenids, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -45,5 +50,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op3_sentencepiece, op5_token_files, op7_quality_rules, op9_html_extraction, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op5_token_files, op7_quality_rules, op9_html_extraction, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
