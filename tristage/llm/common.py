@@ -58,8 +58,11 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package also where PYTHONPATH doesn't hold it."""
-    sc = spark.sparkContext
+    """Let Python workers import this package also where PYTHONPATH doesn't hold it; keep their batches small, as
+    texts may be long."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or sc.applicationId in _SHIPPED:
         return
     out = Path(tempfile.mkdtemp()) / "tristage.zip"
@@ -75,3 +78,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS), "")
 
 
+
+
+#: A table of at most so many short rows may be broadcast (tens of MB); larger ones are joined by a shuffle.
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, to be broadcast if a count shows that it is small. df should be a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

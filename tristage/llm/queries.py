@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licences, pieces, quality, secrets, tokenids, warc
+from . import html, licences, minhash, pieces, quality, secrets, tokenids, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
@@ -50,5 +54,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op5_token_files, op7_quality_rules, op9_html_extraction, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op4_minhash, op5_token_files, op7_quality_rules, op9_html_extraction, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}

@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, scratch, ship
+from .common import save, scratch, ship, small
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
-#: A table of at most so many rows (under 100 bytes each) may be broadcast; larger ones are joined by a shuffle.
-SMALL = 100_000
 #: Digits of base 32, Java's and the standard's.
 _JAVA, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -40,14 +38,6 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), _JAVA, _BASE32)
 
 
-def fits(df: DataFrame, rows: int = SMALL) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if fits(df) else df
-
-
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages with payload, payload_digest, payload_bytes, record_type and refers_to.
 
