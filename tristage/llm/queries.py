@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licences, minhash, pieces, quality, secrets, tokenids, warc
+from . import decontaminate, html, licences, lines, minhash, pieces, quality, secrets, tokenids, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -58,5 +62,5 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op4_minhash, op5_token_files, op7_quality_rules, op8_decontamination, op9_html_extraction, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op4_minhash, op5_token_files, op6_line_dedup, op7_quality_rules, op8_decontamination, op9_html_extraction, op10_secret_scans)}
 ORACLE_SQL: dict[str, str] = {}
