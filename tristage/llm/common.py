@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
-_SCRATCH: list[str] = []
+_TRACKS: list[list[str]] = []
 
 #: Java's and Python's form of one word without white space (space, tab to carriage return).
 WS = "[\\x20\\x09-\\x0D]+"
@@ -34,7 +36,8 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/tristage-checkpoints"
     path = f"{base}/tristage-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    for paths in _TRACKS:
+        paths.append(path)
     return path
 
 
@@ -46,10 +49,15 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that save() made so far; only for callers whose results are already written."""
-    while _SCRATCH:
-        drop(spark, _SCRATCH.pop())
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The folders that scratch() makes meanwhile, for a caller who later drops them."""
+    paths: list[str] = []
+    _TRACKS.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKS.remove(paths)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -28,37 +28,75 @@ STEP = 64
 #: Longest code in bits, unless the ids in use need more.
 LIMIT = 16
 KEEP = 600_000
+#: Marks that a unit often ends with.
+MARKS = ".,!?;:%&$*#|)"
 
 
 class Tokens(dict):
-    """word (after a space, or beginning with a line feed) -> bytes of its ids; KEEP of them."""
+    """unit -> bytes of its ids, KEEP of them. A unit is a word with the space before it (kept without that space),
+    or a line feed with the word after it; None for a unit that must not be taken out of its text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks: dict[str, bytes] = {}
+        self.feed = self.ids("\n")
+        self.apart = len(self.feed) == self.width and self.ids("a\n b\nc") == b"".join(map(self.ids, ("a", "\n", " b", "\n", "c")))
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEEP:
+    def learn(self, units: set[str]) -> None:
+        """Encode new units in two long texts: single spaces and line feeds always end a pre-token, so the ids of the
+        line feeds between them tell the units apart."""
+        if len(self) + len(units) > KEEP:
             self.clear()
-        out = self[word] = self.ids(word if word[0] == "\n" else " " + word)
+        whole, ending = set(), []
+        for u in units:
+            word = u[1:] if u[:1] == "\n" else u
+            if word.split() != [word] or any(s in word for s in self.special):
+                self[u] = None
+            elif (stem := u.rstrip(MARKS)) != u and stem[-1:].isalpha():  # marks after a letter are a pre-token
+                ending.append((u, stem, u[len(stem) :]))
+                whole.add(stem)
+            else:
+                whole.add(u)
+        whole.difference_update(self)
+        for some, glue in (([u for u in whole if u[:1] != "\n"], "\n "), ([u for u in whole if u[:1] == "\n"], "")):
+            if some:
+                text = glue + glue.join(some) + "\n" if glue else "".join(some) + "\n"
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+                cuts = np.flatnonzero(ids == np.frombuffer(self.feed, self.kind)[0])
+                data = ids.tobytes()
+                skip = self.width if glue else 0  # a line feed is the glue there, and part of the unit here
+                for u, a, b in zip(some, (cuts[:-1] * self.width).tolist(), (cuts[1:] * self.width).tolist(), strict=True):
+                    self[u] = data[a + skip : b]
+        for u, stem, marks in ending:
+            if marks not in self.marks:
+                self.marks[marks] = self.ids(marks)
+            self[u] = self[stem] + self.marks[marks]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts. A text with other white space than single spaces and line feeds, or with a special
+        token, goes to the tokenizer as it is."""
+        units = [("\n" + t.replace("\n", " \n")).split(" ") if t and self.apart else () for t in texts]
+        new = set().union(*units)
+        new.difference_update(self)
+        if new:
+            self.learn(new)
+        out = []
+        for text, parts in zip(texts, units, strict=True):
+            try:
+                out.append(b"".join([self[u] for u in parts])[self.width :] if parts else self.ids(text or ""))
+            except (TypeError, KeyError):  # a None among them, or more units in these texts than are kept
+                out.append(self.ids(text))
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text. Single spaces and line feeds always end a pre-token, so between them words are
-        encoded apart; a text with other white space, or with a special token, goes to the tokenizer as it is."""
-        text = text or ""
-        plain = text.replace("\n", " ").split(" ")
-        if plain != text.split() or any(s in text for s in self.special):
-            return self.ids(text) if text else b""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.ids(first) + b"".join([self[w] for w in rest])
-
 
 _LOADED: dict[str, Tokens] = {}
 
@@ -76,11 +114,10 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(tokenizer_path)
-        end, narrow = np.array([END], "<u4").tobytes(), tokens.tokenizer.get_vocab_size() <= 1 << 16
+        end = np.array([END], tokens.kind).tobytes()
         for batch in batches:
-            ids = [np.frombuffer(tokens.encode(t) + end, "<u4") for t in batch.column("text").to_pylist()]
-            data = [x.astype("<u2").tobytes() if narrow else x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            data = [x + end for x in tokens.encode(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // tokens.width for x in data], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
