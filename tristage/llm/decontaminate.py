@@ -174,7 +174,7 @@ class Index:
         return [(i, key, d, at) for (i, key), (d, at) in sorted(best.items())]
 
 
-_INDEX: dict[int, Index] = {}
+_INDEX: dict[tuple[int, float], Index] = {}
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
@@ -194,7 +194,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFra
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key = (sent.id, edits)
+            key = (hash(tuple(sent.value)), edits)
             if key not in _INDEX:
                 _INDEX.clear()
                 _INDEX[key] = Index(sent.value, edits)
