@@ -100,9 +100,9 @@ def removed(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
     """doc_id, pos (from 0) of the lines that match an earlier one."""
     rank = ranks(docs, size)
     line = F.col("line")
-    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), token_set(line, rank, size).alias("set")).where(F.size("set") > 0)
+    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), token_set(line, rank, size).alias("set"))
     n = F.size("set")
-    found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")), "lines")
+    found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")), "lines").where("n > 0")
     rows = found.select(F.struct("doc_id", "pos", "h1").alias("id"), "h1", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("token", "h1").orderBy("id"))).where("_r = 1").drop("_r", "h1")
     with_token = Window.partitionBy("token").orderBy("id")
