@@ -36,7 +36,7 @@ def _stage(f: Callable) -> Callable:
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go."""
-    return quality.quality(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 @_stage

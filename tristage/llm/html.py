@@ -13,6 +13,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import ship
 
@@ -189,5 +190,5 @@ def main_text(pages: DataFrame) -> DataFrame:
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "html"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[*(n for n, _ in rest), "text", "n_chars"])
 
-    schema = pages.drop("html").schema.add("text", "string").add("n_chars", "long")
-    return pages.mapInArrow(run, schema)
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    return pages.mapInArrow(run, StructType([*kept, StructField("text", StringType()), StructField("n_chars", LongType())]))

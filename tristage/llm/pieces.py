@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .common import ship
 
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             new = [pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "binary").add("decoded", "string"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("decoded", StringType())]))
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:

@@ -107,3 +107,11 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
     out = m.withColumn("score", F.when(n > 0, total(ratios) / n).otherwise(F.lit(0.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).drop("_h")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept. They pass by a generator, as a filter would be pushed below the measures and
+    have them computed again for each place where it uses them."""
+    out = quality(docs, labels, **options)
+    once = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return out.select(*docs.columns, F.explode(once).alias("_once")).drop("_once")
