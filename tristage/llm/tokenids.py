@@ -27,13 +27,16 @@ BLOCK = 1 << 16
 STEP = 64
 #: Longest code in bits, unless the ids in use need more.
 LIMIT = 16
-KEEP = 600_000
+#: Units that a worker keeps; units beyond are encoded again in each batch of texts that holds them.
+KEEP = 700_000
+#: Units that are encoded in one text.
+PART = 8192
 #: Marks that a unit often ends with.
 MARKS = ".,!?;:%&$*#|)"
 
 
 class Tokens(dict):
-    """unit -> bytes of its ids, KEEP of them. A unit is a word with the space before it (kept without that space),
+    """unit -> bytes of its ids: what the texts at hand hold, and at least the first KEEP. A unit is a word with the space before it (kept without that space),
     or a line feed with the word after it; None for a unit that must not be taken out of its text."""
 
     def __init__(self, path: str):
@@ -54,8 +57,6 @@ class Tokens(dict):
     def learn(self, units: set[str]) -> None:
         """Encode new units in two long texts: single spaces and line feeds always end a pre-token, so the ids of the
         line feeds between them tell the units apart."""
-        if len(self) + len(units) > KEEP:
-            self.clear()
         whole, ending = set(), []
         for u in units:
             word = u[1:] if u[:1] == "\n" else u
@@ -67,8 +68,8 @@ class Tokens(dict):
             else:
                 whole.add(u)
         whole.difference_update(self)
-        for some, glue in (([u for u in whole if u[:1] != "\n"], "\n "), ([u for u in whole if u[:1] == "\n"], "")):
-            if some:
+        for every, glue in (([u for u in whole if u[:1] != "\n"], "\n "), ([u for u in whole if u[:1] == "\n"], "")):
+            for some in (every[i : i + PART] for i in range(0, len(every), PART)):
                 text = glue + glue.join(some) + "\n" if glue else "".join(some) + "\n"
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
                 cuts = np.flatnonzero(ids == np.frombuffer(self.feed, self.kind)[0])
@@ -87,14 +88,16 @@ class Tokens(dict):
         units = [("\n" + t.replace("\n", " \n")).split(" ") if t and self.apart else () for t in texts]
         new = set().union(*units)
         new.difference_update(self)
-        if new:
-            self.learn(new)
+        before = len(self)
+        self.learn(new)
         out = []
         for text, parts in zip(texts, units, strict=True):
             try:
                 out.append(b"".join([self[u] for u in parts])[self.width :] if parts else self.ids(text or ""))
-            except (TypeError, KeyError):  # a None among them, or more units in these texts than are kept
+            except TypeError:  # a None among them
                 out.append(self.ids(text))
+        while len(self) > max(KEEP, before):
+            self.popitem()  # the latest ones
         return out
 
 
