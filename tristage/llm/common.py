@@ -57,7 +57,7 @@ def tracked() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _TRACKS.remove(paths)
+        _TRACKS.pop()  # the innermost
 
 
 def drop(spark: SparkSession, path: str) -> None:

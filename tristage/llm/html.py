@@ -172,7 +172,7 @@ def extract(html: str | None) -> str:
             elif left == right:
                 x = left
             else:
-                x = b.where == "article" or b.heading and right or (left if i - p < q - i else right)
+                x = b.where == "article" or b.heading and right or (left if i - p <= q - i else right)
         if x:
             keep.append(b.text)
     return "\n".join(keep)
