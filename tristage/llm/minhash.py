@@ -3,8 +3,8 @@
 One hash of each shingle does for all bins: its upper bits choose the bin, the least hash of a bin is its value, and
 an empty bin borrows from a full one that a hash of bin and attempt chooses. Equal shingle sets are one class; only
 classes meet in buckets. Each bucket gives a star of candidate edges to its smallest document, so edges are as many as
-members. Links are confirmed on full shingle sets. Where a star leaves a bucket in several components, stars around
-other members follow, and what is then still apart is compared across components, so no link of a bucket is lost.
+members. Links are confirmed on full shingle sets. Documents of buckets that their star leaves in several components
+go through an exact prefix-filter join across components, so no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .graph import components
 #: Bands and rows: of pairs at similarity 0.85 three in a million share no bucket.
 BANDS, ROWS = 40, 8
 BINS = BANDS * ROWS
-#: Rounds of stars around other members before components of a bucket are compared with each other.
-STARS = 2
+#: Buckets of shingle hashes that are counted to order shingles by rarity.
+SKETCH = 1 << 18
 KEEP = 300_000
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -154,28 +154,70 @@ def links(sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
     close = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
     star = members.where("doc_id != hub").select("hub", "doc_id", "n").distinct().join(sizes, "hub").where(close("n", "n_hub"))
     pairs = save(star.select(F.col("hub").alias("x"), F.col("doc_id").alias("y")), "pairs")
-    tested, found = pairs, verified(pairs, docs, size, percent)
-    for k in range(STARS + 1):
-        label = components(found.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("doc_id"), "component")
-        named = members.select("bucket", "doc_id", "n").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        named = save(named, "named")
-        split_up = named.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("bucket")
-        open_ = save(named.join(split_up, "bucket", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        other = open_.select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        if k < STARS:
-            by = F.struct(F.xxhash64("doc_id", "bucket", F.lit(k)), F.struct(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx")))
-            other = save(open_.groupBy("bucket").agg(F.min(by).alias("m")).select("bucket", "m.col2.*"), "centres")
-        apart = open_.join(other, "bucket").where((F.col("component") != F.col("cx")) & (F.col("doc_id") != F.col("x")) & close("n", "nx"))
-        fresh = apart.select(F.least("doc_id", "x").alias("x"), F.greatest("doc_id", "x").alias("y")).distinct().join(tested, ["x", "y"], "left_anti")
-        fresh = save(fresh, "pairs")
-        if fresh.isEmpty():
-            continue
-        tested, found = tested.unionByName(fresh), found.unionByName(verified(fresh, docs, size, percent))
+    found = verified(pairs, docs, size, percent)
+    label = components(found.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("doc_id"), "component")
+    named = members.select("bucket", "doc_id").join(save(label, "label"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = save(named, "named")
+    split_up = named.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("bucket")
+    open_ = save(named.join(split_up, "bucket", "left_semi").select("doc_id", "component").distinct(), "open")
+    if not open_.isEmpty():
+        fresh = save(prefix_pairs(open_, docs, size, percent).join(pairs, ["x", "y"], "left_anti"), "pairs")
+        found = found.unionByName(verified(fresh, docs, size, percent))
     return found.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def prefix_pairs(some: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Distinct pairs (x < y) among some (doc_id, component) that may be similar and are in different components.
+
+    Exact, whatever the buckets: shingles of a document in order of rarity, rank of the count of their hash bucket
+    among these documents; similar sets share one of the first n - ceil(n * percent / 100) + 1, and the places where
+    they do leave enough to share. Unlike pairs of a large group of copies, which differ in their rare shingles, do
+    not meet.
+    """
+    held = docs.select("doc_id", "text").join(small(some, 500_000), "doc_id").select("doc_id", "component", "text")
+    kind = dict(some.dtypes)["doc_id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = Words(), np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(total, (hashed(split(text), size, known) & _U(SKETCH - 1)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        for part in np.array_split(used, 1 + len(used) // 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["b", "n"])
+
+    counted = held.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    rarity = np.zeros(SKETCH, np.int64)
+    rarity[counted["b"].to_numpy()] = counted["n"].to_numpy()
+    sent = some.sparkSession.sparkContext.broadcast(rarity)  # SKETCH numbers
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            rows, tokens, places, sizes = [], [], [], []
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                h = hashed(split(text), size, known)
+                often = sent.value[(h & _U(SKETCH - 1)).astype(np.int64)]
+                n = len(h) + -len(h) * percent // 100 + 1
+                first = np.lexsort((h, often))[:n]
+                at = np.flatnonzero(often[first] > 1)  # what no other document has meets nothing
+                rows.append(np.full(len(at), r))
+                tokens.append(h[first[at]].view(np.int64))
+                places.append(at)
+                sizes.append(np.full(len(at), len(h)))
+            join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            at = pa.array(join(rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(join(tokens), pa.int64()), batch.column("doc_id").take(at), batch.column("component").take(at), pa.array(join(sizes).astype(np.int64)), pa.array(join(places).astype(np.int64))], names=["token", "doc_id", "component", "n", "i"])
+
+    rows = save(held.mapInArrow(prefix, f"token long, doc_id {kind}, component {kind}, n long, i long"), "prefixes")
+    a, b = rows.alias("a"), rows.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    left = F.least(n - F.col("a.i"), m - F.col("b.i")) * (100 + percent) >= percent * (n + m)
+    both = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close & left)
+    return both.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; linked at 100 * shared >= percent * union.
 
