@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small
+from .common import drop, save, small, tracked
 
 WORDS, PERCENT = 5, 80
 #: Lines of fewer words are never removed.
@@ -98,6 +98,14 @@ def verified(pairs: DataFrame, docs: DataFrame, rank: Column, size: int, percent
 
 def removed(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, pos (from 0) of the lines that match an earlier one."""
+    with tracked() as paths:
+        out = save(_removed(docs, size, percent), "removed")
+    for path in paths[:-1]:  # what the join has left on the way
+        drop(docs.sparkSession, path)
+    return out
+
+
+def _removed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     rank = ranks(docs, size)
     line = F.col("line")
     found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), token_set(line, rank, size).alias("set"))
@@ -120,20 +128,19 @@ def removed(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
     near = near if gone is None else near.unionByName(gone)
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     again = found.select("doc_id", "pos", "h1", "h2").join(save(firsts, "firsts"), ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("f")).select("doc_id", "pos")
-    return save(again.unionByName(near.select("x.doc_id", "x.pos")).distinct(), "removed")
+    return again.unionByName(near.select("x.doc_id", "x.pos")).distinct()
 
 
 def _places(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, removed: places of removed lines, ascending."""
-    gone = removed(docs, size, percent).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
-    return small(save(gone, "gone"), 20_000)
+    """doc_id, _removed: places of removed lines, ascending."""
+    return save(removed(docs, size, percent).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_removed")), "gone")
 
 
 def report(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_removed, removed of every row, without moving texts."""
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     out = lines.join(_places(docs, size, percent), "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -145,7 +152,7 @@ def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
     """
     out = docs.drop("n_removed").join(_places(docs, size, percent), "doc_id", "left")
     parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed")), lambda i: F.get(parts, i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed")), lambda i: F.get(parts, i))
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     rest = [c for c in docs.columns if c not in ("n_removed", "text")]
-    return out.select(*rest, text.alias("text"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
+    return out.select(*rest, text.alias("text"), F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"))
