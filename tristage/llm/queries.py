@@ -34,7 +34,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
+    return tokenids.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

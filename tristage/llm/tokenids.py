@@ -47,6 +47,8 @@ class Tokens(dict):
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        first = {s[:1] for s in self.special}
+        self.mark = first.pop() if len(first) == 1 else ""  # what every special token begins with
         self.marks: dict[str, bytes] = {}
         self.feed = self.ids("\n")
         self.apart = len(self.feed) == self.width and self.ids("a\n b\nc") == b"".join(map(self.ids, ("a", "\n", " b", "\n", "c")))
@@ -60,14 +62,14 @@ class Tokens(dict):
         whole, ending = set(), []
         for u in units:
             word = u[1:] if u[:1] == "\n" else u
-            if word.split() != [word] or any(s in word for s in self.special):
+            if word.split() != [word] or self.mark in word and any(s in word for s in self.special):
                 self[u] = None
             elif (stem := u.rstrip(MARKS)) != u and stem[-1:].isalpha():  # marks after a letter are a pre-token
                 ending.append((u, stem, u[len(stem) :]))
                 whole.add(stem)
             else:
                 whole.add(u)
-        whole.difference_update(self)
+        whole = [u for u in whole if u not in self]
         for every, glue in (([u for u in whole if u[:1] != "\n"], "\n "), ([u for u in whole if u[:1] == "\n"], "")):
             for some in (every[i : i + PART] for i in range(0, len(every), PART)):
                 text = glue + glue.join(some) + "\n" if glue else "".join(some) + "\n"
@@ -86,8 +88,7 @@ class Tokens(dict):
         """Ids of whole texts. A text with other white space than single spaces and line feeds, or with a special
         token, goes to the tokenizer as it is."""
         units = [("\n" + t.replace("\n", " \n")).split(" ") if t and self.apart else () for t in texts]
-        new = set().union(*units)
-        new.difference_update(self)
+        new = {u for u in set().union(*units) if u not in self}
         before = len(self)
         self.learn(new)
         out = []
@@ -135,11 +136,11 @@ def counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                c = np.bincount(_ids(n, data))
-                if len(c) > len(total):
-                    total, c = c.astype(np.int64), total
-                total[: len(c)] += c
+            ids = [_ids(n, data) for n, data in zip(batch.column("n_tokens").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
+            c = np.bincount(np.concatenate(ids)) if ids else total[:0]
+            if len(c) > len(total):
+                total, c = c.astype(np.int64), total
+            total[: len(c)] += c
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "count"])
 
@@ -259,8 +260,8 @@ def write(encoded: DataFrame, path: str) -> None:
     rows.mapInArrow(run, f"segment long, block long, first long, doc_ids array<{kind}>, lengths array<long>, bits binary, checkpoints binary").write.parquet(f"{path}/blocks")
 
 
-def read(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (32-bit, little-endian) of every document in the files."""
+def read(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids (32-bit, little-endian) of every document in the files."""
     ship(spark)
     blocks = spark.read.parquet(f"{path}/blocks")
     table = spark.read.parquet(f"{path}/code").orderBy("id").toPandas()
@@ -276,7 +277,7 @@ def read(spark, path: str) -> DataFrame:
                 data = code.unpack(bits, checkpoints, int(ends[-1])).astype("<u4").tobytes()
                 parts = [data[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), lengths, strict=True)]
                 id_type = batch.schema.field("doc_ids").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), segment)), pa.array(names, id_type), pa.array(first + ends - n), pa.array(n), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())], names=["segment", "doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), segment)), pa.array(names, id_type), pa.array(first + ends - n), pa.array(n), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts if with_ids else [None] * len(n), pa.binary())], names=["segment", "doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     docs = blocks.mapInArrow(run, f"segment long, doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
     sizes = blocks.groupBy("segment").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
@@ -285,7 +286,7 @@ def read(spark, path: str) -> DataFrame:
     return docs.join(F.broadcast(bases), "segment").select("doc_id", (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, with_ids: bool = True) -> DataFrame:
     """Encode docs, write the files to the shared folder, read them back.
 
     A null or empty text holds the end id alone; null doc_ids come first; repeated rows each have their place; an
@@ -293,4 +294,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     path = scratch(docs.sparkSession)
     write(save(encode(docs, tokenizer_path), "ids"), path)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, with_ids)
