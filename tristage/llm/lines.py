@@ -150,7 +150,8 @@ def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFra
     versions of one document: of equal lines at the same place in them none removes another. Lines of fewer than LEAST
     words stay. An empty table gives an empty result. A column of docs named n_removed is replaced.
     """
-    out = docs.drop("n_removed").join(_places(docs, size, percent), "doc_id", "left")
+    # the same join at every size: places grow with the documents
+    out = docs.drop("n_removed").join(_places(docs, size, percent).hint("merge"), "doc_id", "left")
     parts = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed")), lambda i: F.get(parts, i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
