@@ -80,6 +80,14 @@ def test_warc(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_warc_long_header(spark):
+    """A header of any length is read whole, and so are the pages behind it in the same file."""
+    pages = [(1, "u", "<p>a</p>"), (2, "http://x/" + "u" * 100_000, "<p>b</p>"), (3, "u", "<p>c</p>"), (4, "é" * 70_000, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"), (5, "u", "<p>a</p>"), (6, "u", "<p>d</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = rows(warc.round_trip(df).select("page_id", "url", "payload_bytes", "verified"))
+    assert got == [(i, u, len(h), True) for i, u, h in pages]
+
+
 def test_licences(docs, empty):
     got = {r.doc_id: r for r in licences.scan(docs).collect()}
     assert (got[14].n_base, got[14].base_labels, got[14].first_word) == (3, "apache,gpl,mit", 1)

@@ -93,7 +93,7 @@ def parse(piece: bytes) -> tuple[int | None, dict]:
     """From what follows a magic line: bytes up to the next record as the header tells, None if it isn't a header; and
     the record's fields, empty if the piece does not hold the whole record."""
     head, gap, block = piece.partition(b"\r\n\r\n")
-    fields = dict(m.groups() for m in re.finditer(rb"(?m)^([A-Za-z-]+): *([^\r\n]*)\r?$", head[:65536]))
+    fields = dict(m.groups() for m in re.finditer(rb"(?m)^([A-Za-z-]+): *([^\r\n]*)\r?$", head if gap else b""))
     fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in fields.items()}
     if not gap or not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         return None, {}
