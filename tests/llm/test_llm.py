@@ -287,6 +287,27 @@ def test_decontaminate(spark, empty):
     assert decontaminate.hits(empty, bench).count() == 0 and decontaminate.hits(df, bench.where("false")).count() == 0
 
 
+def test_decontaminate_finds_all(spark):
+    """Long items at the largest distance, with edits of one kind, spread evenly or at random."""
+    r, texts, want = random.Random(12), [], set()
+    items = [(m, [f"i{m}q{j}" for j in range(m)]) for m in (5, 10, 40, 59, 120, 200)]
+    for m, item in items:
+        k = int(0.2 * m)
+        for kind in ("delete", "insert", "replace", "random"):
+            w = list(item)
+            for j in sorted((x * m // k for x in range(k)) if kind != "random" else r.sample(range(m), k), reverse=True):
+                how = kind if kind != "random" else r.choice(["delete", "insert", "replace"])
+                w[j : j + (how != "insert")] = [] if how == "delete" else ["zzq"]
+            n = len(texts)
+            texts.append((n, " ".join(prose(r.randrange(80), n).split() + w + prose(r.randrange(1, 80), 99 + n).split())))
+            want.add((n, m))
+    number = lambda words: [int(hashlib.sha1(x).hexdigest()[:15], 16) for x in words]
+    edits = {(n, m): decontaminate.distance(number(licences.tokens(" ".join(item))), number(licences.tokens(t)))[0] for n, t in texts for m, item in items}
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(m, " ".join(x)) for m, x in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.edits for x in decontaminate.hits(df, bench).collect()}
+    assert want == set(got) and got == {x: d for x, d in edits.items() if d <= int(0.2 * x[1])}
+
+
 def test_distance():
     r = random.Random(2)
     for _ in range(300):
