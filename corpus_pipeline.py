@@ -42,7 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go, and documents of which no word is left then."""
-    out = lines.dedup(docs).where((F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0))
+    out = lines.dedup(docs, least=1).where((F.col("n_removed") == 0) | (F.size(words(F.col("text"))) > 0))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

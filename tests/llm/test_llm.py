@@ -237,6 +237,29 @@ def test_lines(spark, docs, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    """The query and the pipeline's stage remove repeats of lines of one to four words as well."""
+    import corpus_pipeline as P
+    from tristage.llm import queries
+
+    long = prose(30, 3).replace("\n", " ")
+    texts = [(1, f"Les.\n{long}\n\none two"), (2, "Les.\n\none  two\nrest"), (3, f"three new words\n Les. \n{long}"), (4, "one two three four\nles.\none two three four"), (5, "   \nLes."), (None, "Les.")]
+    want, seen = {}, set()
+    for i, t in texts:
+        want[i] = []
+        for p, line in enumerate(t.split("\n")):
+            w = tuple(line.split())
+            if i is not None and w in seen:
+                want[i].append(p)
+            if i is not None and w:
+                seen.add(w)
+    df = spark.createDataFrame([(*t, "en", "s", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == want
+    kept = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want[i]) for i, t in texts}
+    assert {r.doc_id: r.text for r in P.line_dedup(spark, df, str(tmp_path)).collect()} == {i: t for i, t in kept.items() if not want[i] or t.split()}
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(6, 1, 0), (13, 1, 0), (20, 0, 0), (None, 1, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
     got = quality.quality(docs, labels).collect()

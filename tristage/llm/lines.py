@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import drop, save, small, tracked
 
 WORDS, PERCENT = 5, 80
-#: Lines of fewer words are never removed.
+#: Lines of fewer words are never removed, unless the caller gives another bound: with 1, all lines with a word take part.
 LEAST = 5
 BUCKETS = 1 << 16
 #: Lines that share a token: above this they are first compared with the earliest one only.
@@ -33,21 +33,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def _shingles(line: Column, size: int) -> Column:
-    """Hashes of the runs of words, repeats included; none for a line of fewer than LEAST words."""
+def _shingles(line: Column, size: int, least: int) -> Column:
+    """Hashes of the runs of words, repeats included; none for a line of fewer than least words, or of none."""
     h = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
 
     def runs(h: Column) -> Column:
         n = F.size(h)
         whole = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(h[i + k] for k in range(size))))
-        return F.when(n < LEAST, F.array().cast("array<bigint>")).when(n < size, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))).otherwise(whole)
+        return F.when(n < max(least, 1), F.array().cast("array<bigint>")).when(n < size, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))).otherwise(whole)
 
     return F.get(F.transform(F.array(h), runs), 0)
 
 
-def ranks(docs: DataFrame, size: int) -> Column:
+def ranks(docs: DataFrame, size: int, least: int) -> Column:
     """Rank of each bucket by how many tokens of the corpus fall into it: BUCKETS numbers, whatever the corpus."""
-    rows = _lines(docs).select(F.explode(_shingles(F.col("line"), size)).alias("h"))
+    rows = _lines(docs).select(F.explode(_shingles(F.col("line"), size, least)).alias("h"))
     counts = rows.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     known = {r.b: r["count"] for r in counts.collect()}
     out = [0] * BUCKETS
@@ -56,10 +56,10 @@ def ranks(docs: DataFrame, size: int) -> Column:
     return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
 
 
-def token_set(line: Column, rank: Column, size: int) -> Column:
+def token_set(line: Column, rank: Column, size: int, least: int) -> Column:
     """Distinct tokens, rarest first."""
     pack = lambda h: F.shiftleft(F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) - BUCKETS // 2, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-    return F.sort_array(F.array_distinct(F.transform(_shingles(line, size), pack)))
+    return F.sort_array(F.array_distinct(F.transform(_shingles(line, size, least), pack)))
 
 
 def _up(n: Column, by: int, over: int) -> Column:
@@ -85,30 +85,30 @@ def candidates(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rank: Column, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rank: Column, size: int, percent: int, least: int) -> DataFrame:
     """x of the pairs whose full token sets are similar. Only the lines in question are read into sets again."""
     ids = save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
     lines = _lines(docs).select(F.struct("doc_id", "pos", F.xxhash64("line").alias("h1")).alias("id"), "line")
-    sets = save(lines.join(small(ids, 500_000), "id", "left_semi").select("id", token_set(F.col("line"), rank, size).alias("set")).dropDuplicates(["id"]), "sets")
+    sets = save(lines.join(small(ids, 500_000), "id", "left_semi").select("id", token_set(F.col("line"), rank, size, least).alias("set")).dropDuplicates(["id"]), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("c", F.size(F.array_intersect("sx", "sy")))
     ok = 100 * F.col("c") >= percent * (F.size("sx") + F.size("sy") - F.col("c"))
     return save(both.where(ok).select("x").distinct(), "matched")
 
 
-def removed(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def removed(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """doc_id, pos (from 0) of the lines that match an earlier one."""
     with tracked() as paths:
-        out = save(_removed(docs, size, percent), "removed")
+        out = save(_removed(docs, size, percent, least), "removed")
     for path in paths[:-1]:  # what the join has left on the way
         drop(docs.sparkSession, path)
     return out
 
 
-def _removed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    rank = ranks(docs, size)
+def _removed(docs: DataFrame, size: int, percent: int, least: int) -> DataFrame:
+    rank = ranks(docs, size, least)
     line = F.col("line")
-    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), token_set(line, rank, size).alias("set"))
+    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), token_set(line, rank, size, least).alias("set"))
     n = F.size("set")
     found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")), "lines").where("n > 0")
     rows = found.select(F.struct("doc_id", "pos", "h1").alias("id"), "h1", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
@@ -121,37 +121,37 @@ def _removed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     gone = None
     if not crowds.isEmpty():
         pairs = save(candidates(met.join(crowds.select("token"), "token", "left_semi"), crowds, percent), "pairs")
-        gone = verified(pairs, docs, rank, size, percent)
+        gone = verified(pairs, docs, rank, size, percent, least)
     rest = met if gone is None else met.join(small(gone.select(F.col("x").alias("id"))), "id", "left_anti")
     pairs = save(candidates(rest, met, percent), "pairs")
-    near = verified(pairs, docs, rank, size, percent)
+    near = verified(pairs, docs, rank, size, percent, least)
     near = near if gone is None else near.unionByName(gone)
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     again = found.select("doc_id", "pos", "h1", "h2").join(save(firsts, "firsts"), ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("f")).select("doc_id", "pos")
     return again.unionByName(near.select("x.doc_id", "x.pos")).distinct()
 
 
-def _places(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _places(docs: DataFrame, size: int, percent: int, least: int) -> DataFrame:
     """doc_id, _removed: places of removed lines, ascending."""
-    return save(removed(docs, size, percent).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_removed")), "gone")
+    return save(removed(docs, size, percent, least).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_removed")), "gone")
 
 
-def report(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def report(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_removed, removed of every row, without moving texts."""
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    out = lines.join(_places(docs, size, percent), "doc_id", "left")
+    out = lines.join(_places(docs, size, percent, least), "doc_id", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """docs with text without the removed lines, and n_removed.
 
     Nulls: a null text stays null; lines of rows without doc_id stay and remove nothing. Rows that repeat a doc_id are
-    versions of one document: of equal lines at the same place in them none removes another. Lines of fewer than LEAST
-    words stay. An empty table gives an empty result. A column of docs named n_removed is replaced.
+    versions of one document: of equal lines at the same place in them none removes another. Lines of fewer than `least`
+    words, and lines without any, stay. An empty table gives an empty result. A column of docs named n_removed is replaced.
     """
     # the same join at every size: places grow with the documents
-    out = docs.drop("n_removed").join(_places(docs, size, percent).hint("merge"), "doc_id", "left")
+    out = docs.drop("n_removed").join(_places(docs, size, percent, least).hint("merge"), "doc_id", "left")
     parts = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed")), lambda i: F.get(parts, i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -38,7 +38,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
