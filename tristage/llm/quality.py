@@ -21,7 +21,7 @@ PRIOR = 10
 #: Documents with a mean log ratio below this are rejected.
 THRESHOLD = -0.1
 
-_MASK = 0xFFFFFF
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def windows(h: Column) -> Column:
@@ -30,23 +30,25 @@ def windows(h: Column) -> Column:
 
 
 def _covered(win: Column) -> Column:
-    """Words in windows that occur twice or more.
+    """Words in windows that occur twice or more, 0 if none do.
 
-    Positions share a long with the upper bits of their window's hash, so one primitive sort brings equal windows
-    together; neighbours are then compared by their full hashes. Texts without a repeat skip all this.
+    Windows are sorted by their whole hash, then by place, so equal ones are neighbours.
     """
-    n = F.size(win)
-    at = lambda p: F.element_at(win, (p.bitwiseAND(F.lit(_MASK)) + 1).cast("int"))
-    packed = F.sort_array(F.transform(win, lambda x, i: x.bitwiseAND(F.lit(~_MASK)).bitwiseOR(i.cast("long"))))
-    same = lambda s, i, j: F.when((j >= 0) & (j < n), at(F.get(s, i)) == at(F.get(s, j))).otherwise(False)
-    hits = lambda s: F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: same(s, i, i - 1) | same(s, i, i + 1)), lambda i: F.get(s, i).bitwiseAND(F.lit(_MASK))))
-    total = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r)), F.lit(0).cast("long"), lambda acc, k: acc + F.least(F.lit(3).cast("long"), F.coalesce(F.get(r, k) - F.get(r, k - 1), F.lit(3).cast("long"))))
+    placed = F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    same = lambda s, x, i: F.coalesce(x.h == F.get(s, i).h, F.lit(False))
+    hits = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)), lambda x: x.i))
+    steps = lambda r: F.transform(r, lambda x, k: F.coalesce(F.least(F.lit(3), F.get(r, k + 1) - x), F.lit(3)))
+    total = lambda r: F.aggregate(steps(r), F.lit(0).cast("long"), lambda acc, x: acc + x)
     # one-element arrays bind an intermediate result to a name, so that it is computed once
-    return F.get(F.transform(F.array(packed), lambda s: F.get(F.transform(F.array(hits(s)), lambda r: total(r)), 0)), 0)
+    return F.get(F.transform(F.array(placed), lambda s: F.get(F.transform(F.array(hits(s)), total), 0)), 0)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the words' hashes `_h`."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the words' hashes `_h`.
+
+    Columns of docs with these names are replaced.
+    """
+    docs = docs.drop(*MEASURES)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     out = docs.withColumn("_h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))
@@ -97,10 +99,12 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
     """docs with the measures, score, base_failed and kept.
 
     Nulls: a null text has no words, so base_failed; a null doc_id is never trusted. Repeated rows are each decided
-    alike. An empty table gives an empty result. Other columns pass through; names beginning with _ are ours.
+    alike; ties at the threshold are kept. Texts of any length are taken whole. An empty table gives an empty result.
+    Other columns pass through; those named as one of ours, or beginning with _, are replaced.
     """
+    docs = docs.drop("score", "base_failed", "kept")
     found = log_ratios(docs, trusted_ids(labels), buckets).first().ratios  # `buckets` numbers, whatever the corpus
-    ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in found)), ",").cast("array<double>")
+    ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
     m = measures(docs)
     total = lambda r: F.aggregate(grams(F.col("_h"), buckets), F.lit(0.0), lambda acc, b: acc + F.get(r, b))
     n = F.size("_h") * 2 - F.when(F.size("_h") > 0, 1).otherwise(0)
@@ -110,8 +114,13 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept. They pass by a generator, as a filter would be pushed below the measures and
-    have them computed again for each place where it uses them."""
-    out = quality(docs, labels, **options)
+    """The rows of docs that are kept, with all their columns, whatever their names.
+
+    They pass by a generator, as a filter would be pushed below the measures and have them computed again for each
+    place where it uses them.
+    """
+    held = docs.select("doc_id", "text", *(docs[f"`{c}`"].alias(f"c{i}_") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+    out = quality(held, labels, **options)
     once = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return out.select(*docs.columns, F.explode(once).alias("_once")).drop("_once")
+    back = [F.col(c) if c in ("doc_id", "text") else F.col(f"c{i}_").alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*back, F.explode(once).alias("_once")).drop("_once")
