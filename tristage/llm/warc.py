@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, scratch, ship, small
+from .common import drop, save, scratch, ship, small, tracked
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -155,23 +155,45 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reached(found: DataFrame) -> DataFrame:
-    """file and at of the candidates on the chain from the start of each file, by pointer jumping."""
-    most = found.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    # a file begins with its first magic line: the piece before that one is empty
-    chain = found.select("file", "at", "succ", (F.col("at") == len(MAGIC)).alias("on"))
+    """file and at of the candidates on the chain from the start of each file; a written table.
+
+    Within a split, candidates that follow each other as their headers tell make up one run. Pointer jumping then goes
+    over runs only: as many as there are splits, and places where a payload holds the magic line.
+    """
+    split = Window.partitionBy("file", "block").orderBy("at")
+    rows = found.select("file", "block", "at", "succ", F.coalesce(F.lag("succ").over(split) == F.col("at"), F.lit(False)).alias("follows"))
+    rows = save(rows.select("file", "at", "succ", F.last(F.when(~F.col("follows"), F.col("at")), ignorenulls=True).over(split).alias("run")), "runs")
+    ends = rows.groupBy("file", "run").agg(F.max_by("succ", "at").alias("exit"))
+    # the run that a run's last record leads to, and where it is entered; a file begins with its first magic line
+    entered = rows.select("file", F.col("at").alias("exit"), F.col("run").alias("next"))
+    start = F.when(F.col("run") == len(MAGIC), F.lit(len(MAGIC)).cast("long"))
+    chain = ends.join(entered, ["file", "exit"], "left").select("file", "run", "next", F.when(F.col("next").isNotNull(), F.col("exit")).alias("exit"), start.alias("on"))
+    chain = save(chain, "chain")
+    most = chain.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     for _ in range(math.ceil(math.log2(most + 1))):
-        chain = save(chain, "chain")
-        ahead = chain.select("file", F.col("at").alias("succ"), F.col("succ").alias("_far"))
-        marks = chain.where("on and succ is not null").select("file", F.col("succ").alias("at"), F.lit(True).alias("_on"))
-        chain = chain.join(ahead, ["file", "succ"], "left").join(marks, ["file", "at"], "left")
-        chain = chain.select("file", "at", F.col("_far").alias("succ"), (F.col("on") | F.coalesce("_on", F.lit(False))).alias("on"))
-    return save(chain.where("on").select("file", "at"), "reached")
+        ahead = chain.select("file", F.col("run").alias("next"), F.col("next").alias("_next"), F.col("exit").alias("_exit"))
+        marks = chain.where("on is not null and next is not null").select("file", F.col("next").alias("run"), F.col("exit").alias("_on"))
+        far = chain.join(ahead, ["file", "next"], "left").join(marks, ["file", "run"], "left")
+        chain = save(far.select("file", "run", F.col("_next").alias("next"), F.col("_exit").alias("exit"), F.coalesce("on", "_on").alias("on")), "chain")
+    on = chain.where("on is not null").select("file", "run", "on")
+    return save(rows.join(small(on), ["file", "run"]).where("at >= on").select("file", "at"), "reached")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under path: the columns of _FIELDS, and whether the payload has its declared digest."""
-    found = save(candidates(spark, path).where(F.col("at") > 0), "placed")
-    on = found.join(reached(found).withColumn("_on", F.lit(True)), ["file", "at"], "left")
+    """The records of all archives under path: the columns of _FIELDS, and whether the payload has its declared digest.
+
+    A header of any length is read whole; a missing header gives null fields; an empty folder gives an empty result.
+    Bytes behind a record that no header leads on from are no records.
+    """
+    with tracked() as paths:
+        found = save(candidates(spark, path).where(F.col("at") > 0), "placed")
+    for p in paths[:-1]:
+        drop(spark, p)
+    with tracked() as paths:
+        chain = reached(found)
+    for p in paths[:-1]:
+        drop(spark, p)
+    on = found.join(chain.withColumn("_on", F.lit(True)), ["file", "at"], "left")
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     whole = on.where("_on and complete").select(*names)
     if not on.where("_on and not complete").isEmpty():
