@@ -9,6 +9,7 @@ go through an exact prefix-filter join across components, so no link of a bucket
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 from .common import save, ship, small
 from .graph import components
 
-#: Bands and rows: of pairs at similarity 0.85 three in a million share no bucket.
-BANDS, ROWS = 40, 8
-BINS = BANDS * ROWS
+#: Share of pairs at the least similarity that may share no bucket.
+MISSED = 3e-6
 #: Buckets of shingle hashes that are counted to order shingles by rarity.
 SKETCH = 1 << 18
 KEEP = 300_000
@@ -72,23 +72,30 @@ def hashed(words: list[bytes], size: int, known: Words) -> np.ndarray:
     return np.unique(total)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: as many bands as leave MISSED of the pairs at this similarity without a common bucket."""
+    rows = 8 if percent >= 85 else 6
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** rows)) - 1e-2), rows
+
+
 class Signer:
-    def __init__(self) -> None:
+    def __init__(self, bands: int, rows: int) -> None:
         self.probes: list[np.ndarray] = []
-        self.factors = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * _B) | _U(1)
-        self.salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _C)
+        self.shape, self.size = (bands, rows), bands * rows
+        self.factors = mix(np.arange(1, rows + 1, dtype=np.uint64) * _B) | _U(1)
+        self.salts = mix(np.arange(1, bands + 1, dtype=np.uint64) * _C)
 
     def probe(self, t: int) -> np.ndarray:
         while len(self.probes) <= t:
-            at = np.arange(BINS, dtype=np.uint64) * _A + np.array([len(self.probes) + 1], np.uint64) * _C
-            self.probes.append((mix(at) % _U(BINS)).astype(np.int64))
+            at = np.arange(self.size, dtype=np.uint64) * _A + np.array([len(self.probes) + 1], np.uint64) * _C
+            self.probes.append((mix(at) % _U(self.size)).astype(np.int64))
         return self.probes[t]
 
     def bins(self, h: np.ndarray) -> np.ndarray:
         """Value of each bin. h: sorted distinct hashes, not empty; a bin's least hash is its first."""
-        at = ((h >> _U(32)) * _U(BINS) >> _U(32)).astype(np.int64)
+        at = ((h >> _U(32)) * _U(self.size) >> _U(32)).astype(np.int64)
         heads = np.flatnonzero(np.diff(at, prepend=-1))
-        out, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
+        out, full = np.zeros(self.size, np.uint64), np.zeros(self.size, bool)
         out[at[heads]], full[at[heads]] = h[heads], True
         empty, t = np.flatnonzero(~full), 0
         while len(empty):
@@ -99,16 +106,16 @@ class Signer:
         return out
 
     def bands(self, h: np.ndarray) -> np.ndarray:
-        return mix((mix(self.bins(h)).reshape(BANDS, ROWS) * self.factors).sum(axis=1) ^ self.salts).view(np.int64)
+        return mix((mix(self.bins(h)).reshape(self.shape) * self.factors).sum(axis=1) ^ self.salts).view(np.int64)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n (shingles), a and b (sums that tell sets apart), bands."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, signer = Words(), Signer()
+        known, signer = Words(), Signer(*banding(percent))
         for batch in batches:
             n, a, b, bands = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -225,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links with nothing, has no component_id and is kept. An empty table gives an empty result; other columns of docs
     play no part.
     """
-    rows = save(signatures(docs, size), "signatures")
+    rows = save(signatures(docs, size, percent), "signatures")
     real = rows.where("n > 0 and doc_id is not null")
     classes = save(real.groupBy("n", "a", "b").agg(F.min("doc_id").alias("class")), "classes")
     named = real.join(classes, ["n", "a", "b"])
