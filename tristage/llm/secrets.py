@@ -80,11 +80,27 @@ def ledger_of(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame
     return new if ledger is None else ledger.unionByName(new)
 
 
+def update(versions: DataFrame, path: str) -> DataFrame:
+    """The ledger kept under path, after the blobs of versions that it lacks have been scanned and appended to it.
+
+    A run that is lost before its append has ended leaves the ledger as it was.
+    """
+    spark = versions.sparkSession
+    kind = f"blob string, rule_version string, spans {_SPAN}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema(kind).parquet(path) if held else None
+    scan_new(versions, known).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
+
+
 def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """versions (path, text and any others) with the spans of their blob, empty if none.
+    """versions (path, text and any others) with blob and the spans of their blob, empty if none.
 
-    A null text is an empty blob; a null path keeps its row; repeated rows each get their findings.
+    A null text is an empty blob; a null path keeps its row; repeated rows each get their findings. Texts of any length
+    are scanned whole. An empty table gives an empty result; columns named blob or spans are replaced.
     """
+    versions = versions.drop("blob", "spans")
     blob = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     hits = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
     rows = versions.withColumn("blob", blob).join(hits, "blob", "left")
