@@ -1,65 +1,80 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct runs of five words (the whole line if it has fewer). Tokens are ordered by rarity:
-rank of the corpus count of their hash bucket, then hash; rank and the rest of the hash make up one long, so sorting
-longs sorts tokens and no part of a hash is lost. Two lines with enough in common share one of their first tokens
-(prefix filter), so lines meet by single tokens of their prefixes; the length filter bounds the sizes, the positional
-filter what can still follow after the shared place. What passes is verified by Jaccard on the full sets. A line that
-matches an earlier one, by doc_id and place, is removed.
-
-Equal lines are found by grouping and only their first one goes into the join. Where many lines share a token, each is
-first compared with the earliest of them; lines that this removes need no other partner.
+A line's tokens are its distinct runs of five words (the whole line if it has fewer). They are ordered by rarity: a run
+is at most as frequent as its first word, so runs go by the rank of that word's corpus count, then by hash; both make
+up one long, so sorting longs sorts tokens. Two lines with enough in common share one of their first tokens (prefix
+filter), so lines meet by single tokens of their prefixes; the length filter bounds the sizes, the positional filter
+what can still follow after the shared place. What passes is verified by Jaccard on the full sets of 64-bit hashes. A
+line that matches an earlier one, by doc_id and place, is removed.
+
+Equal lines are one class: copies are counted before anything else moves, and only classes are joined. All links
+between different lines are found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, save, small, tracked
 
 WORDS, PERCENT = 5, 80
-#: Lines of fewer words are never removed, unless the caller gives another bound: with 1, all lines with a word take part.
-LEAST = 5
+#: Buckets of words that are counted; a word's rank is that of its bucket.
 BUCKETS = 1 << 16
-#: Lines that share a token: above this they are first compared with the earliest one only.
-CROWD = 16
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line for lines of documents that have an id."""
-    other = F.col("text").contains("\t") | F.col("text").contains("\r") | F.col("text").contains("\x0b") | F.col("text").contains("\x0c")
-    text = F.when(other, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text"))
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+_OTHER = "\t\r\x0b\x0c"
 
 
-def _shingles(line: Column, size: int, least: int) -> Column:
-    """Hashes of the runs of words, repeats included; none for a line of fewer than least words, or of none."""
-    h = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+def _text() -> Column:
+    """text with its white space as spaces, line feeds but kept."""
+    other = F.lit(False)
+    for c in _OTHER:
+        other = other | F.col("text").contains(c)
+    return F.when(other, F.translate("text", _OTHER, " " * len(_OTHER))).otherwise(F.col("text"))
 
-    def runs(h: Column) -> Column:
-        n = F.size(h)
-        whole = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(h[i + k] for k in range(size))))
-        return F.when(n < max(least, 1), F.array().cast("array<bigint>")).when(n < size, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))).otherwise(whole)
 
-    return F.get(F.transform(F.array(h), runs), 0)
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, line for lines of documents that have an id."""
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(_text(), "\n")).alias("pos", "line"))
 
 
-def ranks(docs: DataFrame, size: int, least: int) -> Column:
-    """Rank of each bucket by how many tokens of the corpus fall into it: BUCKETS numbers, whatever the corpus."""
-    rows = _lines(docs).select(F.explode(_shingles(F.col("line"), size, least)).alias("h"))
-    counts = rows.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
+def ranks(docs: DataFrame) -> Column:
+    """For each bucket the rank of how many words of the corpus fall into it, in the upper 16 bits of a long: BUCKETS
+    numbers, whatever the corpus."""
+    text = F.replace(_text(), F.lit("\n"), F.lit(" "))
+    # the outer form, as Spark adds a filter to the plain one that splits the text again
+    words = docs.where("doc_id is not null").select(F.explode_outer(F.split(text, " ")).alias("w")).where("w != ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     known = {r.b: r["count"] for r in counts.collect()}
     out = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (known.get(b, 0), b))):
-        out[b] = rank
+        out[b] = (rank - BUCKETS // 2) << 48
     return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
 
 
-def token_set(line: Column, rank: Column, size: int, least: int) -> Column:
-    """Distinct tokens, rarest first."""
-    pack = lambda h: F.shiftleft(F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) - BUCKETS // 2, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-    return F.sort_array(F.array_distinct(F.transform(_shingles(line, size, least), pack)))
+def _runs(words: Column, size: int, of: Callable) -> Column:
+    """of(first element, hash) of each run of `size` elements; of all elements if there are fewer."""
+    at = lambda x: lambda y, i: of(y, F.xxhash64(y, *(F.get(x, i + k) for k in range(1, size))))
+    whole = lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - (size - 1)), at(x))
+    short = lambda x: F.transform(F.slice(x, 1, 1), lambda y: of(y, F.xxhash64(x)))
+    runs = lambda x: F.when(F.size(x) < size, short(x)).otherwise(whole(x))
+    return F.get(F.transform(F.array(words), runs), 0)  # a one-element array binds words to a name
+
+
+def _hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+
+
+def tokens(line: Column, rank: Column, size: int) -> Column:
+    """Distinct tokens, rarest first: rank of the run's first word in the upper 16 bits, then a hash of the run."""
+    known = F.transform(_hashes(line), lambda h: F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16)))
+    token = lambda first, run: first.bitwiseAND(F.lit(-1 << 48)).bitwiseOR(F.shiftrightunsigned(run, 16))
+    return F.sort_array(F.array_distinct(_runs(known, size, token)))
+
+
+def full_set(line: Column, size: int) -> Column:
+    return F.array_distinct(_runs(_hashes(line), size, lambda first, run: run))
 
 
 def _up(n: Column, by: int, over: int) -> Column:
@@ -72,88 +87,112 @@ def need(n: Column, m: Column, percent: int) -> Column:
     return _up(n + m, percent, 100 + percent)
 
 
-def candidates(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x after y) that share a token within their prefixes and pass the length and positional filters."""
-    a, b = later.alias("a"), earlier.alias("b")
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x < y) that share a token within their prefixes and pass the length and positional filters.
+
+    rows: token, id, n (tokens in all), i (place of the token). Both sides are one shuffle by token; Spark splits the
+    partitions of frequent tokens.
+    """
+    a, b = rows.alias("a"), rows.alias("b")
     n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.i"), F.col("b.i")
-    shared = need(n, m, percent)
     # of two lines the smaller one needs only the shorter prefix, which its own size gives
-    place = F.least(n - i, m - j) >= shared
+    place = F.least(n - i, m - j) >= need(n, m, percent)
     short = F.when(n <= m, n - i >= need(n, n, percent)).otherwise(m - j >= need(m, m, percent))
     close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.id") < F.col("a.id")) & close & place & short)
+    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & close & place & short)
     return joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rank: Column, size: int, percent: int, least: int) -> DataFrame:
-    """x of the pairs whose full token sets are similar. Only the lines in question are read into sets again."""
-    ids = save(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
-    lines = _lines(docs).select(F.struct("doc_id", "pos", F.xxhash64("line").alias("h1")).alias("id"), "line")
-    sets = save(lines.join(small(ids, 500_000), "id", "left_semi").select("id", token_set(F.col("line"), rank, size, least).alias("set")).dropDuplicates(["id"]), "sets")
+def _sketch(values: Column) -> list[Column]:
+    """256 bits: each element flips one."""
+    powers = F.array(*(F.lit(1 << k if k < 63 else -1 << 63).cast("long") for k in range(64)))
+    one = lambda x: F.get(powers, x.bitwiseAND(F.lit(63)).cast("int"))
+    flips = lambda k: lambda acc, x: acc.bitwiseXOR(F.when(F.shiftrightunsigned(x, 62) == k, one(x)).otherwise(F.lit(0).cast("long")))
+    return [F.aggregate(values, F.lit(0).cast("long"), flips(k)) for k in range(4)]
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar. Only the lines in question are read into sets again.
+
+    Each element that only one of two sets holds flips at most one bit between their sketches, so sketches that are too
+    far apart tell without the sets.
+    """
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    ids = save(classes.select("id", "doc_id", "pos", "h1").join(ids, "id", "left_semi"), "ids")
+    lines = _lines(docs).withColumn("h1", F.xxhash64("line"))
+    sets = lines.join(small(ids, 500_000), ["doc_id", "pos", "h1"]).select("id", full_set(F.col("line"), size).alias("set")).dropDuplicates(["id"])
+    sets = save(sets, "sets")
+    sketches = save(sets.select("id", F.size("set").alias("n"), *(c.alias(f"b{k}") for k, c in enumerate(_sketch(F.col("set"))))), "sketches")
+    bits = lambda c: small(sketches.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", "b0", "b1", "b2", "b3"))), 500_000)
+    apart = sum((F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(4)), F.lit(0))
+    total = F.col("x_n") + F.col("y_n")
+    pairs = save(pairs.join(bits("x"), "x").join(bits("y"), "y").where((total - apart) * (100 + percent) >= 2 * percent * total).select("x", "y"), "close")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("c", F.size(F.array_intersect("sx", "sy")))
-    ok = 100 * F.col("c") >= percent * (F.size("sx") + F.size("sy") - F.col("c"))
-    return save(both.where(ok).select("x").distinct(), "matched")
+    return save(both.where(100 * F.col("c") >= percent * (F.size("sx") + F.size("sy") - F.col("c"))).select("x", "y"), "links")
 
 
-def removed(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """doc_id, pos (from 0) of the lines that match an earlier one."""
+def matches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, pos (from 0), n_links and earliest of each line with a copy or a link; a written table.
+
+    n_links: how many different lines are similar to it. earliest: doc_id and pos of the first line that is equal or
+    similar to it, which may be itself.
+    """
     with tracked() as paths:
-        out = save(_removed(docs, size, percent, least), "removed")
+        out = save(_matches(docs, size, percent), "matches")
     for path in paths[:-1]:  # what the join has left on the way
         drop(docs.sparkSession, path)
     return out
 
 
-def _removed(docs: DataFrame, size: int, percent: int, least: int) -> DataFrame:
-    rank = ranks(docs, size, least)
-    line = F.col("line")
-    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), token_set(line, rank, size, least).alias("set"))
+def _matches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), tokens(F.col("line"), ranks(docs), size).alias("set"))
     n = F.size("set")
     found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")), "lines").where("n > 0")
-    rows = found.select(F.struct("doc_id", "pos", "h1").alias("id"), "h1", "n", F.posexplode("prefix").alias("i", "token")).repartition("token")
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("token", "h1").orderBy("id"))).where("_r = 1").drop("_r", "h1")
-    with_token = Window.partitionBy("token").orderBy("id")
-    met = first.withColumn("_a", F.lag("n").over(with_token)).withColumn("_b", F.lead("n").over(with_token))
-    met = save(met.where("_a is not null or _b is not null").drop("_a", "_b"), "met")
-    by_token = met.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("id", "n", "i")).alias("_f"))
-    crowds = save(by_token.where(F.col("_n") > CROWD).select("token", "_f.*"), "crowds")
-    gone = None
-    if not crowds.isEmpty():
-        pairs = save(candidates(met.join(crowds.select("token"), "token", "left_semi"), crowds, percent), "pairs")
-        gone = verified(pairs, docs, rank, size, percent, least)
-    rest = met if gone is None else met.join(small(gone.select(F.col("x").alias("id"))), "id", "left_anti")
-    pairs = save(candidates(rest, met, percent), "pairs")
-    near = verified(pairs, docs, rank, size, percent, least)
-    near = near if gone is None else near.unionByName(gone)
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
-    again = found.select("doc_id", "pos", "h1", "h2").join(save(firsts, "firsts"), ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("f")).select("doc_id", "pos")
-    return again.unionByName(near.select("x.doc_id", "x.pos")).distinct()
-
-
-def _places(docs: DataFrame, size: int, percent: int, least: int) -> DataFrame:
-    """doc_id, _removed: places of removed lines, ascending."""
-    return save(removed(docs, size, percent, least).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("_removed")), "gone")
-
-
-def report(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed of every row, without moving texts."""
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    out = lines.join(_places(docs, size, percent, least), "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"))
-
-
-def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
+    classes = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*", "copies", "n", "prefix"), "classes")
+    pairs = save(candidates(classes.select("id", "n", F.posexplode("prefix").alias("i", "token")), percent), "pairs")
+    links = verified(pairs, classes, docs, size, percent)
+    both = links.unionByName(links.select(F.col("x").alias("y"), F.col("y").alias("x")))
+    places = classes.select(F.col("id").alias("y"), F.struct("doc_id", "pos").alias("place"))
+    linked = save(both.join(places, "y").groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n_links"), F.min("place").alias("other")), "linked")
+    heads = classes.join(linked, "id", "left").where("copies > 1 or n_links is not null")
+    heads = heads.select("h1", "h2", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least(F.struct("doc_id", "pos"), "other").alias("earliest"))
+    return found.select("doc_id", "pos", "h1", "h2").join(save(heads, "heads"), ["h1", "h2"]).select("doc_id", "pos", "n_links", "earliest")
+
+
+def removed(matched: DataFrame) -> DataFrame:
+    """doc_id, pos and earliest of the lines that match an earlier one."""
+    return matched.where(F.struct("doc_id", "pos") > F.col("earliest")).select("doc_id", "pos", "earliest")
+
+
+def report(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs, without moving texts: doc_id, n_lines, n_removed, removed (places), matched (for
+    each removed line the doc_id of the first line that it matches) and n_links (how many links to different lines
+    the document's lines have). Nulls, repeats and empty tables as for dedup."""
+    gone = F.when(F.struct("doc_id", "pos") > F.col("earliest"), F.struct("pos", F.col("earliest.doc_id").alias("doc")))
+    found = matches(docs, size, percent).groupBy("doc_id").agg(F.array_sort(F.collect_set(gone)).alias("g"), F.sum("n_links").alias("n_links"))
+    kind = dict(docs.dtypes)["doc_id"]
+    found = save(found.select("doc_id", F.col("g.pos").alias("removed"), F.col("g.doc").alias("matched"), "n_links"), "gone")
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    return lines.join(found, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), none("removed", "int"), none("matched", kind), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def dedup(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with text without the removed lines, and n_removed.
 
     Nulls: a null text stays null; lines of rows without doc_id stay and remove nothing. Rows that repeat a doc_id are
-    versions of one document: of equal lines at the same place in them none removes another. Lines of fewer than `least`
-    words, and lines without any, stay. An empty table gives an empty result. A column of docs named n_removed is replaced.
+    versions of one document: of equal lines at the same place in them none removes another. Lines without a word stay.
+    Texts of any length are taken whole. An empty table gives an empty result. A column of docs named n_removed is
+    replaced; all others pass, whatever their names.
     """
-    # the same join at every size: places grow with the documents
-    out = docs.drop("n_removed").join(_places(docs, size, percent, least).hint("merge"), "doc_id", "left")
-    parts = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_removed")), lambda i: F.get(parts, i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rest = [c for c in docs.columns if c not in ("n_removed", "text")]
-    return out.select(*rest, text.alias("text"), F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"))
+    gone = save(removed(matches(docs, size, percent)).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("pos")).alias("_gone")), "gone")
+    # only doc_id and text take part; the others travel under names of ours. The same join at every size: places grow with the documents
+    others = [c for c in docs.columns if c not in ("n_removed", "text")]
+    rows = docs.select(*(docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(others)), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    out = rows.join(gone.hint("merge"), F.col("_doc") == F.col("_id"), "left")
+    parts = F.split("_text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(parts, i))
+    text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(others)), text.alias("text"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html, licences, lines, minhash, pieces, quality, secrets, tokenids, warc
 from .common import table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -38,7 +39,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op4_minhash, op5_token_files, op6_line_dedup, op7_quality_rules, op8_decontamination, op9_html_extraction, op10_secret_scans)}
-ORACLE_SQL: dict[str, str] = {}
+
