@@ -16,7 +16,7 @@ def number(text: Column) -> Column:
 
 def location(text: Column) -> Column:
     """Numeric tokens joined by points, leading zeros gone (row 063)."""
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("bigint").cast("string")), ".")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.regexp_replace(x, "^0+([0-9])", "$1")), ".")
 
 
 def fold(text: Column) -> Column:

@@ -12,8 +12,9 @@ def flat(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Runs of digits with an optional decimal part, comma or point, as doubles."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", ".").cast("double"))
+    """Numbers with an optional decimal part, comma or point; groups of three digits may stand apart (row 041)."""
+    found = F.regexp_extract_all(text, F.lit(r"([0-9]{1,3}(?:[ \u00a0][0-9]{3})+(?![0-9])(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "[ \u00a0]", ""), ",", ".").try_cast("double"))
 
 
 def word_set(text: Column) -> Column:
@@ -33,6 +34,6 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers (row 343)."""
+    """Cosine of two arrays of numbers; null if one has no length (row 343)."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

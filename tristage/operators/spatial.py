@@ -7,15 +7,58 @@ from pyspark.sql import functions as F
 
 
 def nearest(points: DataFrame, targets: DataFrame, page: list[str], key: str, x: str, y: str, most: float) -> DataFrame:
-    """The nearest target of the same page within `most` (row 182). A page holds few marks."""
-    t = targets.select(*page, F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    both = points.join(t, page).where(F.col(key) != F.col("_key"))
+    """The nearest target of the same page within `most` (row 182).
+
+    Marks lie in cells of side `most`, so a point meets the targets of its own and the eight cells around only.
+    """
+    cell = lambda c: F.floor(F.col(c) / most)
+    around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    t = targets.select(*page, F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), cell(x).alias("_i"), cell(y).alias("_j"))
+    p = points.select(*page, key, x, y, F.explode(around).alias("_di")).select("*", F.explode(around).alias("_dj"))
+    p = p.withColumn("_i", cell(x) + F.col("_di")).withColumn("_j", cell(y) + F.col("_dj"))
+    both = p.join(t, [*page, "_i", "_j"]).where(F.col(key) != F.col("_key"))
     d = F.sqrt(F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2))
     near = both.withColumn("_d", F.round(d, 6)).where(F.col("_d") <= most)
     best = near.groupBy(*page, key).agg(F.min(F.struct("_d", "_key")).alias("_m"))
     return best.select(*page, key, F.col("_m._key").alias("nearest"), F.col("_m._d").alias("distance"))
 
 
+def within(words: DataFrame, cells: DataFrame, page: list[str], size: float) -> DataFrame:
+    """Words (word, x, y: their centre) in the cells (cell, x0, y0, x1, y1) of their page that hold them (row 185).
+
+    Cells are dealt to squares of side `size` that they touch, so a word meets those of its own square only.
+    """
+    step = lambda c: F.floor(F.col(c) / size)
+    c = cells.select("*", F.explode(F.sequence(step("x0"), step("x1"))).alias("_i")).select("*", F.explode(F.sequence(step("y0"), step("y1"))).alias("_j"))
+    w = words.withColumn("_i", step("x")).withColumn("_j", step("y"))
+    return w.join(c, [*page, "_i", "_j"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").select(*page, "word", "cell")
+
+
+def lines(words: DataFrame, page: list[str], tolerance: float) -> DataFrame:
+    """words (x, y, ...) with `line`: rows of words whose y lies within tolerance of the one above (row 333)."""
+    w = Window.partitionBy(*page).orderBy("y", "x")
+    new = F.coalesce(F.col("y") - F.lag("y").over(w) > tolerance, F.lit(True)).cast("int")
+    return words.withColumn("_new", new).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+
+def furniture(words: DataFrame, volume: list[str], page: str, cell: float, share: float = 0.6, least: int = 3) -> DataFrame:
+    """Words (t, x, y) that stand in one grid cell on at least `share` of a volume's pages, of which there are `least` or
+    more (row 328): title blocks and frames."""
+    n = words.groupBy(*volume).agg(F.countDistinct(page).alias("pages"))
+    spot = words.groupBy(*volume, "t", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")).agg(F.countDistinct(page).alias("n"))
+    return spot.join(n, volume).where((F.col("pages") >= least) & (F.col("n") >= share * F.col("pages")))
+
+
+def displacement(old: DataFrame, new: DataFrame, page: list[str], step: float, rare: int = 3) -> DataFrame:
+    """Votes of rare words for a page's shift (row 329): (dx, dy) in steps with how many words moved so. A word counts
+    if it stands at most `rare` times on either page."""
+    some = lambda df: df.join(df.groupBy(*page, "t").count().where(F.col("count") <= rare).drop("count"), [*page, "t"])
+    a = some(old).select(*page, "t", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    moved = some(new).join(a, [*page, "t"])
+    shift = lambda c: F.round((F.col(c) - F.col(f"_{c}")) / step).cast("long").alias(f"d{c}")
+    return moved.groupBy(*page, shift("x"), shift("y")).agg(F.count("*").alias("votes"))
+
+
 def merged(rows: DataFrame, by: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
     """Intervals that overlap or lie within gap of each other, as one (row 332)."""
     w = Window.partitionBy(*by).orderBy(start, end)

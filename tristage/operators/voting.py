@@ -25,10 +25,17 @@ def weighted_vote(cands: DataFrame, by: list[str], page: list[str], value: str =
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def strongest_set(cands: DataFrame, by: list[str], binding: str, value: str = "value") -> DataFrame:
-    """Distinct values of the strongest binding of each group, ascending, and their support (row 214)."""
-    best = cands.withColumn("_best", F.min(binding).over(Window.partitionBy(*by))).where(F.col(binding) == F.col("_best"))
-    return best.groupBy(*by).agg(F.first("_best").alias(binding), F.sort_array(F.collect_set(value)).alias("values"), F.count("*").alias("support"))
+def strongest_set(cands: DataFrame, by: list[str], binding: str, value: str = "value", page: list[str] | None = None, sheet: object = None) -> DataFrame:
+    """Distinct values of the strongest binding of each group, ascending, and their support (row 214).
+
+    binding: smaller is stronger; `sheet` names the one that counts only if nothing else is there. page: support counts
+    distinct pages by them, else rows. Each binding is aggregated first, so no group's rows come to one task.
+    """
+    support = F.countDistinct(*page) if page else F.count("*")
+    each = cands.groupBy(*by, binding).agg(F.sort_array(F.collect_set(value)).alias("values"), support.alias("support"))
+    last = F.lit(False) if sheet is None else F.col(binding) == F.lit(sheet)
+    best = each.groupBy(*by).agg(F.min(F.struct(last.alias("l"), F.col(binding).alias("b"), "values", "support")).alias("x"))
+    return best.select(*by, F.col("x.b").alias(binding), F.col("x.values").alias("values"), F.col("x.support").alias("support"))
 
 
 def doubtful(cands: DataFrame, by: list[str], raw: str = "raw", times: int = 3) -> DataFrame:

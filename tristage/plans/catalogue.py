@@ -98,7 +98,7 @@ _LIMITS = {"min_absolute": {"threshold": 20.0}, "min_trigger": {"threshold": 1.0
 @query(_DECIDE)
 def decide_types(spark, sf_dir):
     s = stage_sides(candidates(spark, sf_dir))
-    kinds = [k for k in compare.TYPES if k != "class_downgrade"]
+    kinds = [k for k in compare.TYPES if k not in ("class_downgrade", "decrease_or_text_change")]
     labels = F.array(*(F.struct(F.lit(k).alias("kind"), compare.decide(k, F.col("pd"), F.col("rd"), F.col("pd_all"), F.col("rd_all"), **_LIMITS.get(k, {})).alias("label")) for k in kinds))
     return s.select("code", F.explode(labels).alias("x")).select("code", "x.*")
 
@@ -124,12 +124,12 @@ def strongest_set(spark, sf_dir):
     return out.select("code", "stage", "binding", F.array_join(F.col("values").cast("array<string>"), ",").alias("vals"), "support")
 
 
-@query(CANDS + """, n AS (SELECT code, CAST(CAST(value AS INTEGER) AS VARCHAR) AS raw, count(*) AS n FROM cands WHERE source = 'F' AND stage = 'PD' GROUP BY ALL)
- SELECT DISTINCT r.code, r.raw, r.n FROM n r JOIN n o ON r.code = o.code AND length(r.raw) = length(o.raw) AND o.n >= 3 * r.n
+@query(CANDS + """, n AS (SELECT code, stage, CAST(CAST(value AS INTEGER) AS VARCHAR) AS raw, count(*) AS n FROM cands WHERE source = 'F' GROUP BY ALL)
+ SELECT DISTINCT r.code, r.stage, r.raw, r.n FROM n r JOIN n o ON r.code = o.code AND r.stage = o.stage AND length(r.raw) = length(o.raw) AND o.n >= 3 * r.n
  WHERE (CASE WHEN substr(r.raw, 1, 1) <> substr(o.raw, 1, 1) THEN 1 ELSE 0 END) + (CASE WHEN substr(r.raw, 2, 1) <> substr(o.raw, 2, 1) THEN 1 ELSE 0 END) = 1""")
 def recognized_doubts(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("source = 'F' and stage = 'PD'").withColumn("raw", F.col("value").cast("int").cast("string"))
-    return voting.doubtful(c, ["code"])
+    c = candidates(spark, sf_dir).where("source = 'F'").withColumn("raw", F.col("value").cast("int").cast("string"))
+    return voting.doubtful(c, ["code", "stage"])
 
 
 @query(CANDS + ", f AS (SELECT section, file_id, code, sum(value) AS n FROM cands GROUP BY ALL), g AS (SELECT section, code, max(n) AS n FROM f GROUP BY ALL) SELECT code, sum(n) AS total FROM g GROUP BY code")
@@ -262,12 +262,6 @@ def sheet_runs(spark, sf_dir):
     return ordered.runs(rows, ["l_orderkey"], "place", "l_linenumber").withColumn("run", F.col("run").cast("long"))
 
 
-@query("SELECT event_id, user_id, v, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled, v IS NULL AS was_gap FROM (SELECT event_id, user_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events)")
-def fill_gaps(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
-    return ordered.fill(rows, ["user_id"], "event_id", "v")
-
-
 @query("""WITH d AS (SELECT DISTINCT p_brand, p_size FROM part), w AS (SELECT *, lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS a, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS b FROM d)
  SELECT p_brand, p_size, CASE WHEN p_size - a <= 3 THEN a END AS previous, CASE WHEN b - p_size <= 3 THEN b END AS following FROM w""")
 def neighbours(spark, sf_dir):

@@ -39,10 +39,10 @@ def revision_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), n.alias("revision"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1900 + p_size + 50 WHEN p_size <= 30 THEN 2000 + p_size ELSE 1900 + p_size END AS year FROM part WHERE p_size >= 10")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1900 + p_size + 50 WHEN p_size <= 30 THEN 2000 + p_size ELSE 1900 + p_size END AS year FROM part")
 def edition_year(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size >= 10")
-    mark = F.when(F.col("p_size") % 5 == 0, (1950 + F.col("p_size")).cast("string")).otherwise(F.col("p_size").cast("string"))
+    p = table(spark, sf_dir, "part")
+    mark = F.when(F.col("p_size") % 5 == 0, (1950 + F.col("p_size")).cast("string")).otherwise(F.lpad(F.col("p_size").cast("string"), 2, "0"))
     return p.select("p_partkey", N.edition_year(F.concat(F.lit("N 12-"), mark)).alias("year"))
 
 
@@ -101,9 +101,9 @@ def contained_words(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda x: x <> '')) AS term FROM benchmark),
- d AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS term FROM documents WHERE lang = 'en')
+ d AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS term FROM documents)
  SELECT item_id, count(*) AS missing FROM t WHERE term NOT IN (SELECT term FROM d WHERE term IS NOT NULL) GROUP BY item_id""")
 def missing_terms(spark, sf_dir):
     t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.word_set(F.col("text"))).alias("term"))
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(T.word_set(F.col("text"))).alias("term")).distinct()
+    d = table(spark, sf_dir, "documents").select(F.explode(T.word_set(F.col("text"))).alias("term")).distinct()
     return t.join(d, "term", "left_anti").groupBy("item_id").agg(F.count("*").alias("missing"))

@@ -13,9 +13,10 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def mark_duplicates(rows: DataFrame, digest: str, order: str) -> DataFrame:
-    """duplicate_of: the first of the rows with the same content, null for that row itself (row 001)."""
-    first = F.first(order).over(Window.partitionBy(digest).orderBy(order))
-    return rows.withColumn("_first", first).withColumn("duplicate_of", F.when(F.col("_first") != F.col(order), F.col("_first"))).drop("_first")
+    """duplicate_of: the first of the rows with the same content, null for that row itself (row 001). The first is found
+    by partial aggregation, so a content of many copies comes to no single task."""
+    first = rows.groupBy(digest).agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(digest, "_first")
+    return rows.join(first, digest, "left").withColumn("duplicate_of", F.when(F.col("_first") != F.col(order), F.col("_first"))).drop("_first")
 
 
 def first_manifest(manifests: list[DataFrame], key: str) -> DataFrame:
