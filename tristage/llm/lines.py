@@ -8,14 +8,15 @@ what can still follow after the shared place. What passes is verified by Jaccard
 line that matches an earlier one, by doc_id and place, is removed.
 
 Equal lines are one class: copies are counted before anything else moves, and only classes are joined. All links
-between different lines are found.
+between different lines are found. Where many lines share a token, as variants of one line do, the full sets decide
+within the join, so what comes out of it is links; what is compared there still grows with the square of such a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, save, small, tracked
@@ -23,6 +24,8 @@ from .common import drop, save, small, tracked
 WORDS, PERCENT = 5, 80
 #: Buckets of words that are counted; a word's rank is that of its bucket.
 BUCKETS = 1 << 16
+#: Lines that share a token: above this their pairs are decided before they are put out; in parts of so many rows.
+CROWD, SPLIT = 16, 512
 _OTHER = "\t\r\x0b\x0c"
 
 
@@ -87,46 +90,61 @@ def need(n: Column, m: Column, percent: int) -> Column:
     return _up(n + m, percent, 100 + percent)
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x < y) that share a token within their prefixes and pass the length and positional filters.
-
-    rows: token, id, n (tokens in all), i (place of the token). Both sides are one shuffle by token; Spark splits the
-    partitions of frequent tokens.
-    """
-    a, b = rows.alias("a"), rows.alias("b")
+def _met(percent: int) -> Column:
+    """Whether the rows a and b (token, id, n tokens in all, i the token's place) of one token pass the length and
+    positional filters, x before y."""
     n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.i"), F.col("b.i")
     # of two lines the smaller one needs only the shorter prefix, which its own size gives
     place = F.least(n - i, m - j) >= need(n, m, percent)
     short = F.when(n <= m, n - i >= need(n, n, percent)).otherwise(m - j >= need(m, m, percent))
     close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    joined = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & close & place & short)
-    return joined.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    return (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & close & place & short
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x < y) that share a token within their prefixes and pass the filters."""
+    return rows.alias("a").join(rows.alias("b"), _met(percent)).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
 def _sketch(values: Column) -> list[Column]:
     """256 bits: each element flips one."""
     powers = F.array(*(F.lit(1 << k if k < 63 else -1 << 63).cast("long") for k in range(64)))
     one = lambda x: F.get(powers, x.bitwiseAND(F.lit(63)).cast("int"))
-    flips = lambda k: lambda acc, x: acc.bitwiseXOR(F.when(F.shiftrightunsigned(x, 62) == k, one(x)).otherwise(F.lit(0).cast("long")))
+    flips = lambda k: lambda acc, x: acc.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, one(x)).otherwise(F.lit(0).cast("long")))
     return [F.aggregate(values, F.lit(0).cast("long"), flips(k)) for k in range(4)]
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar. Only the lines in question are read into sets again.
+def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of tokens that many lines share: variants of one line, most of them apart.
 
-    Each element that only one of two sets holds flips at most one bit between their sketches, so sketches that are too
-    far apart tell without the sets.
+    Here the sets themselves decide, before a pair is put out, and a pair is put out at the first token that both have
+    only. An element that only one set holds flips at most one bit between the sketches, so sketches too far apart tell
+    without the sets. The rows of a token are dealt to SPLIT rows each on one side, so no token's pairs fall to one task.
+    rows: token, id, n, i, c (lines of the token); sets: id, set, prefix, b0 to b3.
     """
+    rows = rows.withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1).join(sets, "id")
+    a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    total = F.col("a.n") + F.col("b.n")
+    apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(4)), F.lit(0))
+    near = (total - apart) * (100 + percent) >= 2 * percent * total
+    first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.token")
+    similar = F.size(F.array_intersect("a.set", "b.set")) * (100 + percent) >= percent * total
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & _met(percent) & near & first & similar)
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+
+def _read(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and line of the classes ids (id, doc_id, pos, h1)."""
+    lines = _lines(docs).withColumn("h1", F.xxhash64("line"))
+    return lines.join(small(ids, 500_000), ["doc_id", "pos", "h1"]).select("id", "line").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar. Only the lines in question are read into sets again."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     ids = save(classes.select("id", "doc_id", "pos", "h1").join(ids, "id", "left_semi"), "ids")
-    lines = _lines(docs).withColumn("h1", F.xxhash64("line"))
-    sets = lines.join(small(ids, 500_000), ["doc_id", "pos", "h1"]).select("id", full_set(F.col("line"), size).alias("set")).dropDuplicates(["id"])
-    sets = save(sets, "sets")
-    sketches = save(sets.select("id", F.size("set").alias("n"), *(c.alias(f"b{k}") for k, c in enumerate(_sketch(F.col("set"))))), "sketches")
-    bits = lambda c: small(sketches.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", "b0", "b1", "b2", "b3"))), 500_000)
-    apart = sum((F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(4)), F.lit(0))
-    total = F.col("x_n") + F.col("y_n")
-    pairs = save(pairs.join(bits("x"), "x").join(bits("y"), "y").where((total - apart) * (100 + percent) >= 2 * percent * total).select("x", "y"), "close")
+    sets = save(_read(docs, ids).select("id", full_set(F.col("line"), size).alias("set")), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("c", F.size(F.array_intersect("sx", "sy")))
     return save(both.where(100 * F.col("c") >= percent * (F.size("sx") + F.size("sy") - F.col("c"))).select("x", "y"), "links")
@@ -146,12 +164,22 @@ def matches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def _matches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), tokens(F.col("line"), ranks(docs), size).alias("set"))
+    rank = ranks(docs)
+    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), tokens(F.col("line"), rank, size).alias("set"))
     n = F.size("set")
-    found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")), "lines").where("n > 0")
+    prefix = F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")
+    found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), prefix), "lines").where("n > 0")
     classes = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*", "copies", "n", "prefix"), "classes")
-    pairs = save(candidates(classes.select("id", "n", F.posexplode("prefix").alias("i", "token")), percent), "pairs")
+    rows = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
+    met = save(rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "met")
+    pairs = candidates(met.where(F.col("c") <= CROWD), percent)
+    ids = save(classes.select("id", "doc_id", "pos", "h1").join(met.where(F.col("c") > CROWD).select("id").distinct(), "id", "left_semi"), "crowd")
+    if not ids.isEmpty():
+        sets = _read(docs, ids).select("id", tokens(F.col("line"), rank, size).alias("set"))
+        sets = save(sets.select("id", "set", prefix, *(c.alias(f"b{k}") for k, c in enumerate(_sketch(F.col("set"))))), "sets")
+        pairs = pairs.unionByName(crowded(met.where(F.col("c") > CROWD), sets, percent)).distinct()
+    pairs = save(pairs, "pairs")
     links = verified(pairs, classes, docs, size, percent)
     both = links.unionByName(links.select(F.col("x").alias("y"), F.col("y").alias("x")))
     places = classes.select(F.col("id").alias("y"), F.struct("doc_id", "pos").alias("place"))
