@@ -8,8 +8,9 @@ what can still follow after the shared place. What passes is verified by Jaccard
 line that matches an earlier one, by doc_id and place, is removed.
 
 Equal lines are one class: copies are counted before anything else moves, and only classes are joined. All links
-between different lines are found. Where many lines share a token, as variants of one line do, the full sets decide
-within the join, so what comes out of it is links; what is compared there still grows with the square of such a group.
+between different lines are found. Where many lines share a token, as variants of one line do, sketches of the sets
+decide within the join, so little but links comes out of it; what is compared there, in a few machine words, still
+grows with the square of such a group of different lines.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ WORDS, PERCENT = 5, 80
 #: Buckets of words that are counted; a word's rank is that of its bucket.
 BUCKETS = 1 << 16
 #: Lines that share a token: above this their pairs are decided before they are put out; in parts of so many rows.
-CROWD, SPLIT = 16, 512
+CROWD, SPLIT = 64, 512
+#: Longs of a sketch, a power of two.
+SKETCH = 8
 _OTHER = "\t\r\x0b\x0c"
 
 
@@ -106,31 +109,30 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     return rows.alias("a").join(rows.alias("b"), _met(percent)).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
 
 
-def _sketch(values: Column) -> list[Column]:
-    """256 bits: each element flips one."""
-    powers = F.array(*(F.lit(1 << k if k < 63 else -1 << 63).cast("long") for k in range(64)))
-    one = lambda x: F.get(powers, x.bitwiseAND(F.lit(63)).cast("int"))
-    flips = lambda k: lambda acc, x: acc.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, one(x)).otherwise(F.lit(0).cast("long")))
-    return [F.aggregate(values, F.lit(0).cast("long"), flips(k)) for k in range(4)]
+def sketches(sets: DataFrame) -> DataFrame:
+    """id with a sketch of 64 * SKETCH bits of its set, in longs b0 and on: each element flips one bit."""
+    rows = sets.select("id", F.explode("set").alias("t"))
+    word = F.shiftrightunsigned("t", 6).bitwiseAND(F.lit(SKETCH - 1))
+    bit = F.expr("shiftleft(1L, cast(t & 63 AS int))")
+    return rows.groupBy("id").agg(*(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(SKETCH)))
 
 
 def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of tokens that many lines share: variants of one line, most of them apart.
+    """Pairs of tokens that many lines share: variants of one line, most of them apart.
 
-    Here the sets themselves decide, before a pair is put out, and a pair is put out at the first token that both have
-    only. An element that only one set holds flips at most one bit between the sketches, so sketches too far apart tell
-    without the sets. The rows of a token are dealt to SPLIT rows each on one side, so no token's pairs fall to one task.
-    rows: token, id, n, i, c (lines of the token); sets: id, set, prefix, b0 to b3.
+    An element that only one of two sets holds flips at most one bit between their sketches, so sketches too far apart
+    tell within the join that a pair is none; a pair is put out only at the first token that both prefixes have. The
+    rows of a token are dealt to parts of SPLIT rows on one side, so no token's pairs fall to one task.
+    rows: token, id, n, i, c (lines of the token); sets: id, prefix, sketch.
     """
     rows = rows.withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1).join(sets, "id")
     a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
     b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
     total = F.col("a.n") + F.col("b.n")
-    apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = (total - apart) * (100 + percent) >= 2 * percent * total
     first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.token")
-    similar = F.size(F.array_intersect("a.set", "b.set")) * (100 + percent) >= percent * total
-    met = a.join(b, (F.col("a.part") == F.col("b.part")) & _met(percent) & near & first & similar)
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & _met(percent) & near & first)
     return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
 
 
@@ -176,8 +178,8 @@ def _matches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = candidates(met.where(F.col("c") <= CROWD), percent)
     ids = save(classes.select("id", "doc_id", "pos", "h1").join(met.where(F.col("c") > CROWD).select("id").distinct(), "id", "left_semi"), "crowd")
     if not ids.isEmpty():
-        sets = _read(docs, ids).select("id", tokens(F.col("line"), rank, size).alias("set"))
-        sets = save(sets.select("id", "set", prefix, *(c.alias(f"b{k}") for k, c in enumerate(_sketch(F.col("set"))))), "sets")
+        sets = save(_read(docs, ids).select("id", tokens(F.col("line"), rank, size).alias("set")), "sets")
+        sets = save(sets.select("id", prefix).join(sketches(sets), "id"), "sketches")
         pairs = pairs.unionByName(crowded(met.where(F.col("c") > CROWD), sets, percent)).distinct()
     pairs = save(pairs, "pairs")
     links = verified(pairs, classes, docs, size, percent)
