@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tristage.operators import compare, incremental, joins, ordered, resolve, voting
+from tristage.functions import language, match, normalize, text
+from tristage.operators import changes, compare, extract, incremental, joins, ordered, resolve, review, voting
 from tristage.sources import registry
 from tristage.streaming import upserts
 
@@ -22,6 +23,60 @@ def test_decide_sides(spark):
     assert got("relative", threshold=0.6) == [None, compare.IMPOSSIBLE, compare.OK, compare.OK]
 
 
+def test_decimals_decide_what_is_equal(spark):
+    rows = [("1,25", "1,60"), ("2854,2", "2854,20"), ("10", "10.4"), ("159,95", "159.95"), ("3", "4")]
+    df = spark.createDataFrame([(a, b, float(a.replace(",", ".")), float(b.replace(",", "."))) for a, b in rows], "a string, b string, pd double, rd double")
+    every = lambda c: F.array(c)
+    j = compare.judge("any_change", F.col("pd"), F.col("rd"), every("pd"), every("rd"), pd_raw=F.col("a"), rd_raw=F.col("b"))
+    assert [tuple(r[0]) for r in df.select(j).collect()] == [(compare.VIOLATION, "VALUE_MISMATCH"), (compare.OK, "EQUAL_AFTER_DECIMAL_NORMALIZATION"), (compare.OK, "EQUAL_AFTER_DECIMAL_NORMALIZATION"), (compare.OK, "EQUAL_AFTER_DECIMAL_NORMALIZATION"), (compare.VIOLATION, "VALUE_MISMATCH")]
+
+
+def test_keys_with_null_values(spark):
+    a = spark.createDataFrame([(1, None), (2, 5.0), (3, None)], "k int, value double")
+    b = spark.createDataFrame([(1, None), (2, None), (4, 1.0)], "k int, value double")
+    assert {r.k: r.status for r in compare.keyed(a, b, ["k"]).collect()} == {1: "SAME", 2: "CHANGED", 3: "REMOVED", 4: "ADDED"}
+
+
+def test_odd_values_do_not_crash(spark):
+    df = spark.createDataFrame([("abc", 0.0, [0.0, 0.0])], "t string, z double, v array<double>")
+    one = df.select(normalize.number(F.col("t")), normalize.location(F.lit("ось 00012345678901234567890-0")), compare.percent_lower(F.col("z"), F.lit(1.0)), text.cosine(F.col("v"), F.col("v")), changes.exceeds(F.col("z"), F.lit(1.0)), text.numbers(F.lit("29 200,00 и 5"))).first()
+    assert tuple(one) == (None, "12345678901234567890.0", None, None, False, [29200.0, 5.0])
+
+
+def test_hits_have_offsets(spark):
+    df = spark.createDataFrame([("é12 b3",), ("",), (None,)], "t string")
+    got = [[(h.start, h.end, h.raw, h.n) for h in r[0]] for r in df.select(match.hits(F.col("t"), "[a-zé]([0-9]+)", ["n"])).collect()]
+    assert got == [[(0, 3, "é12", "12"), (4, 6, "b3", "3")], [], []]
+
+
+def test_spans_and_nearest(spark):
+    df = spark.createDataFrame([("x1 aa x2 bbbbbb",)], "t string")
+    assert [tuple(s) for s in df.select(extract.spans(F.col("t"), "x[0-9]", 4)).first()[0]] == [("x1", " aa "), ("x2", " bbb")]
+    near = extract.nearest_before(match.hits(F.col("t"), "x[0-9]"), F.lit(9), 5)
+    assert df.select(near.raw).first()[0] == "x2"
+
+
+def test_sheet_gaps_are_inferred_between_anchors(spark):
+    rows = [("f", 11, 11), ("f", 12, None), ("f", 13, 13), ("g", 1, 1), ("g", 2, None), ("g", 3, 5), ("h", 1, None), ("h", 2, 4)]
+    df = spark.createDataFrame(rows, "f string, page int, sheet int")
+    got = {(r.f, r.page): r.sheet for r in ordered.fill(df, ["f"], "page", "sheet", F.lit(True)).collect()}
+    assert got[("f", 12)] == 12 and got[("g", 2)] is None and got[("h", 1)] is None
+    assert [(r.f, r["first"], r["last"]) for r in ordered.runs(df, ["f"], "page", "sheet").collect()] == [("f", 11, 13)]
+
+
+def test_words(spark):
+    df = spark.createDataFrame([("Тёплые полы", "Áåòîí êëàññà", "ГОСТ")], "a string, b string, c string")
+    r = df.select(language.stems(F.col("a")), language.mend(F.col("b")).text, language.one_digit_apart(F.lit("70.13330"), F.lit("70.1330")), language.one_digit_apart(F.lit("1.13130"), F.lit("10.13130")), language.convert(F.lit(6100.0), F.lit("мм"), F.lit("м"))).first()
+    assert tuple(r) == (["тепл", "пол"], "Бетон класса", True, False, 6.1)
+
+
+def test_merge_keeps_decisions(spark):
+    old = spark.createDataFrame([(1, "V", "1", "2", "CONFIRMED_VIOLATION", "RUN", {"promoted_at": "x", "other": "y"}), (2, "V", "1", "2", "SPLIT", "INSPECTOR_SPLIT", {}), (3, "V", "1", "2", "PENDING", "RUN", {})], "k int, label string, pd string, rd string, verification string, origin string, marks map<string,string>")
+    new = spark.createDataFrame([(1, "N", "1", "1", False), (4, "V", "3", "1", True)], "k int, label string, pd string, rd string, candidate boolean")
+    got = {r.k: (r.label, r.rd, r.verification, r.marks) for r in review.merge(old, new, ["k"]).collect()}
+    assert got == {1: ("N", "1", "PENDING", {"promoted_at": "x", "reopened": "CONFIRMED_VIOLATION"}), 2: ("V", "2", "SPLIT", {}), 4: ("V", "1", "PENDING", {})}
+
+
 def test_maximal_is_a_partial_order(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 1, 1), ("b", 2, 2)], "chain string, x int, y int")
     out = {r.chain: (r.maximal, r.status) for r in resolve.maximal(df, ["chain"], ["x", "y"]).collect()}
