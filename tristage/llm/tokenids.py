@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +36,15 @@ PART = 8192
 MARKS = ".,!?;:%&$*#|)"
 
 
-class Tokens(dict):
-    """unit -> bytes of its ids: what the texts at hand hold, and at least the first KEEP. A unit is a word with the space before it (kept without that space),
-    or a line feed with the word after it; None for a unit that must not be taken out of its text."""
+class Tokens:
+    """What units become: the texts at hand, and at least the first KEEP units. A unit is a word with the space before it
+    (kept without that space), or a line feed with the word after it; no bytes for a unit that must not be taken out of
+    its text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
@@ -56,20 +58,20 @@ class Tokens(dict):
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, units: list[str]) -> None:
         """Encode new units in two long texts: single spaces and line feeds always end a pre-token, so the ids of the
         line feeds between them tell the units apart."""
-        whole, ending = set(), []
+        known, whole, ending = self.known, set(), []
         for u in units:
             word = u[1:] if u[:1] == "\n" else u
             if word.split() != [word] or self.mark in word and any(s in word for s in self.special):
-                self[u] = None
+                known[u] = b""
             elif (stem := u.rstrip(MARKS)) != u and stem[-1:].isalpha():  # marks after a letter are a pre-token
                 ending.append((u, stem, u[len(stem) :]))
                 whole.add(stem)
             else:
                 whole.add(u)
-        whole = [u for u in whole if u not in self]
+        whole = [u for u in whole if u not in known]
         for every, glue in (([u for u in whole if u[:1] != "\n"], "\n "), ([u for u in whole if u[:1] == "\n"], "")):
             for some in (every[i : i + PART] for i in range(0, len(every), PART)):
                 text = glue + glue.join(some) + "\n" if glue else "".join(some) + "\n"
@@ -78,27 +80,45 @@ class Tokens(dict):
                 data = ids.tobytes()
                 skip = self.width if glue else 0  # a line feed is the glue there, and part of the unit here
                 for u, a, b in zip(some, (cuts[:-1] * self.width).tolist(), (cuts[1:] * self.width).tolist(), strict=True):
-                    self[u] = data[a + skip : b]
+                    known[u] = data[a + skip : b]
         for u, stem, marks in ending:
             if marks not in self.marks:
                 self.marks[marks] = self.ids(marks)
-            self[u] = self[stem] + self.marks[marks]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts. A text with other white space than single spaces and line feeds, or with a special
-        token, goes to the tokenizer as it is."""
-        units = [("\n" + t.replace("\n", " \n")).split(" ") if t and self.apart else () for t in texts]
-        new = {u for u in set().union(*units) if u not in self}
-        before = len(self)
-        self.learn(new)
-        out = []
-        for text, parts in zip(texts, units, strict=True):
-            try:
-                out.append(b"".join([self[u] for u in parts])[self.width :] if parts else self.ids(text or ""))
-            except TypeError:  # a None among them
-                out.append(self.ids(text))
-        while len(self) > max(KEEP, before):
-            self.popitem()  # the latest ones
+            known[u] = known[stem] + self.marks[marks]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts and the end id. Arrow cuts the texts into units and numbers the distinct ones, so Python
+        sees each once a batch. A text with other white space than single spaces and line feeds, or with a special token,
+        goes to the tokenizer as it is."""
+        end = np.array([END], self.kind).tobytes()
+        if not self.apart:
+            return [self.ids(t or "") + end for t in texts.to_pylist()]
+        fed = pc.binary_join_element_wise("\n", pc.replace_substring(texts.fill_null(""), "\n", " \n"), "")
+        units = pc.split_pattern(fed, " ")
+        flat = units.flatten().dictionary_encode()
+        names, before = flat.dictionary.to_numpy(zero_copy_only=False), len(self.known)
+        found = list(map(self.known.get, names))
+        self.learn(new := [u for u, x in zip(names, found, strict=True) if x is None])
+        if new:
+            found = [self.known[u] if x is None else x for u, x in zip(names, found, strict=True)]
+        part = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        code = flat.indices.to_numpy(zero_copy_only=False)
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = part[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[code] - ends + n, n)]
+        # every text begins with a line feed of ours: all ids move up by one, and the end id takes the last place
+        cuts = np.concatenate([[0], ends])[units.offsets.to_numpy() - units.offsets[0].as_py()]
+        data = ids.tobytes()
+        cut = (cuts * self.width).tolist()
+        out = [data[a + self.width : b] + end for a, b in zip(cut, cut[1:], strict=False)]
+        odd = size == 0
+        if odd.any():
+            rows = np.searchsorted(units.offsets.to_numpy()[1:] - units.offsets[0].as_py(), np.flatnonzero(odd[code]), "right")
+            for i in np.unique(rows).tolist():
+                out[i] = self.ids(texts[i].as_py() or "") + end
+        while len(self.known) > max(KEEP, before):
+            self.known.popitem()  # the latest ones
         return out
 
 
@@ -118,9 +138,8 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(tokenizer_path)
-        end = np.array([END], tokens.kind).tobytes()
         for batch in batches:
-            data = [x + end for x in tokens.encode(batch.column("text").to_pylist())]
+            data = tokens.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // tokens.width for x in data], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
