@@ -92,10 +92,21 @@ def test_licences(docs, empty):
     got = {r.doc_id: r for r in licences.scan(docs).collect()}
     assert (got[14].n_base, got[14].base_labels, got[14].first_word) == (3, "apache,gpl,mit", 1)
     assert got[8].n_words == 0 and got[8].first_word is None and got[8].score == 0
-    text = licences.TEMPLATES[1][1]
+    text = licences.TEMPLATES[0][1]
     _, _, base, chains = licences.Scanner().scan("noise " * 9 + text.replace("publish", "issue") + " noise")
     assert not base and max(c for x, *_, c in chains if x == "mit") > 0.9
     assert licences.scan(empty).count() == 0
+    own = docs.sparkSession.createDataFrame([("house", "no part of this text may be sold by anyone at any time"), (None, "x"), ("y", None)], "label string, text string")
+    held = docs.sparkSession.createDataFrame([(1, "Note: no part of this text may be sold by anyone, ever.")], "doc_id long, text string")
+    assert [(r.labels, r.base_labels) for r in licences.scan(held, own).collect()] == [("house", "")]
+    # the base columns of every document against brute force
+    phrases = {label: words.split() for label, words in licences.PHRASES}
+    for i, t in TEXTS:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = {label: [k for k in range(len(w)) if w[k : k + len(p)] == p] for label, p in phrases.items()}
+        every = sorted(k for x in at.values() for k in x)
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(x for x in at if at[x])))
     # matching statistics against brute force
     a = licences.Automaton(licences.TEMPLATES)
     runs = {tuple(w[i:j]) for _, t in licences.TEMPLATES for w in [licences.tokens(t)] for i in range(len(w)) for j in range(i + 1, min(len(w), i + 12) + 1)}
