@@ -97,7 +97,7 @@ def test_licences(docs, empty):
     assert not base and max(c for x, *_, c in chains if x == "mit") > 0.9
     assert licences.scan(empty).count() == 0
     own = docs.sparkSession.createDataFrame([("house", "no part of this text may be sold by anyone at any time"), (None, "x"), ("y", None)], "label string, text string")
-    held = docs.sparkSession.createDataFrame([(1, "Note: no part of this text may be sold by anyone, ever.")], "doc_id long, text string")
+    held = docs.sparkSession.createDataFrame([(1, "Note: no part of this text may be sold by anyone at any hour.")], "doc_id long, text string")
     assert [(r.labels, r.base_labels) for r in licences.scan(held, own).collect()] == [("house", "")]
     # the base columns of every document against brute force
     phrases = {label: words.split() for label, words in licences.PHRASES}
