@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tristage.plans import catalogue, catalogue_compare, catalogue_extract, catalogue_relations, catalogue_review, catalogue_text  # noqa: F401
+from tristage.plans import catalogue, catalogue_compare, catalogue_extract, catalogue_labels, catalogue_relations, catalogue_review, catalogue_text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
