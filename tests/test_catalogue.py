@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tristage.plans import catalogue, catalogue_compare, catalogue_extract, catalogue_labels, catalogue_relations, catalogue_review, catalogue_text  # noqa: F401
+from tristage.plans import catalogue, catalogue_compare, catalogue_extract, catalogue_labels, catalogue_relations, catalogue_review, catalogue_revisions, catalogue_text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,9 +25,16 @@ def rows(df):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DATA).toPandas()
     want = duck.execute(catalogue.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_queries_without_sql(spark):
+    """A page has one partner at most, and partners ascend on both sides."""
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"aligned_pages"}
+    pairs = sorted(map(tuple, catalogue.QUERIES["aligned_pages"](spark, DATA).collect()))
+    assert pairs and all(a[0] < b[0] or a[1] < b[1] and a[2] < b[2] for a, b in zip(pairs, pairs[1:], strict=False))

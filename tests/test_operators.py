@@ -1,9 +1,11 @@
 """Cases that the driver tables do not hold."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tristage.functions import language, match, normalize, text
-from tristage.operators import changes, compare, extract, incremental, joins, ordered, resolve, review, voting
+from tristage.operators import alignment, changes, compare, extract, incremental, joins, ordered, resolve, review, voting
 from tristage.sources import registry
 from tristage.streaming import upserts
 
@@ -117,3 +119,18 @@ def test_stream_upsert(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == [(1, "b"), (2, "c")]
+
+
+def test_alignment_is_the_heaviest_chain():
+    """Against the table over all prefixes."""
+    r = random.Random(1)
+    for _ in range(500):
+        n, m = r.randint(1, 7), r.randint(1, 7)
+        pairs = [(i, j, round(r.random(), 2)) for i in range(n) for j in range(m) if r.random() < 0.4]
+        held, best = {(i, j): s for i, j, s in pairs}, [[0.0] * (m + 1) for _ in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + held.get((i - 1, j - 1), -9))
+        got = alignment.chain(pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+        assert abs(sum(held[x] for x in got) - best[n][m]) < 1e-9
