@@ -11,13 +11,14 @@ def density(cands: DataFrame, page: list[str], code: str = "code") -> DataFrame:
     return cands.groupBy(*page).agg(F.countDistinct(code).alias("density"))
 
 
-def weighted_vote(cands: DataFrame, by: list[str], page: list[str], value: str = "value", code: str = "code") -> DataFrame:
+def weighted_vote(cands: DataFrame, by: list[str], page: list[str], value: str = "value", code: str = "code", dense: DataFrame | None = None) -> DataFrame:
     """One value for each group (row 212): the weight of a value is the sum of 1 + density over its distinct pages.
 
     Ties go to more pages, then to the smaller value. Pages are de-duplicated before they are summed, so that a page
-    counts once however often it names the value; partial sums come before the one shuffle on the group.
+    counts once however often it names the value; partial sums come before the one shuffle on the group. dense: the
+    density of pages, if it was counted over more candidates than these.
     """
-    seen = cands.select(*by, value, *page).distinct().join(density(cands, page, code), page)
+    seen = cands.select(*by, value, *page).distinct().join(density(cands, page, code) if dense is None else dense, page)
     votes = seen.groupBy(*by, value).agg(F.sum(1 + F.col("density")).alias("weight"), F.count("*").alias("pages"))
     order = Window.partitionBy(*by).orderBy(F.desc("weight"), F.desc("pages"), F.asc(value))
     share = Window.partitionBy(*by)
