@@ -110,11 +110,11 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """id with a sketch of 64 * SKETCH bits of its set, in longs b0 and on: each element flips one bit."""
+    """id, m (size of its set) and a sketch of 64 * SKETCH bits in longs b0 and on: each element flips one bit."""
     rows = sets.select("id", F.explode("set").alias("t"))
     word = F.shiftrightunsigned("t", 6).bitwiseAND(F.lit(SKETCH - 1))
     bit = F.expr("shiftleft(1L, cast(t & 63 AS int))")
-    return rows.groupBy("id").agg(*(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(SKETCH)))
+    return rows.groupBy("id").agg(F.count("*").alias("m"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(SKETCH)))
 
 
 def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -123,12 +123,12 @@ def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     An element that only one of two sets holds flips at most one bit between their sketches, so sketches too far apart
     tell within the join that a pair is none; a pair is put out only at the first token that both prefixes have. The
     rows of a token are dealt to parts of SPLIT rows on one side, so no token's pairs fall to one task.
-    rows: token, id, n, i, c (lines of the token); sets: id, prefix, sketch.
+    rows: token, id, n, i, c (lines of the token); sets: id, prefix, m, sketch.
     """
     rows = rows.withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1).join(sets, "id")
     a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
     b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    total = F.col("a.n") + F.col("b.n")
+    total = F.col("a.m") + F.col("b.m")
     apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = (total - apart) * (100 + percent) >= 2 * percent * total
     first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.token")
@@ -142,11 +142,8 @@ def _read(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(small(ids, 500_000), ["doc_id", "pos", "h1"]).select("id", "line").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar. Only the lines in question are read into sets again."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    ids = save(classes.select("id", "doc_id", "pos", "h1").join(ids, "id", "left_semi"), "ids")
-    sets = save(_read(docs, ids).select("id", full_set(F.col("line"), size).alias("set")), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets (id, set) are similar."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("c", F.size(F.array_intersect("sx", "sy")))
     return save(both.where(100 * F.col("c") >= percent * (F.size("sx") + F.size("sy") - F.col("c"))).select("x", "y"), "links")
@@ -175,14 +172,18 @@ def _matches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*", "copies", "n", "prefix"), "classes")
     rows = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
     met = save(rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "met")
-    pairs = candidates(met.where(F.col("c") <= CROWD), percent)
-    ids = save(classes.select("id", "doc_id", "pos", "h1").join(met.where(F.col("c") > CROWD).select("id").distinct(), "id", "left_semi"), "crowd")
-    if not ids.isEmpty():
-        sets = save(_read(docs, ids).select("id", tokens(F.col("line"), rank, size).alias("set")), "sets")
-        sets = save(sets.select("id", prefix).join(sketches(sets), "id"), "sketches")
-        pairs = pairs.unionByName(crowded(met.where(F.col("c") > CROWD), sets, percent)).distinct()
-    pairs = save(pairs, "pairs")
-    links = verified(pairs, classes, docs, size, percent)
+    pairs = save(candidates(met.where(F.col("c") <= CROWD), percent), "pairs")
+    crowd = met.where(F.col("c") > CROWD)
+    # only the lines in question are read again, once, into full sets
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(crowd.select("id")).distinct()
+    ids = save(classes.select("id", "doc_id", "pos", "h1").join(ids, "id", "left_semi"), "ids")
+    sets = save(_read(docs, ids).select("id", full_set(F.col("line"), size).alias("set")), "sets")
+    if not crowd.isEmpty():
+        own = save(crowd.select("id").distinct(), "crowd")
+        prefixes = classes.select("id", "prefix").join(own, "id", "left_semi")
+        known = save(prefixes.join(sketches(sets.join(own, "id", "left_semi")), "id"), "sketches")
+        pairs = save(pairs.unionByName(crowded(crowd, known, percent)).distinct(), "pairs")
+    links = verified(pairs, sets, percent)
     both = links.unionByName(links.select(F.col("x").alias("y"), F.col("y").alias("x")))
     places = classes.select(F.col("id").alias("y"), F.struct("doc_id", "pos").alias("place"))
     linked = save(both.join(places, "y").groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n_links"), F.min("place").alias("other")), "linked")
