@@ -244,3 +244,44 @@ def norm_inventory(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a")).where("k % 8 <> 1")
     refs = p.select(F.lit("СП").alias("kind"), F.expr(_NORM).alias("number"), F.when((F.col("k") % 12 == 1) | (F.col("k") % 4 != 1), 2012).otherwise(2000 + F.col("a") % 3).alias("year"))
     return R.typos(refs, L.one_digit_apart(F.col("a.number"), F.col("b.number")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part), l AS (SELECT *, lead(w) OVER (PARTITION BY p_brand ORDER BY k) AS b FROM p)
+ SELECT k, round(len(list_intersect(w, b)) / least(len(w), len(b)), 6) AS overlap, len(list_intersect(w, b)) / least(len(w), len(b)) >= 0.5 AS same FROM l""")
+def room_names(spark, sf_dir):
+    """Names are the same if the smaller one shares half of its words; unknown if one has none (row 199)."""
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_brand", F.array_distinct(F.split("p_name", " ")).alias("w"))
+    p = p.withColumn("b", F.lead("w").over(Window.partitionBy("p_brand").orderBy("k")))
+    share = T.overlap(F.col("w"), F.col("b"))
+    return p.select("k", F.round(share, 6).alias("overlap"), (share >= 0.5).alias("same"))
+
+
+_NOW = "SELECT p_partkey AS file, p_name AS digest FROM part WHERE p_partkey % 10 <> 3"
+_BEFORE = "SELECT p_partkey AS file, CASE WHEN p_partkey % 7 = 0 THEN 'old' ELSE p_name END AS digest FROM part WHERE p_partkey % 9 <> 4"
+
+
+@query(f"""WITH n AS ({_NOW}), b AS ({_BEFORE}) SELECT file, 'changed' AS what FROM n LEFT JOIN b USING (file) WHERE n.digest IS DISTINCT FROM b.digest
+ UNION ALL SELECT file, 'lost' FROM b WHERE file NOT IN (SELECT file FROM n) UNION ALL SELECT file, 'kept' FROM n JOIN b USING (file) WHERE n.digest = b.digest""")
+def file_changes(spark, sf_dir):
+    """New or different files, files that are gone, and rows of files that stay (rows 353 to 355)."""
+    from tristage.operators import incremental as I
+
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part")
+    now = p.where(k % 10 != 3).select(k.alias("file"), F.col("p_name").alias("digest"))
+    before = p.where(k % 9 != 4).select(k.alias("file"), F.when(k % 7 == 0, "old").otherwise(F.col("p_name")).alias("digest"))
+    changed = I.changed_files(now, before, "file", "digest")
+    said = lambda df, what: df.select("file", F.lit(what).alias("what"))
+    return said(changed, "changed").unionByName(said(I.lost_files(now, before, "file"), "lost")).unionByName(said(I.keep(now, changed, "file"), "kept"))
+
+
+@query("SELECT l_suppkey AS k, coalesce(s_name, 'part ' || CAST(l_suppkey AS VARCHAR)) AS name FROM (SELECT DISTINCT l_suppkey FROM lineitem UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 2000) LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 2000) ON s_suppkey = l_suppkey")
+def first_manifest(spark, sf_dir):
+    """The first manifest that knows a key wins (row 003)."""
+    from tristage.sources import registry
+
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 2000").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().select("k", F.concat(F.lit("part "), F.col("k").cast("string")).alias("name"))
+    return registry.first_manifest([s, li], "k").select("k", "name")
