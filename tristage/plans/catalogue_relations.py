@@ -247,7 +247,7 @@ def norm_inventory(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_brand, list_distinct(string_split(p_name, ' ')) AS w FROM part), l AS (SELECT *, lead(w) OVER (PARTITION BY p_brand ORDER BY k) AS b FROM p)
- SELECT k, round(len(list_intersect(w, b)) / least(len(w), len(b)), 6) AS overlap, len(list_intersect(w, b)) / least(len(w), len(b)) >= 0.5 AS same FROM l""")
+ SELECT k, round(s, 6) AS overlap, s >= 0.5 AS same FROM (SELECT k, CASE WHEN b IS NOT NULL THEN len(list_intersect(w, b)) / least(len(w), len(b)) END AS s FROM l)""")
 def room_names(spark, sf_dir):
     """Names are the same if the smaller one shares half of its words; unknown if one has none (row 199)."""
     from pyspark.sql import Window
