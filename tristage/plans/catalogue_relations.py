@@ -52,10 +52,10 @@ def majority_share(spark, sf_dir):
     return R.majority(rows, ["room"], "file", "area").select("room", F.round("share", 6).alias("share"))
 
 
-@query("WITH k AS (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT (p_brand, p_size % 3)) = 1) SELECT p_partkey, p_name FROM part JOIN k USING (p_name)")
+@query("WITH p AS (SELECT *, p_name || ' ' || p_size AS code FROM part), k AS (SELECT code FROM p GROUP BY code HAVING count(DISTINCT (p_brand, p_size % 3)) = 1) SELECT p_partkey, code FROM p JOIN k USING (code)")
 def own_codes(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("k", F.col("p_size") % 3)
-    return R.own_codes(p, ["p_brand", "k"], "p_name").select("p_partkey", "p_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") % 3).alias("k"), F.concat("p_name", F.lit(" "), "p_size").alias("code"))
+    return R.own_codes(p, ["p_brand", "k"], "code").select("p_partkey", "code")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS file, l_linenumber AS page, CAST(l_quantity AS INTEGER) AS flow, CAST(l_partkey % 60 AS INTEGER) AS calc_flow, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey % 9 END AS pressure, l_suppkey % 7 AS calc_pressure FROM lineitem)
@@ -94,10 +94,10 @@ def door_limits(spark, sf_dir):
     return sides(candidates(spark, sf_dir).where("value > 40").withColumn("d", d), ["chain"], value="d").select("chain", R.door_limits(F.col("pd"), F.col("rd")).alias("state"))
 
 
-@query(CANDS + " SELECT DISTINCT code, section FROM cands r WHERE stage = 'RD' AND value > 47 AND NOT EXISTS (SELECT 1 FROM cands p WHERE p.stage = 'PD' AND p.value > 47 AND p.code = r.code AND p.section = r.section) AND NOT EXISTS (SELECT 1 FROM cands i WHERE i.stage = 'ID' AND i.value > 49 AND i.code = r.code AND i.section = r.section)")
+@query(CANDS + " SELECT DISTINCT code, chain FROM cands r WHERE stage = 'RD' AND value > 47 AND NOT EXISTS (SELECT 1 FROM cands p WHERE p.stage = 'PD' AND p.value > 47 AND p.code = r.code AND p.chain = r.chain) AND NOT EXISTS (SELECT 1 FROM cands i WHERE i.stage = 'ID' AND i.value > 49 AND i.code = r.code AND i.chain = r.chain)")
 def new_makers(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    return R.new_makers(_stage(c, "PD").where("value > 47"), _stage(c, "RD").where("value > 47"), _stage(c, "ID").where("value > 49"), ["code", "section"])
+    return R.new_makers(_stage(c, "PD").where("value > 47"), _stage(c, "RD").where("value > 47"), _stage(c, "ID").where("value > 49"), ["code", "chain"])
 
 
 @query("""WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS number, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS purpose, p_brand AS layers FROM part),
