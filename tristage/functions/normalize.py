@@ -10,8 +10,8 @@ UNITS = [("mm", "length", 0.001), ("cm", "length", 0.01), ("m", "length", 1.0),
 
 
 def number(text: Column) -> Column:
-    """«29 200,00» as 29200.0."""
-    return F.regexp_replace(F.regexp_replace(text, r"[  ]", ""), ",", ".").cast("double")
+    """«29 200,00» as 29200.0; null if the text is no number (row 041)."""
+    return F.regexp_replace(F.regexp_replace(text, "[ \u00a0\u202f]", ""), ",", ".").try_cast("double")
 
 
 def location(text: Column) -> Column:

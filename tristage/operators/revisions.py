@@ -53,3 +53,33 @@ def resolve(members: DataFrame, chain: list[str], file: str) -> DataFrame:
     clear = (F.col("_tops") == 1) & (F.col("_blocked") == 0)
     status = F.when(clear, F.when(F.col("later") == 0, "CURRENT").otherwise("SUPERSEDED")).when(F.col("older"), "SUPERSEDED").otherwise("CLARIFICATION_REQUIRED")
     return one.join(tops, chain).select(*chain, file, status.alias("status"), F.when(clear, F.col("later")).alias("place"))
+
+#: What stands left of a mark is no letter; marks of corrections, changes, versions, copies, approval.
+_LEFT = "(?<![А-Яа-яЁёA-Za-z])"
+_APPROVALS = {"E_SIGNATURE": "ЭЦП", "STATE_EXPERTISE": "(?<![А-Яа-яЁё])МГЭ(?![А-Яа-яЁё])", "BUILDING_PERMIT_PACKAGE": "(?<![А-Яа-яЁё])РнС(?![а-яё])", "ISSUED_FOR_CONSTRUCTION": r"(?iu)в\s+производство"}
+
+
+def name_marks(name: Column) -> Column:
+    """Marks of an edition in a file name (row 067): correction, gip, by_comments, change, version, date, copy, approval.
+
+    The extension goes first. A date is given as YYYY-MM-DD, from forms with the year first or last; one that no
+    calendar of 2015 to 2030 has is none. Marks that a name lacks are null, or false.
+    """
+    stem = F.regexp_replace(name, r"(?i)(?:\.(?:pdf|docx|xml|xlsx|doc))+$", "")
+    n = lambda p, g=1: F.regexp_extract(stem, p, g).try_cast("int")
+    iso, dmy, packed = r"(?<![0-9])(20[0-9]{2})([-_.])([0-9]{1,2})\2([0-9]{1,2})(?![0-9])", r"(?<![0-9.])([0-9]{1,2})\.([0-9]{1,2})\.((?:20)?[0-9]{2})(?![0-9.])", r"(?<![0-9])([0-9]{2})([0-9]{2})(20[0-9]{2})(?![0-9])"
+    year = lambda y: F.when(y < 100, 2000 + y).otherwise(y)
+    made = lambda y, m, d: F.when(y.between(2015, 2030) & m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+    date = F.coalesce(made(n(iso, 1), n(iso, 3), n(iso, 4)), made(year(n(dmy, 3)), n(dmy, 2), n(dmy, 1)), made(n(packed, 3), n(packed, 2), n(packed, 1)))
+    has = lambda p: stem.rlike(p)
+    approval = F.coalesce(*(F.when(has(p), F.lit(k)) for k, p in _APPROVALS.items()))
+    return F.struct(
+        n(rf"(?iu){_LEFT}корр?\.?\s*([0-9]{{1,2}})(?![0-9])").alias("correction"),
+        has(rf"(?iu){_LEFT}корр?\.?\s*ГИП").alias("gip"),
+        has(r"(?iu)изм\.?\s*по\s*замечани").alias("by_comments"),
+        n(rf"(?iu){_LEFT}изм(?:енение)?\.?\s*№?\s*([0-9]{{1,2}})(?![0-9])").alias("change"),
+        F.coalesce(n(rf"{_LEFT}(?:[Вв]ер(?:сия)?|в)\.?\s*([0-9]{{1,2}})(?![0-9.])"), n(r"(?i)(?<![A-Za-zА-Яа-яЁё0-9])(?:ver(?:sion)?|v|rev(?:ision)?)\.?\s*([0-9]{1,2})(?![0-9.])")).alias("version"),
+        date.alias("date"),
+        n(r"\(([0-9]{1,2})\)").alias("copy"),
+        approval.alias("approval"),
+    )
