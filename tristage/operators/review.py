@@ -187,3 +187,33 @@ def excesses(rows: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
     most = limits.groupBy(*by).agg(F.max("limit").alias("limit"))
     over = rows.join(most, by).where(F.abs("v") > F.col("limit"))
     return over.withColumn("digits", F.regexp_replace("mark", "[^0-9]", "")).groupBy(*by, "digits", "v").agg(F.min("mark").alias("mark"), F.first("limit").alias("limit"))
+
+
+#: Extensions of signatures, which count apart from rejected files.
+SIGNATURES = (".sig", ".p7s", ".sgn")
+
+
+def file_counts(files: DataFrame, by: list[str]) -> DataFrame:
+    """Accepted and rejected files and signatures of each stage (row 248): files with stage, status, extension. A mixed
+    file counts for both of its stages."""
+    stages = F.when(F.col("stage") == "RD_ID_MIXED", F.array(F.lit("RD"), F.lit("ID"))).otherwise(F.array("stage"))
+    rows = files.withColumn("stage", F.explode(stages)).where(F.col("stage").isin("PD", "RD", "ID"))
+    ok, mark = F.col("status") == "ACCEPTED", F.lower("extension").isin(*SIGNATURES)
+    return rows.groupBy(*by, "stage").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok & ~mark).alias("rejected"), F.count_if(~ok & mark).alias("signatures"))
+
+
+def upload_status(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Marks of the three stages and the scenario that they allow (row 249)."""
+    n = lambda s, c: F.coalesce(F.max(F.when(F.col("stage") == s, F.col(c))), F.lit(0))
+    s = counted.groupBy(*by).agg(*(n(s, c).alias(f"{s}_{c}") for s in ("PD", "RD", "ID") for c in ("accepted", "rejected")))
+    state = lambda x: F.concat(F.lit(f"{x}_"), F.when(F.col(f"{x}_accepted") == 0, "MISSING").when(F.col(f"{x}_rejected") > 0, "PARTIAL").otherwise("UPLOADED"))
+    marks = F.array(*(state(x) for x in ("PD", "RD", "ID")))
+    has = F.array_join(F.filter(F.array(*(F.when(F.col(f"{x}_accepted") > 0, F.lit(x)) for x in ("PD", "RD", "ID"))), lambda x: x.isNotNull()), "_")
+    partial = F.exists(marks, lambda m: m.endswith("_PARTIAL"))
+    scenario = F.when(partial, "PARTIALLY_LOADED").when(has == "PD_RD_ID", "FULL").when(has.contains("_"), F.concat(has, F.lit("_ONLY"))).when(has != "", "SINGLE_ONLY")
+    return s.select(*by, marks.alias("statuses"), scenario.alias("scenario"))
+
+
+def registry_summary(rows: DataFrame, by: list[str], digest: str, size: str) -> DataFrame:
+    """Documents, distinct contents and total size of each key (rows 005, 008, 246)."""
+    return rows.groupBy(*by).agg(F.count("*").alias("documents"), F.countDistinct(digest).alias("distinct"), F.sum(size).alias("size"))

@@ -223,3 +223,32 @@ def tolerance_excesses(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.concat(F.lit("K-"), F.col("l_linenumber").cast("string")).alias("mark"), (F.col("l_quantity") - 25).alias("v"))
     limits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sheet"), (F.col("o_orderkey") % 20 + 1).alias("limit"))
     return review.excesses(rows, limits, ["sheet"])
+
+
+_FILES = "SELECT o_custkey AS process, CASE o_orderkey % 5 WHEN 0 THEN 'RD_ID_MIXED' WHEN 1 THEN 'PD' WHEN 2 THEN 'RD' WHEN 3 THEN 'ID' ELSE 'UNKNOWN' END AS stage, CASE WHEN o_orderstatus = 'F' OR o_orderkey % 3 = 0 THEN 'ACCEPTED' ELSE 'REJECTED' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN '.SIG' ELSE '.pdf' END AS extension FROM orders"
+_COUNTED = f"WITH f AS ({_FILES}), e AS (SELECT process, unnest(CASE WHEN stage = 'RD_ID_MIXED' THEN ['RD', 'ID'] ELSE [stage] END) AS stage, status, extension FROM f), c AS (SELECT process, stage, count(*) FILTER (status = 'ACCEPTED') AS accepted, count(*) FILTER (status <> 'ACCEPTED' AND lower(extension) <> '.sig') AS rejected, count(*) FILTER (status <> 'ACCEPTED' AND lower(extension) = '.sig') AS signatures FROM e WHERE stage <> 'UNKNOWN' GROUP BY ALL)"
+
+
+def _files(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    stage = F.when(k % 5 == 0, "RD_ID_MIXED").when(k % 5 == 1, "PD").when(k % 5 == 2, "RD").when(k % 5 == 3, "ID").otherwise("UNKNOWN")
+    return o.select(F.col("o_custkey").alias("process"), stage.alias("stage"), F.when((F.col("o_orderstatus") == "F") | (k % 3 == 0), "ACCEPTED").otherwise("REJECTED").alias("status"), F.when(k % 4 == 0, ".SIG").otherwise(".pdf").alias("extension"))
+
+
+@query(_COUNTED + " SELECT * FROM c")
+def stage_file_counts(spark, sf_dir):
+    return review.file_counts(_files(spark, sf_dir), ["process"])
+
+
+@query(_COUNTED + """, s AS (SELECT process, list(stage) FILTER (accepted > 0) AS have, bool_or(accepted > 0 AND rejected > 0) AS partial, list(stage) FILTER (accepted > 0 AND rejected > 0) AS p FROM c GROUP BY process)
+ SELECT process, array_to_string(list_transform(['PD', 'RD', 'ID'], lambda x: x || CASE WHEN NOT list_contains(coalesce(have, []), x) THEN '_MISSING' WHEN list_contains(coalesce(p, []), x) THEN '_PARTIAL' ELSE '_UPLOADED' END), ',') AS statuses,
+ CASE WHEN partial THEN 'PARTIALLY_LOADED' WHEN len(have) = 3 THEN 'FULL' WHEN len(have) = 2 THEN array_to_string(list_filter(['PD', 'RD', 'ID'], lambda x: list_contains(have, x)), '_') || '_ONLY' WHEN len(have) = 1 THEN 'SINGLE_ONLY' END AS scenario FROM s""")
+def upload_status(spark, sf_dir):
+    out = review.upload_status(review.file_counts(_files(spark, sf_dir), ["process"]), ["process"])
+    return out.withColumn("statuses", F.array_join("statuses", ","))
+
+
+@query('SELECT lang, source, count(*) AS documents, count(DISTINCT text) AS "distinct", CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY ALL')
+def registry_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("digest"), "n_chars")
+    return review.registry_summary(d, ["lang", "source"], "digest", "n_chars")
