@@ -285,3 +285,34 @@ def first_manifest(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 2000").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).distinct().select("k", F.concat(F.lit("part "), F.col("k").cast("string")).alias("name"))
     return registry.first_manifest([s, li], "k").select("k", "name")
+
+
+_SHEETS = """WITH s AS (SELECT o_custkey % 40 AS object, o_orderkey AS sheet, CASE WHEN o_orderkey % 2 = 0 THEN 'PD' ELSE 'RD' END AS stage, CASE o_orderkey % 5 WHEN 0 THEN 'OTHER' WHEN 1 THEN 'AR' WHEN 2 THEN 'AR' ELSE 'OV' END AS section,
+ CASE WHEN o_orderkey % 7 = 0 THEN []::VARCHAR[] ELSE ['w' || (o_orderkey % 9), 'v' || (o_orderkey % 4), 'план'] END AS words, ['n' || (o_orderkey % 3)] AS numbers, CASE o_orderkey % 6 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['VENT'] WHEN 2 THEN ['VENT', 'HEAT'] ELSE ['WATER'] END AS tags FROM orders),
+ m AS (SELECT DISTINCT object, sheet, stage, CAST(l_partkey % 12 AS BIGINT) AS room FROM s JOIN lineitem ON l_orderkey = sheet), g AS (SELECT sheet, list(room) AS rooms FROM m GROUP BY sheet),
+ a AS (SELECT s.*, coalesce(rooms, []) AS rooms FROM s LEFT JOIN g USING (sheet)),
+ p AS (SELECT p.object, p.sheet AS pd, r.sheet AS rd, len(list_intersect(p.rooms, r.rooms)) AS shared, CASE WHEN len(p.rooms) = 0 THEN 0 ELSE len(list_intersect(p.rooms, r.rooms)) / len(p.rooms) END AS containment, len(p.rooms) AS nr,
+  CASE WHEN len(p.words) = 0 OR len(r.words) = 0 OR p.numbers <> r.numbers THEN 0 ELSE len(list_intersect(list_concat(p.words, p.numbers), list_concat(r.words, r.numbers))) / len(list_distinct(list_concat(p.words, p.numbers, r.words, r.numbers))) END AS similarity,
+  len(p.words) + 1 >= 3 AS informative, p.section = r.section AS same, p.section <> r.section AND p.section <> 'OTHER' AND r.section <> 'OTHER' AS apart, CASE WHEN len(p.tags) > 0 AND len(r.tags) > 0 THEN CASE WHEN list_has_any(p.tags, r.tags) THEN 0.25 ELSE -0.25 END ELSE 0 END AS bonus FROM a p JOIN a r ON p.object = r.object AND p.stage = 'PD' AND r.stage = 'RD'),
+ f AS (SELECT *, shared >= 3 AND containment >= 0.15 AS by_rooms, similarity >= 0.6 AS named FROM p),
+ k AS (SELECT *, round(containment + bonus + CASE WHEN similarity >= 0.999 THEN 2.0 WHEN named THEN 0.5 * similarity ELSE 0 END, 3) AS score, CASE WHEN by_rooms AND named THEN 'BOTH' WHEN by_rooms THEN 'ROOMS' ELSE 'NAME' END AS how FROM f WHERE NOT apart AND (by_rooms OR named AND informative AND same) AND (nr >= 3 OR informative))"""
+
+
+@query(_SHEETS + " SELECT object, pd, rd, shared, round(containment, 3) AS containment, round(similarity, 3) AS similarity, how, score, place FROM (SELECT *, row_number() OVER (PARTITION BY object, pd ORDER BY score DESC, shared DESC, rd) AS place FROM k) WHERE place <= 12")
+def sheet_pairs(spark, sf_dir):
+    from tristage.operators import sheets
+
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    text = lambda p, m: F.concat(F.lit(p), (k % m).cast("string"))
+    s = o.select(
+        (F.col("o_custkey") % 40).alias("object"),
+        k.alias("sheet"),
+        F.when(k % 2 == 0, "PD").otherwise("RD").alias("stage"),
+        F.when(k % 5 == 0, "OTHER").when((k % 5).isin(1, 2), "AR").otherwise("OV").alias("section"),
+        F.when(k % 7 == 0, none).otherwise(F.array(text("w", 9), text("v", 4), F.lit("план"))).alias("words"),
+        F.array(text("n", 3)).alias("numbers"),
+        F.when(k % 6 == 0, none).when(k % 6 == 1, F.array(F.lit("VENT"))).when(k % 6 == 2, F.array(F.lit("VENT"), F.lit("HEAT"))).otherwise(F.array(F.lit("WATER"))).alias("tags"),
+    )
+    rooms = table(spark, sf_dir, "lineitem").join(s.select("object", "sheet"), F.col("l_orderkey") == F.col("sheet")).select("object", "sheet", (F.col("l_partkey") % 12).alias("room"))
+    return sheets.pairs(s, rooms, ["object"])
