@@ -9,7 +9,11 @@ from .common import save
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) -> node, component: the smallest node reachable. Nodes without an edge do not appear."""
+    """edges (u, v) -> node, component: the smallest node reachable. Nodes without an edge to another do not appear.
+
+    Edges may repeat and stand in either direction; those with a null end are left out; other columns play no part; an
+    empty table gives an empty result.
+    """
     e = save(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:

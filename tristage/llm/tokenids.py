@@ -132,7 +132,11 @@ def loaded(path: str) -> Tokens:
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, 16 bits an id if the vocabulary allows, else 32), the end id appended."""
+    """doc_id, n_tokens, ids (binary, 16 bits an id if the vocabulary allows, else 32), the end id appended.
+
+    A null or empty text has the end id alone; texts of any length are encoded whole; rows are taken one by one, so
+    repeats are alike, null doc_ids stay and an empty table gives an empty result. Other columns of docs play no part.
+    """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -243,7 +247,8 @@ def build_code(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write(encoded: DataFrame, path: str) -> None:
-    """Write path/code and path/blocks, in ascending order of doc_id (nulls first), ties by their ids."""
+    """Write path/code and path/blocks, in ascending order of doc_id (nulls first), ties by their ids. Repeated rows are
+    documents each; a document of any length stands whole in one block; an empty table gives empty files."""
     spark = encoded.sparkSession
     ids, lengths = build_code(counts(encoded))
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist(), strict=True)), "id long, length long").coalesce(1).write.parquet(f"{path}/code")
