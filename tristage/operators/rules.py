@@ -17,6 +17,7 @@ def _between(value: str, low: float, high: float) -> str:
     return f"CASE WHEN {value} BETWEEN {low} AND {high} THEN {value} END"
 
 
+#: Fixed values, all tables and patterns from here on: wording and limits that results depend on.
 _SYSTEM = r"(?:ВД|ДВ|ДУ|ПД|ДП|КДВ)[0-9]{1,2}(?:\.[0-9]{1,2})?(?:\([0-9]\))?"
 _ROOM = r"-?[0-9]{1,2}(?:\.[0-9]{1,2})?-[0-9]{1,3}[а-я]?|[0-9]{1,4}[а-я]?"
 _WC = rf"(?:Универсальн|Доступн){WW}+\s+кабин{WW}*(?:\s+(?:уборной|МГН|для\s+(?:МГН|инвалидов)))?|(?:Санузел|Уборная|С/у)\s+(?:для\s+)?(?:МГН|инвалидов)"
