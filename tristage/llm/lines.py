@@ -24,7 +24,7 @@ from .common import drop, save, small, tracked
 
 WORDS, PERCENT = 5, 80
 #: Buckets of words that are counted; a word's rank is that of its bucket.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Lines that share a token: above this their pairs are decided before they are put out; in parts of so many rows.
 CROWD, SPLIT = 16, 512
 #: Longs of a sketch, a power of two.
