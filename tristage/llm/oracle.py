@@ -56,4 +56,55 @@ OP10 = (
     + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)
     + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN c USING (doc_id)"
 )
-ORACLE_SQL = {"op1_warc": OP1, "op4_minhash": OP4, "op6_line_dedup": OP6, "op10_secret_scans": OP10}
+
+#: Sources up to their limit come first in order of size over weight; words before a document in order of its key.
+OP11 = """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')) AS BIGINT) AS size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
+ w AS (SELECT source, n, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * n AS cap FROM s),
+ t AS (SELECT *, sum(n) OVER () AS total, sum(w) OVER () AS weights, coalesce(sum(cap) OVER o, 0) AS before, coalesce(sum(w) OVER o, 0) AS passed FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT *, (3 * total - 2 * before) * w >= cap * 2 * (weights - passed) AS held FROM t),
+ g AS (SELECT coalesce(sum(cap) FILTER (held), 0) AS taken, coalesce(sum(w) FILTER (held), 0) AS out FROM f),
+ x AS (SELECT source, n, CASE WHEN held THEN CAST(cap AS DOUBLE) ELSE CAST(w * (3 * total - 2 * taken) AS DOUBLE) / CAST(2 * greatest(weights - out, 1) AS DOUBLE) END AS target FROM f, g),
+ y AS (SELECT doc_id, size, n AS source_size, target, CAST(floor(target) AS BIGINT) AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+ z AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM y)
+ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) AS BIGINT) AS taken, CAST(epochs AS BIGINT) AS epochs FROM z"""
+
+
+def _vectors(factor: int, more: str = "") -> str:
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0{more})"""
+
+
+#: Rounded down: what is over the next multiple goes off first.
+_MEAN = "CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x"
+
+
+def _lloyd(i: int) -> str:
+    return f""", a{i} AS MATERIALIZED (SELECT vec_id, k, d FROM (SELECT p.vec_id, c.k, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c{i} c USING (j) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1),
+ c{i + 1} AS MATERIALIZED (SELECT c.k, c.j, {_MEAN} FROM c{i} c LEFT JOIN (SELECT k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN p USING (vec_id) GROUP BY k, j) USING (k, j))"""
+
+
+OP13 = (
+    _vectors(64, " AND len(embedding) = 64")
+    + """, p AS MATERIALIZED (SELECT vec_id, generate_subscripts(e, 1) AS j, unnest(e) AS x FROM v),
+ c0 AS MATERIALIZED (SELECT k, j, x FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM v QUALIFY k < 16) JOIN p USING (vec_id))"""
+    + "".join(map(_lloyd, range(4)))
+    + """, h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c3 GROUP BY k)
+ SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a3 JOIN h USING (k)"""
+)
+
+
+def _product(i: int) -> str:
+    return f""", a{i} AS MATERIALIZED (SELECT vec_id, g, k, d FROM (SELECT p.vec_id, p.g, c.k, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c{i} c USING (g, j) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id, g ORDER BY d, k) = 1),
+ c{i + 1} AS MATERIALIZED (SELECT c.g, c.k, c.j, {_MEAN} FROM c{i} c LEFT JOIN (SELECT g, k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN p USING (vec_id, g) GROUP BY ALL) USING (g, k, j))"""
+
+
+OP12 = (
+    _vectors(256)
+    + """, p AS MATERIALIZED (SELECT vec_id, (j - 1) // w AS g, (j - 1) % w AS j, x FROM (SELECT vec_id, len(e) // 16 AS w, generate_subscripts(e, 1) AS j, unnest(e) AS x FROM v)),
+ c0 AS MATERIALIZED (SELECT g, k, j, x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64) JOIN p USING (vec_id))"""
+    + "".join(map(_product, range(3)))
+    + """, r AS (SELECT vec_id, string_agg(lower(printf('%02x', k)), '' ORDER BY g) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY g, k, j)) FROM c2) AS codebooks_sha256 FROM r JOIN v USING (vec_id)"""
+)
+
+ORACLE_SQL = {"op1_warc": OP1, "op4_minhash": OP4, "op6_line_dedup": OP6, "op10_secret_scans": OP10, "op11_mixing": OP11, "op12_vector_codes": OP12, "op13_clustering": OP13}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licences, lines, minhash, pieces, quality, secrets, tokenids, warc
-from .common import table
+from . import clusters, decontaminate, html, licences, lines, minhash, mixing, pieces, quality, secrets, tokenids, vectorcodes, warc
+from .common import save, table
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -63,5 +63,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op4_minhash, op5_token_files, op6_line_dedup, op7_quality_rules, op8_decontamination, op9_html_extraction, op10_secret_scans)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = mixing.sized(table(spark, sf_dir, "documents"))
+    sizes = save(mixing.sources(documents), "sources")
+    mixed = mixing.mix(documents, mixing.targets(sizes, mixing.cycled(sizes, (5, 2, 1)), percent=150, epochs=2))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.report(*vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=16, k=64, rounds=2, factor=256))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, factor=64, seed="1")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_license_scans, op3_sentencepiece, op4_minhash, op5_token_files, op6_line_dedup, op7_quality_rules, op8_decontamination, op9_html_extraction, op10_secret_scans, op11_mixing, op12_vector_codes, op13_clustering)}
