@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import save
 
 #: Changes whenever RULES changes; blobs are scanned again under a new version.
-RULE_VERSION = "2026-1"
+RULE_VERSION = "2026-2"
+#: No pattern repeats a group: Java matches such repeats by recursion, so that a long text would overflow its stack. The
+#: first part of a jwt, a short header, is bounded, or a long run of its letters without a dot would cost its square.
 #: Kind, pattern, group that must be long (0: whole match), its least length; in order of listing.
 RULES = [
     ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -20,8 +22,8 @@ RULES = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}", 0, 25),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 36),
-    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 20),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,1000}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 36),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 ]
 BASE = [k for k, *_ in RULES[:3]]
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
