@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tristage.plans import catalogue, catalogue_compare, catalogue_extract, catalogue_findings, catalogue_labels, catalogue_relations, catalogue_review, catalogue_revisions, catalogue_text  # noqa: F401
+from tristage.plans import catalogue, catalogue_compare, catalogue_extract, catalogue_findings, catalogue_labels, catalogue_places, catalogue_relations, catalogue_review, catalogue_revisions, catalogue_text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,6 +35,6 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_queries_without_sql(spark):
     """A page has one partner at most, and partners ascend on both sides."""
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"aligned_pages"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"aligned_pages", "placed_pages"}
     pairs = sorted(map(tuple, catalogue.QUERIES["aligned_pages"](spark, DATA).collect()))
     assert pairs and all(a[0] < b[0] or a[1] < b[1] and a[2] < b[2] for a, b in zip(pairs, pairs[1:], strict=False))

@@ -46,8 +46,8 @@ def resolve(members: DataFrame, chain: list[str], file: str) -> DataFrame:
     for k in chain:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     order, issue = compare(F.col("a.m"), F.col("b.m")), issue_order(F.col("a.m"), F.col("b.m"))
-    met = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in chain), F.col(f"a.{file}").alias(file), order.alias("o"), issue.alias("i"))
-    each = met.groupBy(*chain, file).agg(F.count_if(F.col("o") == -1).alias("later"), F.count_if(F.col("o").isNull() | (F.col("o") == 0)).alias("open"), F.max(F.coalesce(F.col("i") == -1, F.lit(False))).alias("older"))
+    met = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in chain), F.col(f"a.{file}").alias(file), order.alias("_o"), issue.alias("_i"))
+    each = met.groupBy(*chain, file).agg(F.count_if(F.col("_o") == -1).alias("later"), F.count_if(F.col("_o").isNull() | (F.col("_o") == 0)).alias("open"), F.max(F.coalesce(F.col("_i") == -1, F.lit(False))).alias("older"))
     one = members.select(*chain, file).join(each, [*chain, file], "left").fillna({"later": 0, "open": 0, "older": False})
     tops = one.groupBy(*chain).agg(F.count_if(F.col("later") == 0).alias("_tops"), F.max(F.when(F.col("later") == 0, F.col("open"))).alias("_blocked"))
     clear = (F.col("_tops") == 1) & (F.col("_blocked") == 0)
@@ -65,7 +65,7 @@ def name_marks(name: Column) -> Column:
     The extension goes first. A date is given as YYYY-MM-DD, from forms with the year first or last; one that no
     calendar of 2015 to 2030 has is none. Marks that a name lacks are null, or false.
     """
-    stem = F.regexp_replace(name, r"(?i)(?:\.(?:pdf|docx|xml|xlsx|doc))+$", "")
+    stem = F.regexp_replace(name, r"(?i)(?:\.(?:pdf|docx|xml|xlsx|doc)){1,20}$", "")
     n = lambda p, g=1: F.regexp_extract(stem, p, g).try_cast("int")
     iso, dmy, packed = r"(?<![0-9])(20[0-9]{2})([-_.])([0-9]{1,2})\2([0-9]{1,2})(?![0-9])", r"(?<![0-9.])([0-9]{1,2})\.([0-9]{1,2})\.((?:20)?[0-9]{2})(?![0-9.])", r"(?<![0-9])([0-9]{2})([0-9]{2})(20[0-9]{2})(?![0-9])"
     year = lambda y: F.when(y < 100, 2000 + y).otherwise(y)

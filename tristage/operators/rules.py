@@ -17,6 +17,7 @@ def _between(value: str, low: float, high: float) -> str:
     return f"CASE WHEN {value} BETWEEN {low} AND {high} THEN {value} END"
 
 
+#: Repeats of groups have bounds: Java matches them by recursion, and a text of any length must not overflow its stack.
 #: Fixed values, all tables and patterns from here on: wording and limits that results depend on.
 _SYSTEM = r"(?:ВД|ДВ|ДУ|ПД|ДП|КДВ)[0-9]{1,2}(?:\.[0-9]{1,2})?(?:\([0-9]\))?"
 _ROOM = r"-?[0-9]{1,2}(?:\.[0-9]{1,2})?-[0-9]{1,3}[а-я]?|[0-9]{1,4}[а-я]?"
@@ -72,7 +73,7 @@ RULES: dict[str, list[Rule]] = {
     "hydrants": [Rule("hydrants", rf"(?<![а-яё])(?:от|с\s+помощью)\s+(двух|тр[её]х|четыр[её]х|пяти|[2-9])\s+((?:существующ|проектируем|установленн|нов){W}*\s+)?(?:пожарн{W}+\s+)?гидрант{W}*", ("n", "k"), key="CASE WHEN x.k LIKE 'существ%' THEN 'существующие' ELSE '' END", value=_HYDRANTS)],
     "light_sources": [Rule("light_sources", p, value=f"'{k}'", veto=_NOT_DESIGN, inside=False, window=120, veto_after=_WASTE + ("" if k == "светодиодные" else _OR_LED), after=120, need=rf"светильник|ламп|освещени|источник{W}*\s+света|светов{W}+\s+указател") for k, p in _LIGHT.items()],
     "resource_meters": [Rule("resource_meters", p, key=f"'{k}'", value=f"'{k}'") for k, p in _METERS.items()],
-    "smoke_fans": [Rule("smoke_fans", rf"(?<![0-9A-Za-zА-Яа-яЁё_.-])({_SYSTEM}(?:,\s?{_SYSTEM})*)\s*\(\s*L\s?=\s?([0-9]{{3,6}})\s*м[3³]/ч\s*,?\s*Pc\s?=\s?([0-9]{{2,4}})\s*Па\s*\)", ("s", "f", "p"), key="x.s", value="concat(x.f, '|', x.p)", fold=False)],
+    "smoke_fans": [Rule("smoke_fans", rf"(?<![0-9A-Za-zА-Яа-яЁё_.-])({_SYSTEM}(?:,\s?{_SYSTEM}){{0,199}})\s*\(\s*L\s?=\s?([0-9]{{3,6}})\s*м[3³]/ч\s*,?\s*Pc\s?=\s?([0-9]{{2,4}})\s*Па\s*\)", ("s", "f", "p"), key="x.s", value="concat(x.f, '|', x.p)", fold=False)],
     "window_schedule": [Rule("window_schedule", r"(?<![А-ЯЁA-Za-zа-яё0-9])((?:ОК[БВЛ]?|ОБ|О|В[НВТЖ]?|ОП|Ок)[-\s]?[0-9]{1,3}(?:\.[0-9]{1,2})?[а-яё*]?)\s+([0-9]{3,5})\s*[xх×*]\s*([0-9]{3,5})(?:\s*\(h\))?\s+([0-9]{1,4})(?![0-9.,хx×])", ("mark", "w", "h", "n"), key="upper(replace(x.mark, ' ', ''))", value="concat(x.w, 'x', x.h, ' ', x.n)", fold=False)],
     "crane_zones": [
         Rule("crane_zones", r"(?<![A-Za-zА-Яа-я])((?:Potain|Liebherr|Terex|Comansa|Jaso|Zoomlion|XCMG|SANY|Yongmao)\s?[A-Za-zА-Яа-я]{0,4}[-‑\s]?[0-9]{2,4}|КБ[-‑]?\s?[0-9]{3}(?:\.[0-9])?)", ("m",), key="'башенный кран'", value=_LATIN, fold=False, veto=rf"(?i)ltm|КС[-‑\s]?[0-9]|автокран|автомобильн{WW}+\s+кран|манипулятор|unic|экскаватор|liebherr\s?r\s?[0-9]", window=40),
@@ -87,6 +88,6 @@ RULES: dict[str, list[Rule]] = {
     "build_technology": [Rule("build_technology", p, key=f"'{g}'", value=f"'{k}'") for g, k, p in _TECHNOLOGIES],
     "material_takeoff": [Rule("material_takeoff", rf"объ[её]м{W}*\s+бетона\s+на\s+устройство\s+([а-яё]+(?:\s+[а-яё]+){{0,2}}?)\s*[-–—:]\s*([0-9]+(?:[.,][0-9]+)?)\s*(?:м3|м³|куб)", ("el", "v"), key="x.el", value=f"CASE WHEN {_FLOW} > 0 THEN {_FLOW} END")],
     "slope_range": [Rule("slope_range", r"(?<![0-9.,-])([0-9]{1,3}(?:[.,][0-9])?)\s*‰\s+([0-9]{1,3}[.,][0-9]{2})(?![0-9])", ("v", "len"), key="'продольные уклоны'", value=f"CASE WHEN {_FLOW} > 0 AND {_FLOW} <= 200 THEN {_FLOW} END")],
-    "norm_references": [Rule("norm_references", r"(?<![0-9A-Za-zА-Яа-яЁё_-])(ГОСТ\s*Р|ГОСТ|СНиП|СанПиН|СП|СТО\s*НОСТРОЙ|СТО|ОСТ|ТР\s*ТС|МГСН|ВСН|ПУЭ|НПБ|ППБ|РД|ТУ)(?![А-ЯЁа-яёA-Za-z])\s*[-–—]?\s*([0-9]+(?:[.\-/][0-9]+)*)", ("kind", "number"), key="x.kind", value="x.number", fold=False)],
+    "norm_references": [Rule("norm_references", r"(?<![0-9A-Za-zА-Яа-яЁё_-])(ГОСТ\s*Р|ГОСТ|СНиП|СанПиН|СП|СТО\s*НОСТРОЙ|СТО|ОСТ|ТР\s*ТС|МГСН|ВСН|ПУЭ|НПБ|ППБ|РД|ТУ)(?![А-ЯЁа-яёA-Za-z])\s*[-–—]?\s*([0-9]+(?:[.\-/][0-9]+){0,30})", ("kind", "number"), key="x.kind", value="x.number", fold=False)],
     "concrete_classes": [Rule("concrete_classes", r"(?<![A-Za-zА-Яа-яЁё0-9])[ВB]\s?([0-9]{1,3})(?![0-9,.])", ("n",), value="CASE WHEN try_cast(x.n AS int) BETWEEN 3 AND 100 THEN try_cast(x.n AS int) END", fold=False)],
 }
