@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tristage.operators import chains, layout
+from tristage.operators import chains, layout, rooms
 from tristage.plans.catalogue import query, table
 
 BY = ["f", "page"]
@@ -144,3 +144,30 @@ def chain_places(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     before = F.lag("p_partkey").over(Window.partitionBy("p_brand", F.col("p_size") % 5).orderBy("p_partkey"))
     return chains.chain_index(p.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("file_id"), before.alias("predecessor")), ["brand"])
+
+
+_LEFT, _RIGHT = 0.05, 0.55
+
+
+def _room_words(spark, sf_dir):
+    """Two tables side by side on the page of each brand, with a row for each part: some have no area or no category."""
+    place = Window.partitionBy("p_brand", F.col("p_partkey") % 2).orderBy("p_partkey")
+    p = table(spark, sf_dir, "part").withColumn("i", F.row_number().over(place))
+    x, y = F.when(F.col("p_partkey") % 2 == 0, _LEFT).otherwise(_RIGHT), 0.1 + F.col("i") * 0.012
+    number = (F.when(F.col("p_partkey") % 2 == 0, 99).otherwise(499) + F.col("i")).cast("string")
+    one = lambda dx, t, n: F.struct(F.lit(n).alias("n"), F.lit(dx).alias("dx"), t.alias("t"))
+    names = F.transform(F.split("p_name", " "), lambda t, j: F.struct((F.lit(10) + j).alias("n"), (F.lit(0.08) + j * 0.05).alias("dx"), t.alias("t")))
+    cells = F.concat(F.array(one(0.0, number, 1)), names, F.when(F.col("p_size") % 5 > 0, F.array(one(0.28, F.concat(F.col("p_size"), F.lit(",5")), 50))).otherwise(F.array().cast("array<struct<n:int,dx:double,t:string>>")), F.when(F.col("p_size") % 3 == 0, F.array(one(0.34, F.lit("В2"), 60))).otherwise(F.array().cast("array<struct<n:int,dx:double,t:string>>")))
+    body = p.select("p_brand", (F.col("p_partkey") * 100).alias("o"), x.alias("x"), y.alias("y"), F.explode(cells).alias("c")).select("p_brand", (F.col("o") + F.col("c.n")).alias("word"), "c.t", (F.col("x") + F.col("c.dx")).alias("x0"), F.col("y").alias("y0"))
+    head = [(x0 + dx, 0.09, t) for x0 in (_LEFT, _RIGHT) for dx, t in ((-0.02, "Номер"), (0.02, "пом."), (0.09, "Наименование"), (0.28, "Площадь,"), (0.34, "Кат."))] + [(_LEFT, 0.06, "Экспликация"), (_LEFT + 0.1, 0.06, "помещений")]
+    heads = F.array(*(F.struct(F.lit(-i).alias("word"), F.lit(t).alias("t"), F.lit(x0).alias("x0"), F.lit(y0).alias("y0")) for i, (x0, y0, t) in enumerate(head)))
+    top = p.select("p_brand").distinct().select("p_brand", F.explode(heads).alias("h")).select("p_brand", "h.*")
+    return body.unionByName(top).withColumns({"x1": F.col("x0") + 0.03, "y1": F.col("y0") + 0.006})
+
+
+@query("""SELECT p_brand AS brand, CAST(CASE WHEN p_partkey % 2 = 0 THEN 99 ELSE 499 END + row_number() OVER (PARTITION BY p_brand, p_partkey % 2 ORDER BY p_partkey) AS VARCHAR) AS number, p_name AS name,
+ CASE WHEN p_size % 5 > 0 THEN p_size + 0.5::DOUBLE END AS area, CASE WHEN p_size % 3 = 0 THEN 'В2' END AS category, true AS labeled FROM part""")
+def room_tables(spark, sf_dir):
+    """What the tables were made of must come back from the boxes of their words."""
+    found, _ = rooms.rooms(_room_words(spark, sf_dir), ["p_brand"])
+    return found.select(F.col("p_brand").alias("brand"), "number", "name", "area", "category", "labeled")
