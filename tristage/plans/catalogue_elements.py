@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tristage.functions.text import flat
-from tristage.operators import elements
+from tristage.operators import elements, labels
 from tristage.plans.catalogue import ORACLE_SQL, QUERIES, table
 
 _V, _P = "Вертикальные конструкции", "Плиты перекрытия"
@@ -55,6 +55,20 @@ MARKS = [
     ("Стена монолитная t=250 +6,110 h=220 0,000 t=90 -1,000 схема армирования плиты покрытия", []),
     ("h=300 –0,150 схема плит перекрытий", [(300, _U)]),
 ]
+#: Text, value, number of columns and how the column was chosen for the label "площадь озеленения" or "площадь застройки".
+COLUMNS = [
+    ("Показатель | до реконструкции | по проекту Площадь застройки, м2 1200,5 1350,0", [(1350.0, 2, "header")]),
+    ("Показатель ГПЗУ Площадь застройки 5000 4800", [(5000.0, 2, "header")]),
+    ("Площадь участка м2 6052 100 Площадь озеленения м2 2669 44,10", [(2669.0, 2, "share")]),
+    ("Площадь застройки 10 20", [(20.0, 2, "rule")]),
+    ("Площадь застройки - 159,95 м2", [(159.95, 1, "single")]),
+    ("Общая площадь работ м2 6052 96,28 Площадь покрытий м2 2669 44,10 Площадь озеленения : м2 1826,6 30,18", [(1826.6, 2, "share")]),
+    ("А м2 331,80 1,52 Б м2 2333,33 10,68 Площадь озеленения м2 7173,7 32,83 В м2 4194,02 19,20", [(7173.7, 2, "share")]),
+    ("Нормативное | Принято м2 % Площадь застройки 1500 1400 35", [(1400.0, 3, "header")]),
+    ("Площадь участка в границах ГПЗУ га 1,1417 Площадь застройки 7000 8000", [(8000.0, 2, "rule")]),
+    ("Площадь застройки 1 2 3 4 5 6", []),
+    ("Площадь озеленения не указана", []),
+]
 #: Text, part of the building.
 ZONES = [
     ("стены -3 по +1", _U), ("плита -2го до кровли", "по всей высоте"), ("на отм. -5.250", _U), ("с отм. +1.620", _A), ("Наружные стены 2-24 этажей", _A),
@@ -108,6 +122,11 @@ def slab_marks(spark, sf_dir):
     return p.select("key", "v.value", "v.zone")
 
 
+def picked_columns(spark, sf_dir):
+    pages = _texts(spark, sf_dir, COLUMNS).select("key", "text")
+    return labels.find_values(pages, "площадь (?:озеленения|застройки)").select("key", "value", "columns", "choice")
+
+
 def building_parts(spark, sf_dir):
     return _texts(spark, sf_dir, ZONES).select("key", elements.zone_of(F.col("text")).alias("zone"))
 
@@ -116,12 +135,13 @@ def crane_free_text(spark, sf_dir):
     return _texts(spark, sf_dir, CRANES).select("key", elements.without_crane_sections(flat(F.col("text"))).alias("body"))
 
 
-QUERIES |= {f.__name__: f for f in (element_classes, plate_thicknesses, slab_marks, building_parts, crane_free_text)}
+QUERIES |= {f.__name__: f for f in (element_classes, plate_thicknesses, slab_marks, building_parts, crane_free_text, picked_columns)}
 _VALUE = f"[{', '.join(map(str, _CLASSES))}][p_size % {len(_CLASSES)} + 1]"
 ORACLE_SQL |= {
     "element_classes": _twin(BINDINGS, lambda c: [f"{_lit(loc)}, {_lit(how)}" for loc, how in c[3]], "location, binding").replace("FROM part", f", CAST({_VALUE} AS DOUBLE) AS value, 'B' || {_VALUE} AS raw FROM part"),
     "plate_thicknesses": _twin(PLATES, lambda c: [_lit(",".join(map(str, v))) for v in c[1]], "mm"),
     "slab_marks": _twin(MARKS, lambda c: [f"{v}, {_lit(z)}" for v, z in c[1]], "value, zone"),
+    "picked_columns": _twin(COLUMNS, lambda c: [f"{v}::DOUBLE, {n}, {_lit(how)}" for v, n, how in c[1]], "value, columns, choice"),
     "building_parts": _twin(ZONES, lambda c: [_lit(c[1])], "zone"),
     "crane_free_text": _twin(CRANES, lambda c: [_lit(c[1])], "body"),
 }
