@@ -27,6 +27,8 @@ SCALE = ["PROMO", "LARGE", "STANDARD", "MEDIUM", "ECONOMY", "SMALL"]
 CANDS = """WITH cands AS (SELECT p_brand AS code, CASE l_returnflag WHEN 'A' THEN 'PD' WHEN 'R' THEN 'RD' ELSE 'ID' END AS stage,
  l_quantity AS value, l_orderkey AS file_id, l_linenumber AS page, l_partkey AS chain, l_shipdate AS rank, l_linestatus AS source,
  p_type AS section FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+#: With finer chains: a seventh of a part's line items each.
+FINE = CANDS.replace("l_partkey AS chain", "l_partkey * 7 + l_orderkey % 7 AS chain")
 VOTE = """, density AS (SELECT file_id, page, count(DISTINCT code) AS density FROM cands GROUP BY ALL),
  votes AS (SELECT code, stage, value, sum(1 + density) AS weight, count(*) AS pages FROM (SELECT DISTINCT code, stage, value, file_id, page FROM cands) JOIN density USING (file_id, page) GROUP BY ALL),
  sides AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code, stage ORDER BY weight DESC, pages DESC, value) AS r, count(*) OVER (PARTITION BY code, stage) - 1 AS alternatives FROM votes) WHERE r = 1)"""
@@ -43,6 +45,10 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("p_brand").alias("code"), stage.alias("stage"), F.col("l_quantity").alias("value"), F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("chain"), F.col("l_shipdate").alias("rank"), F.col("l_linestatus").alias("source"), F.col("p_type").alias("section"))
 
 
+def fine(c: DataFrame) -> DataFrame:
+    return c.withColumn("chain", F.col("chain") * 7 + F.col("file_id") % 7)
+
+
 def query(sql: str | None = None) -> Callable:
     def put(f: Callable) -> Callable:
         QUERIES[f.__name__] = f

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tristage.operators import changes, compare, ordered, spatial
-from tristage.plans.catalogue import CANDS, candidates, query, table
+from tristage.plans.catalogue import CANDS, FINE, candidates, fine, query, table
 
 #: Sides of a part in SQL, as arrays.
 SIDES = CANDS + """, s AS (SELECT chain, coalesce(list_sort(list(DISTINCT value) FILTER (stage = 'PD')), []) AS pd, coalesce(list_sort(list(DISTINCT value) FILTER (stage = 'RD')), []) AS rd FROM cands GROUP BY chain)"""
@@ -54,18 +54,18 @@ def totals_by_kind(spark, sf_dir):
     return t.select("chain", changes.fewer_percent(F.col("pd"), F.col("rd")).alias("status"), changes.exceeds(F.col("pd"), F.col("rd")).alias("exceeds"))
 
 
-@query(CANDS + """, n AS (SELECT DISTINCT chain % 100 AS system, stage, 'K' || CAST(chain % 100 AS VARCHAR) || CASE WHEN (file_id + CASE stage WHEN 'PD' THEN 0 ELSE 1 END) % 7 = 0 THEN '' ELSE '-' || CAST(page AS VARCHAR) END AS name FROM cands WHERE value > 49),
+@query(FINE + """, n AS (SELECT DISTINCT chain AS system, stage, 'K' || CAST(chain AS VARCHAR) || CASE WHEN (file_id + CASE stage WHEN 'PD' THEN 0 ELSE 1 END) % 7 = 0 THEN '' ELSE '-' || CAST(page AS VARCHAR) END AS name FROM cands),
  s AS (SELECT system, coalesce(list(name) FILTER (stage = 'PD'), []) AS pd, coalesce(list(name) FILTER (stage = 'RD'), []) AS rd FROM n GROUP BY system)
  SELECT system, len(pd) > 0 AND len(rd) > 0 AND NOT list_has_any(pd, rd) AND (len(list_filter(pd, lambda x: NOT contains(x, '-'))) > 0) <> (len(list_filter(rd, lambda x: NOT contains(x, '-'))) > 0) AS mismatch FROM s""")
 def numbering_mismatch(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("value > 49").withColumn("system", F.col("chain") % 100)
+    c = fine(candidates(spark, sf_dir)).withColumn("system", F.col("chain"))
     bare = (F.col("file_id") + F.when(F.col("stage") == "PD", 0).otherwise(1)) % 7 == 0
     name = F.concat(F.lit("K"), F.col("system").cast("string"), F.when(bare, "").otherwise(F.concat(F.lit("-"), F.col("page").cast("string"))))
     s = changes.sides(c.withColumn("name", name), ["system"], value="name")
     return s.select("system", changes.unnumbered(F.col("pd"), F.col("rd")).alias("mismatch"))
 
 
-_CASES = CANDS + """, c AS (SELECT DISTINCT chain, stage, page % 3 + 1 AS jets, value % 4 + 1 AS flow FROM cands WHERE value > 40),
+_CASES = FINE + """, c AS (SELECT DISTINCT chain, stage, page % 3 + 1 AS jets, value % 4 + 1 AS flow FROM cands),
  s AS (SELECT chain, coalesce(list_sort(list({'jets': jets, 'flow': flow}) FILTER (stage = 'PD')), []) AS pd, coalesce(list_sort(list({'jets': jets, 'flow': flow}) FILTER (stage = 'RD')), []) AS rd FROM c GROUP BY chain)"""
 
 
@@ -73,29 +73,29 @@ _CASES = CANDS + """, c AS (SELECT DISTINCT chain, stage, page % 3 + 1 AS jets,
  SELECT chain, CASE WHEN len(pd) = 0 AND len(rd) = 0 THEN NULL WHEN len(pd) = 0 OR len(rd) = 0 THEN 'COMPARISON_IMPOSSIBLE' WHEN pd = rd THEN 'NO_VIOLATION' WHEN low > 0 AND len(pd) = 1 THEN 'VIOLATION_PRESENT' WHEN low > 0 THEN 'COMPARISON_IMPOSSIBLE' ELSE 'NO_VIOLATION' END AS label,
  CASE WHEN len(pd) = 0 OR len(rd) = 0 THEN NULL WHEN pd = rd THEN 'EQUAL_PD_RD' WHEN low > 0 AND len(pd) = 1 THEN 'VALUE_DECREASE' WHEN low > 0 THEN NULL ELSE 'NON_TRIGGERING_DIFFERENCE_NO_DECREASE' END AS result FROM l""")
 def jet_decisions(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("value > 40").withColumn("case", F.struct((F.col("page") % 3 + 1).alias("jets"), (F.col("value") % 4 + 1).alias("flow")))
+    c = fine(candidates(spark, sf_dir)).withColumn("case", F.struct((F.col("page") % 3 + 1).alias("jets"), (F.col("value") % 4 + 1).alias("flow")))
     return changes.sides(c, ["chain"], value="case").select("chain", changes.jets(F.col("pd"), F.col("rd")).alias("x")).select("chain", "x.*")
 
 
 @query(_CASES + """ SELECT chain, len(list_filter(rd, lambda r: NOT list_contains(pd, r) AND r.jets < list_max(list_transform(pd, lambda p: p.jets)))) > 0 AS flow, len(list_filter(rd, lambda r: NOT list_contains(pd, r) AND r.flow < list_max(list_transform(pd, lambda p: p.flow)))) > 0 AS pressure FROM s""")
 def duty_reductions(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("value > 40").withColumn("case", F.struct((F.col("page") % 3 + 1).alias("flow"), (F.col("value") % 4 + 1).alias("pressure")))
+    c = fine(candidates(spark, sf_dir)).withColumn("case", F.struct((F.col("page") % 3 + 1).alias("flow"), (F.col("value") % 4 + 1).alias("pressure")))
     out = changes.sides(c, ["chain"], value="case").select("chain", changes.duty(F.col("pd"), F.col("rd")).alias("x"))
     return out.select("chain", F.array_contains("x", "FLOW").alias("flow"), F.array_contains("x", "PRESSURE").alias("pressure"))
 
 
-@query(CANDS + """, n AS (SELECT DISTINCT chain, stage, CASE WHEN page % 3 = 0 THEN 'LED' WHEN page % 3 = 1 THEN 'HALOGEN' ELSE 'LUMINESCENT' END AS kind FROM cands WHERE value > 45),
+@query(FINE + """, n AS (SELECT DISTINCT chain, stage, CASE WHEN page % 3 = 0 THEN 'LED' WHEN page % 3 = 1 THEN 'HALOGEN' ELSE 'LUMINESCENT' END AS kind FROM cands),
  s AS (SELECT chain, coalesce(list_sort(list(kind) FILTER (stage = 'PD')), []) AS pd, coalesce(list_sort(list(kind) FILTER (stage = 'RD')), []) AS rd FROM n GROUP BY chain)
  SELECT chain, CASE WHEN len(pd) = 0 AND len(rd) = 0 THEN NULL WHEN len(pd) = 0 OR len(rd) = 0 THEN 'COMPARISON_IMPOSSIBLE' WHEN list_contains(pd, 'LED') AND len(list_filter(rd, lambda x: x <> 'LED' AND NOT list_contains(pd, x))) > 0 THEN 'VIOLATION_PRESENT' ELSE 'NO_VIOLATION' END AS lighting,
  CASE WHEN list_contains(pd, 'LED') AND list_contains(rd, 'LED') THEN 'EQUAL_PD_RD' WHEN list_contains(rd, 'LED') THEN 'NON_TRIGGERING_DIFFERENCE_NO_DECREASE' END AS metering FROM s""")
 def lighting_and_metering(spark, sf_dir):
     third = F.col("page") % 3
-    c = candidates(spark, sf_dir).where("value > 45").withColumn("kind", F.when(third == 0, "LED").when(third == 1, "HALOGEN").otherwise("LUMINESCENT"))
+    c = fine(candidates(spark, sf_dir)).withColumn("kind", F.when(third == 0, "LED").when(third == 1, "HALOGEN").otherwise("LUMINESCENT"))
     s = changes.sides(c, ["chain"], value="kind")
     return s.select("chain", changes.light(F.col("pd"), F.col("rd"), "LED").label.alias("lighting"), changes.meter(F.array_contains("pd", "LED"), F.array_contains("rd", "LED")).result.alias("metering"))
 
 
-_CABLES = CANDS + """, n AS (SELECT DISTINCT chain, stage, CASE page % 3 WHEN 0 THEN 'VVG-FRLS' WHEN 1 THEN 'VVG-LS' ELSE 'PPG-HF' END AS mark, page % 2 + 3 AS cores, value % 6 + 1.5 AS section FROM cands WHERE value > 42),
+_CABLES = FINE + """, n AS (SELECT DISTINCT chain, stage, CASE page % 3 WHEN 0 THEN 'VVG-FRLS' WHEN 1 THEN 'VVG-LS' ELSE 'PPG-HF' END AS mark, page % 2 + 3 AS cores, value % 6 + 1.5 AS section FROM cands),
  c AS (SELECT chain, stage, {'mark': mark, 'cores': cores, 'section': section, 'family': regexp_replace(mark, '(?i)-?(?:FR)?(?:LS|HF|LTX)$', ''), 'fire': contains(mark, 'FR')} AS c FROM n),
  s AS (SELECT chain, coalesce(list(c) FILTER (stage = 'PD'), []) AS pd, coalesce(list(c) FILTER (stage = 'RD'), []) AS rd FROM c GROUP BY chain)"""
 
@@ -106,7 +106,7 @@ def cable_changes(spark, sf_dir):
     third = F.col("page") % 3
     mark = F.when(third == 0, "VVG-FRLS").when(third == 1, "VVG-LS").otherwise("PPG-HF")
     c = F.struct(mark.alias("mark"), (F.col("page") % 2 + 3).alias("cores"), (F.col("value") % 6 + 1.5).alias("section"), changes.family(mark).alias("family"), mark.contains("FR").alias("fire"))
-    s = changes.sides(candidates(spark, sf_dir).where("value > 42").withColumn("c", c), ["chain"], value="c")
+    s = changes.sides(fine(candidates(spark, sf_dir)).withColumn("c", c), ["chain"], value="c")
     return s.select("chain", changes.lost_fire_cable(F.col("pd"), F.col("rd")).alias("lost_fire"), F.size(changes.thinner_cable(F.col("pd"), F.col("rd"))).cast("long").alias("thinner"))
 
 
@@ -234,9 +234,9 @@ def page_furniture(spark, sf_dir):
     return spatial.furniture(_words(spark, sf_dir), ["f"], "page", 5.0)
 
 
-@query(f"WITH w AS ({_WORDS}), c AS (SELECT l_suppkey AS f, l_linenumber AS page, l_orderkey AS cell, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 4 AS x1, l_discount * 100 + 3 AS y1 FROM lineitem WHERE l_tax > 0.06) SELECT f, page, word, cell FROM w JOIN c USING (f, page) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+@query(f"WITH w AS ({_WORDS}), c AS (SELECT l_suppkey AS f, l_linenumber AS page, l_orderkey AS cell, l_quantity AS x0, l_discount * 100 AS y0, l_quantity + 4 AS x1, l_discount * 100 + 3 AS y1 FROM lineitem) SELECT f, page, word, cell FROM w JOIN c USING (f, page) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1")
 def words_in_cells(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_tax > 0.06")
+    li = table(spark, sf_dir, "lineitem")
     cells = li.select(F.col("l_suppkey").alias("f"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("cell"), F.col("l_quantity").alias("x0"), (F.col("l_discount") * 100).alias("y0"), (F.col("l_quantity") + 4).alias("x1"), (F.col("l_discount") * 100 + 3).alias("y1"))
     return spatial.within(_words(spark, sf_dir).select("f", "page", "word", "x", "y"), cells, ["f", "page"], 8.0)
 
@@ -246,10 +246,10 @@ def word_lines(spark, sf_dir):
     return spatial.lines(_words(spark, sf_dir).select("f", "page", "x", "y").distinct(), ["f", "page"], 1.0)
 
 
-@query(f"""WITH w AS (SELECT f, page, t, x, y FROM ({_WORDS}) WHERE word % 3 = 0), n AS (SELECT f, page, t, x + 5 AS x, y + t.len AS y FROM (SELECT *, length(t) AS len FROM w) t),
+@query(f"""WITH w AS (SELECT f, page, t || '-' || (word % 11) AS t, x, y FROM ({_WORDS})), n AS (SELECT f, page, t, x + 5 AS x, y + t.len AS y FROM (SELECT *, length(t) AS len FROM w) t),
  k AS (SELECT f, page, t FROM w GROUP BY ALL HAVING count(*) <= 3), o AS (SELECT w.* FROM w JOIN k USING (f, page, t)), p AS (SELECT n.* FROM n JOIN k USING (f, page, t))
  SELECT f, page, CAST(round((p.x - o.x) / 2) AS BIGINT) AS dx, CAST(round((p.y - o.y) / 2) AS BIGINT) AS dy, count(*) AS votes FROM p JOIN o USING (f, page, t) GROUP BY ALL""")
 def page_displacement(spark, sf_dir):
-    w = _words(spark, sf_dir).where("word % 3 = 0").select("f", "page", "t", "x", "y")
+    w = _words(spark, sf_dir).select("f", "page", F.concat("t", F.lit("-"), F.col("word") % 11).alias("t"), "x", "y")
     moved = w.withColumn("x", F.col("x") + 5).withColumn("y", F.col("y") + F.char_length("t"))
     return spatial.displacement(w, moved, ["f", "page"], 2.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tristage.operators import changes, findings
-from tristage.plans.catalogue import CANDS, candidates, query, table
+from tristage.plans.catalogue import CANDS, FINE, candidates, fine, query, table
 
 _KIND = "CASE CAST(replace(code, 'Brand#', '') AS INTEGER) % 3 WHEN 0 THEN 'relative' WHEN 1 THEN 'decrease' ELSE 'any_change' END"
 _PAIR = "CASE WHEN {0} IS NULL AND {1} IS NULL THEN NULL WHEN {0} IS NULL OR {1} IS NULL THEN 'COMPARISON_IMPOSSIBLE' WHEN abs({0} - {1}) <= 0.5 THEN 'NO_VIOLATION' WHEN kind = 'any_change' OR kind = 'relative' AND abs({1} - {0}) / {0} > 0.3 OR kind = 'decrease' AND {1} < {0} THEN 'VIOLATION_PRESENT' ELSE 'NO_VIOLATION' END"
@@ -32,11 +32,11 @@ def build_findings(spark, sf_dir):
     return findings.build(candidates(spark, sf_dir), rules, ["file_id", "page"], wanted, "rank", "chain", ["relative", "decrease", "any_change"])
 
 
-@query(CANDS + """, s AS (SELECT code, chain, coalesce(list_sort(list(DISTINCT value) FILTER (stage = 'PD')), []) AS pd, coalesce(list_sort(list(DISTINCT value) FILTER (stage = 'RD')), []) AS rd FROM cands WHERE value > 44 GROUP BY ALL),
+@query(FINE + """, s AS (SELECT code, chain, coalesce(list_sort(list(DISTINCT value) FILTER (stage = 'PD')), []) AS pd, coalesce(list_sort(list(DISTINCT value) FILTER (stage = 'RD')), []) AS rd FROM cands GROUP BY ALL),
  c AS (SELECT *, len(pd) > 0 AND len(rd) > 0 AS two, len(pd) > 0 AND len(rd) > 0 AND abs(list_max(rd) - list_max(pd)) / list_max(pd) > 0.02 AS changed FROM s),
  g AS (SELECT code, count(*) FILTER (changed) AS n, count(*) FILTER (two) AS keys, count(*) FILTER (len(pd) > 0) AS p, count(*) FILTER (len(rd) > 0) AS r, coalesce(array_to_string(list_sort(list(DISTINCT chain) FILTER (changed)), ','), '') AS changes FROM c GROUP BY code)
  SELECT code, CASE WHEN n > 0 THEN 'VIOLATION_PRESENT' WHEN p = 0 OR r = 0 OR keys = 0 THEN 'COMPARISON_IMPOSSIBLE' ELSE 'NO_VIOLATION' END AS label, CASE WHEN n > 0 THEN 'VALUE_MISMATCH' WHEN p = 0 OR r = 0 OR keys = 0 THEN NULL ELSE 'EQUAL_PD_RD' END AS result, keys, changes, n > 0 AS hypothesis FROM g""")
 def keyed_findings(spark, sf_dir):
-    keyed = changes.sides(candidates(spark, sf_dir).where("value > 44"), ["code", "chain"])
+    keyed = changes.sides(fine(candidates(spark, sf_dir)), ["code", "chain"])
     out = findings.of_keys(keyed, ["code"], "chain", changes.off_by(F.col("pd"), F.col("rd")))
     return out.withColumn("changes", F.array_join(F.col("changes").cast("array<string>"), ","))

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from tristage.functions import language as L
 from tristage.functions import text as T
 from tristage.operators import relations as R
-from tristage.plans.catalogue import CANDS, candidates, query, table
+from tristage.plans.catalogue import CANDS, FINE, candidates, fine, query, table
 
 
 def _stage(c, s):
     return c.where(F.col("stage") == s)
 
 
-@query(CANDS + ", n AS (SELECT DISTINCT code, 'p' || CAST(page AS VARCHAR) AS n FROM cands WHERE value > 25) SELECT code, array_to_string(list_sort(list(n)), ',') AS names FROM n GROUP BY code")
+@query(FINE + ", n AS (SELECT DISTINCT chain, 'p' || CAST(page AS VARCHAR) AS n FROM cands) SELECT chain, array_to_string(list_sort(list(n)), ',') AS names FROM n GROUP BY chain")
 def union_presence(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("value > 25").select("code", F.array(F.concat(F.lit("p"), F.col("page").cast("string"))).alias("names"))
-    return R.union_of(c, ["code"], "names").select("code", F.array_join("names", ",").alias("names"))
+    c = fine(candidates(spark, sf_dir)).select("chain", F.array(F.concat(F.lit("p"), F.col("page").cast("string"))).alias("names"))
+    return R.union_of(c, ["chain"], "names").select("chain", F.array_join("names", ",").alias("names"))
 
 
 @query(CANDS + """, s AS (SELECT chain, rank, list_sort(list(DISTINCT value)) AS v FROM cands GROUP BY ALL), l AS (SELECT chain, max(rank) AS top, arg_max(v, rank) AS used FROM s GROUP BY chain)
@@ -66,7 +66,7 @@ def below_duty(spark, sf_dir):
     return R.below_duty(rows).select("file", "page", "flow", "calc_flow", "gap")
 
 
-_PUMPS = CANDS + """, p AS (SELECT chain % 40 AS key, stage, CASE WHEN file_id % 3 = 0 THEN NULL ELSE section END AS model, value AS flow, value * 2 + page AS head, page AS rank FROM cands WHERE value > 46),
+_PUMPS = FINE + """, p AS (SELECT chain AS key, stage, CASE WHEN file_id % 3 = 0 THEN NULL ELSE section END AS model, value AS flow, value * 2 + page AS head, page AS rank FROM cands),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, stage, model ORDER BY rank, flow, head) AS r FROM p) WHERE r = 1), n AS (SELECT *, count(*) OVER (PARTITION BY key, stage) AS n FROM b),
  a AS (SELECT * FROM n WHERE stage = 'PD'), z AS (SELECT * FROM n WHERE stage = 'RD'),
  c AS (SELECT a.key, a.model, a.flow AS pf, z.flow AS rf, a.head AS ph, z.head AS rh FROM a JOIN z ON a.key = z.key AND a.model = z.model),
@@ -75,12 +75,12 @@ _PUMPS = CANDS + """, p AS (SELECT chain % 40 AS key, stage, CASE WHEN file_id %
 
 @query(_PUMPS + " SELECT key, model, pf AS pd_flow, rf AS rd_flow, ph AS pd_head, rh AS rd_head, CASE WHEN rf / pf - 1 < -0.005 OR rh / ph - 1 < -0.005 THEN 'LOWER' WHEN rf / pf - 1 > 0.2 OR rh / ph - 1 > 0.2 THEN 'OVER' END AS state FROM (SELECT * FROM c UNION ALL SELECT * FROM o)")
 def pump_comparison(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("value > 46")
-    p = c.select((F.col("chain") % 40).alias("key"), "stage", F.when(F.col("file_id") % 3 != 0, F.col("section")).alias("model"), F.col("value").alias("flow"), (F.col("value") * 2 + F.col("page")).alias("head"), F.col("page").alias("rank"))
+    c = fine(candidates(spark, sf_dir))
+    p = c.select(F.col("chain").alias("key"), "stage", F.when(F.col("file_id") % 3 != 0, F.col("section")).alias("model"), F.col("value").alias("flow"), (F.col("value") * 2 + F.col("page")).alias("head"), F.col("page").alias("rank"))
     return R.pump_pairs(_stage(p, "PD").drop("stage"), _stage(p, "RD").drop("stage"), "key")
 
 
-_DOORS = CANDS + """, d AS (SELECT DISTINCT chain, stage, page * 15 AS minutes, CASE file_id % 3 WHEN 0 THEN 'EI' WHEN 1 THEN 'EIW' ELSE 'E' END AS letters FROM cands WHERE value > 40),
+_DOORS = FINE + """, d AS (SELECT DISTINCT chain, stage, page * 15 AS minutes, CASE file_id % 3 WHEN 0 THEN 'EI' WHEN 1 THEN 'EIW' ELSE 'E' END AS letters FROM cands),
  m AS (SELECT chain, stage, min(minutes) AS m FROM d GROUP BY ALL), l AS (SELECT DISTINCT chain, stage, unnest(string_split(letters, '')) AS l FROM d JOIN m USING (chain, stage) WHERE minutes = m),
  g AS (SELECT chain, list(l) FILTER (stage = 'PD') AS pl, list(l) FILTER (stage = 'RD') AS rl FROM l GROUP BY chain), s AS (SELECT chain, max(m) FILTER (stage = 'PD') AS pm, max(m) FILTER (stage = 'RD') AS rm FROM m GROUP BY chain)"""
 
@@ -91,13 +91,13 @@ def door_limits(spark, sf_dir):
 
     third = F.col("file_id") % 3
     d = F.struct((F.col("page") * 15).alias("minutes"), F.when(third == 0, "EI").when(third == 1, "EIW").otherwise("E").alias("letters"))
-    return sides(candidates(spark, sf_dir).where("value > 40").withColumn("d", d), ["chain"], value="d").select("chain", R.door_limits(F.col("pd"), F.col("rd")).alias("state"))
+    return sides(fine(candidates(spark, sf_dir)).withColumn("d", d), ["chain"], value="d").select("chain", R.door_limits(F.col("pd"), F.col("rd")).alias("state"))
 
 
-@query(CANDS + " SELECT DISTINCT code, chain FROM cands r WHERE stage = 'RD' AND value > 47 AND NOT EXISTS (SELECT 1 FROM cands p WHERE p.stage = 'PD' AND p.value > 47 AND p.code = r.code AND p.chain = r.chain) AND NOT EXISTS (SELECT 1 FROM cands i WHERE i.stage = 'ID' AND i.value > 49 AND i.code = r.code AND i.chain = r.chain)")
+@query(FINE + " SELECT DISTINCT code, chain FROM cands r WHERE stage = 'RD' AND NOT EXISTS (SELECT 1 FROM cands p WHERE p.stage = 'PD' AND p.code = r.code AND p.chain = r.chain) AND NOT EXISTS (SELECT 1 FROM cands i WHERE i.stage = 'ID' AND i.code = r.code AND i.chain = r.chain)")
 def new_makers(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    return R.new_makers(_stage(c, "PD").where("value > 47"), _stage(c, "RD").where("value > 47"), _stage(c, "ID").where("value > 49"), ["code", "chain"])
+    c = fine(candidates(spark, sf_dir))
+    return R.new_makers(_stage(c, "PD"), _stage(c, "RD"), _stage(c, "ID"), ["code", "chain"])
 
 
 @query("""WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS number, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS purpose, p_brand AS layers FROM part),
@@ -113,7 +113,7 @@ def tiered_pairs(spark, sf_dir):
     return R.tiers(left, right, ["number", "purpose", "layers"], "v").select("k", "v", "tier")
 
 
-_ROOMS = """WITH s AS (SELECT l_suppkey % 20 AS object, l_partkey % 30 AS room, l_returnflag AS f, l_linenumber AS system, l_linestatus = 'O' AS own FROM lineitem WHERE l_orderkey % 9 = 0),
+_ROOMS = """WITH s AS (SELECT l_suppkey % 20 AS object, l_partkey % 1000 AS room, l_returnflag AS f, l_linenumber AS system, l_linestatus = 'O' AS own FROM lineitem),
  o AS (SELECT object, f, bool_or(own) AS has FROM s GROUP BY ALL), k AS (SELECT DISTINCT object, f, room, system FROM s JOIN o USING (object, f) WHERE own OR NOT has),
  p AS (SELECT object, room, list_sort(list(system)) AS pd FROM k WHERE f = 'A' GROUP BY ALL), r AS (SELECT object, room, list_sort(list(system)) AS rd FROM k WHERE f = 'R' GROUP BY ALL),
  n AS (SELECT object, count(*) AS np FROM p GROUP BY 1), m AS (SELECT object, count(*) AS nr FROM r GROUP BY 1)"""
@@ -121,8 +121,8 @@ _ROOMS = """WITH s AS (SELECT l_suppkey % 20 AS object, l_partkey % 30 AS room,
 
 @query(_ROOMS + """ SELECT object, room, len(pd) AS n, CASE WHEN np < 5 OR coalesce(nr, 0) < 5 THEN 'REFUSED' WHEN rd IS NULL THEN CASE WHEN coalesce(nr, 0) < 0.6 * np THEN 'MISSING_DOUBT' ELSE 'MISSING' END WHEN NOT list_has_all(rd, pd) THEN 'FEWER' ELSE 'SAME' END AS state FROM p LEFT JOIN r USING (object, room) JOIN n USING (object) LEFT JOIN m USING (object)""")
 def room_comparison(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0")
-    s = li.select((F.col("l_suppkey") % 20).alias("object"), (F.col("l_partkey") % 30).alias("room"), F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("system"), (F.col("l_linestatus") == "O").alias("own"))
+    li = table(spark, sf_dir, "lineitem")
+    s = li.select((F.col("l_suppkey") % 20).alias("object"), (F.col("l_partkey") % 1000).alias("room"), F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("system"), (F.col("l_linestatus") == "O").alias("own"))
     kept = R.authoritative(s, ["object", "f"], F.col("own"), ["room", "system"])
     side = lambda f: R.sets_by(kept.where(F.col("f") == f), ["object", "room"], "system")
     return R.rooms(side("A"), side("R"), ["object"]).select("object", "room", F.size("pd").cast("long").alias("n"), "state")
@@ -134,20 +134,20 @@ def served_map(spark, sf_dir):
     return R.served(rows, "rooms", "l_linenumber").select("room", F.size("values").cast("long").alias("n"))
 
 
-@query("WITH s AS (SELECT l_returnflag AS f, l_linenumber AS type, CAST(l_quantity AS INTEGER) AS total, CAST(l_discount * 100 AS INTEGER) AS living, CAST(l_tax * 100 AS INTEGER) AS summer FROM lineitem WHERE l_suppkey % 7 = 0) SELECT DISTINCT type, total, living, summer FROM s r WHERE f = 'R' AND EXISTS (SELECT 1 FROM s p WHERE p.f = 'A' AND p.type = r.type AND p.total = r.total) AND NOT EXISTS (SELECT 1 FROM s p WHERE p.f = 'A' AND p.type = r.type AND p.total = r.total AND p.living = r.living AND p.summer = r.summer)")
+@query("WITH s AS (SELECT l_returnflag AS f, l_linenumber * 1000 + l_partkey % 1000 AS type, CAST(l_quantity AS INTEGER) AS total, CAST(l_discount * 100 AS INTEGER) AS living, CAST(l_tax * 100 AS INTEGER) AS summer FROM lineitem) SELECT DISTINCT type, total, living, summer FROM s r WHERE f = 'R' AND EXISTS (SELECT 1 FROM s p WHERE p.f = 'A' AND p.type = r.type AND p.total = r.total) AND NOT EXISTS (SELECT 1 FROM s p WHERE p.f = 'A' AND p.type = r.type AND p.total = r.total AND p.living = r.living AND p.summer = r.summer)")
 def apartment_areas(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 = 0")
-    s = li.select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("type"), F.col("l_quantity").cast("int").alias("total"), F.round(F.col("l_discount") * 100).cast("int").alias("living"), F.round(F.col("l_tax") * 100).cast("int").alias("summer"))
+    li = table(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_returnflag").alias("f"), (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("type"), F.col("l_quantity").cast("int").alias("total"), F.round(F.col("l_discount") * 100).cast("int").alias("living"), F.round(F.col("l_tax") * 100).cast("int").alias("summer"))
     return R.areas(s.where("f = 'A'"), s.where("f = 'R'"), ["type", "total"], ["living", "summer"])
 
 
-@query("""WITH c AS (SELECT o_orderkey AS clause, o_custkey AS term, o_orderkey % 50 AS address FROM orders), o AS (SELECT * FROM c WHERE term NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)),
+@query("""WITH c AS (SELECT o_orderkey AS clause, o_custkey * 2 AS term, o_orderkey % 50 AS address FROM orders), o AS (SELECT * FROM c WHERE term NOT IN (SELECT l_partkey FROM lineitem)),
  p AS (SELECT l_suppkey % 60 AS address, l_orderkey AS file, min(l_linenumber) AS page FROM lineitem GROUP BY ALL), b AS (SELECT address, list((file, page) ORDER BY file) AS pages FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY file) AS r FROM p) WHERE r <= 3 GROUP BY address)
  SELECT clause, term, address, len(pages) AS n, pages[1][1] AS first_file FROM o JOIN b USING (address)""")
 def proven_absent(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    clauses = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clause"), F.col("o_custkey").alias("term"), (F.col("o_orderkey") % 50).alias("address"))
-    mentions = li.where("l_quantity > 49").select(F.col("l_partkey").alias("term"))
+    clauses = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clause"), (F.col("o_custkey") * 2).alias("term"), (F.col("o_orderkey") % 50).alias("address"))
+    mentions = li.select(F.col("l_partkey").alias("term"))
     coverage = li.select((F.col("l_suppkey") % 60).alias("address"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("page"))
     out = R.proven_absent(clauses, mentions, coverage)
     return out.select("clause", "term", "address", F.size("pages").cast("long").alias("n"), F.get("pages", 0).file.alias("first_file"))
@@ -170,10 +170,11 @@ def shared_rooms(spark, sf_dir):
     return R.shared_rooms(table(spark, sf_dir, "lineitem").withColumn("room", F.col("l_partkey") * 10 + F.col("l_linenumber")), "l_orderkey", "room")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_tax = 0)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_suppkey * 11 FROM lineitem) AND p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def uncovered_parameters(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    return R.uncovered(table(spark, sf_dir, "part"), li.where("l_quantity > 49"), li.where("l_tax = 0"), "p_partkey").select("p_partkey")
+    found = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 11).alias("p_partkey"))
+    listed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("p_partkey"))
+    return R.uncovered(table(spark, sf_dir, "part"), found, listed, "p_partkey").select("p_partkey")
 
 
 @query("""WITH t AS (SELECT conv_id AS volume, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda x: x <> '')) AS term FROM conversations), n AS (SELECT volume, term, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT conv_id AS volume, 4 + count(*) AS pages FROM conversations GROUP BY 1),
@@ -187,9 +188,9 @@ def same_content(spark, sf_dir):
     return R.same_content(terms.join(pages, "volume"), [], cosine=0.6)
 
 
-@query("WITH w AS (SELECT DISTINCT l_suppkey AS page, l_quantity AS y FROM lineitem WHERE l_orderkey % 40 = 0), g AS (SELECT *, lead(y) OVER (PARTITION BY page ORDER BY y) - y AS gap FROM w), m AS (SELECT page, median(gap) AS m, max(y) AS last FROM g GROUP BY page), c AS (SELECT g.page, min(y) AS cut FROM g JOIN m USING (page) WHERE gap > greatest(0.03, 1.5 * m) GROUP BY 1) SELECT page, coalesce(cut, last) AS \"end\" FROM m LEFT JOIN c USING (page)")
+@query("WITH w AS (SELECT DISTINCT l_orderkey AS page, l_quantity AS y FROM lineitem), g AS (SELECT *, lead(y) OVER (PARTITION BY page ORDER BY y) - y AS gap FROM w), m AS (SELECT page, median(gap) AS m, max(y) AS last FROM g GROUP BY page), c AS (SELECT g.page, min(y) AS cut FROM g JOIN m USING (page) WHERE gap > greatest(0.03, 1.5 * m) GROUP BY 1) SELECT page, coalesce(cut, last) AS \"end\" FROM m LEFT JOIN c USING (page)")
 def table_ends(spark, sf_dir):
-    w = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("page"), F.col("l_quantity").alias("y"))
+    w = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("y"))
     return R.table_end(w, ["page"], "y", times=1.5)
 
 
@@ -218,10 +219,13 @@ def expert_verdicts(spark, sf_dir):
     return R.verdicts(table(spark, sf_dir, "part"), said, ["p_brand"]).select("p_partkey", "verdict")
 
 
-@query(CANDS + ", a AS (SELECT code FROM cands WHERE file_id % 97 = 0 UNION SELECT p_brand FROM part WHERE p_type = 'PROMO') SELECT code FROM a")
+@query(CANDS + ", a AS (SELECT code FROM cands WHERE file_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)) UNION SELECT p_brand FROM part WHERE p_type = 'PROMO') SELECT code FROM a")
 def affected_codes(spark, sf_dir):
     direct = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_brand").alias("code"))
-    return R.affected(candidates(spark, sf_dir).where("file_id % 97 = 0"), direct, "code")
+    orders = table(spark, sf_dir, "orders")
+    latest = orders.agg(F.max("o_orderdate").alias("o_orderdate"))  # what came in last
+    changed = orders.join(F.broadcast(latest), "o_orderdate").select(F.col("o_orderkey").alias("file_id"))
+    return R.affected(candidates(spark, sf_dir).join(changed, "file_id", "left_semi"), direct, "code")
 
 
 @query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING bool_or(o_orderdate > TIMESTAMP '1998-06-01') AND NOT bool_and(o_orderdate > TIMESTAMP '1998-06-01')")
