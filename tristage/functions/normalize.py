@@ -35,7 +35,7 @@ def edition_year(reference: Column, pivot: int = 30) -> Column:
     """The trailing year of a reference; two digits belong to 2000 up to the pivot (row 074)."""
     year = F.regexp_extract(reference, r"-([0-9]{4}|[0-9]{2})$", 1)
     n = year.cast("int")
-    return F.when(F.length(year) == 4, n).when(F.length(year) == 2, F.when(n <= pivot, 2000 + n).otherwise(1900 + n))
+    return F.when(F.length(year) == 4, n).when(F.length(year) == 2, F.when(n < pivot, 2000 + n).otherwise(1900 + n))
 
 
 def convert(rows: DataFrame, value: str, found: str, wanted: str) -> DataFrame:

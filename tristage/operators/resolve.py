@@ -6,15 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _same(rows: DataFrame, groups: DataFrame, by: list[str]) -> Column:
+    on = F.lit(True)
+    for k in by:
+        on = on & rows[k].eqNullSafe(groups[f"_k_{k}"])
+    return on
+
+
 def latest_only(cands: DataFrame, by: list[str], rank: str) -> DataFrame:
-    """Candidates of the latest revision that names the value, not of the latest there is (row 218)."""
-    return cands.withColumn("_top", F.max(rank).over(Window.partitionBy(*by))).where(F.col(rank) == F.col("_top")).drop("_top")
+    """Candidates of the latest revision that names the value, not of the latest there is (row 218).
+
+    The latest is found by partial sums before the shuffle, so a frequent value is not sorted in one task.
+    """
+    top = cands.groupBy(*by).agg(F.max(rank).alias("_top")).select(*(F.col(k).alias(f"_k_{k}") for k in by), "_top")
+    return cands.join(top, _same(cands, top, by) & (cands[rank] == top["_top"]), "left_semi")
 
 
 def prefer_source(cands: DataFrame, by: list[str], wanted: Column) -> DataFrame:
     """Candidates of wanted sources if a group has any, else all, flagged as fallback (row 219)."""
-    out = cands.withColumn("_is", F.coalesce(wanted, F.lit(False))).withColumn("_any", F.max("_is").over(Window.partitionBy(*by)))
-    return out.where("_is or not _any").withColumn("fallback", ~F.col("_any")).drop("_is", "_any")
+    rows = cands.withColumn("_is", F.coalesce(wanted, F.lit(False)))
+    held = rows.groupBy(*by).agg(F.max("_is").alias("_any")).select(*(F.col(k).alias(f"_k_{k}") for k in by), "_any")
+    out = rows.join(held, _same(rows, held, by)).where("_is or not _any")
+    return out.withColumn("fallback", ~F.col("_any")).drop("_is", "_any", *(f"_k_{k}" for k in by))
 
 
 def choose_max(cands: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -29,6 +29,8 @@ _LIGHT = {
     "накаливания": rf"ламп{W}*\s+накаливани{W}*",
     "галогенные": rf"(?<![а-яё])(?:металло)?галогенн{W}+\s+ламп{W}*",
 }
+#: Read in upper case, as printed.
+_LAMPS = {"ДРЛ": "(?<![А-ЯЁа-яё])ДРЛ(?![А-ЯЁа-яё])", "ДНаТ": "(?<![А-ЯЁа-яё])ДНаТ(?![А-ЯЁа-яё])"}
 _NOT_DESIGN = rf"(?:замен{W}*|внедрени{W}*|(?<![а-яё])от\s+|не\s+должно\s+быть|могут\s+быть|рекоменд{W}*|допускается|(?<![а-яё])уч[её]т{W}*|ручн{W}+|переносн{W}+|освещенност{W}*\s+для|коммутационн{W}*|коммутируем{W}*)[^.;]*$"
 _WASTE = rf"^[^.;]{{0,20}}?(?:утративш{W}+|отход{W}*)"
 _OR_LED = r"|^[^.;]{0,60}?(?<![а-яё])или(?![а-яё])[^.;]{0,40}?(?:led|светодиод)"
@@ -71,13 +73,14 @@ RULES: dict[str, list[Rule]] = {
         Rule("outdoor_fire_water", rf"(?:расход{W}*\s+(?:воды\s+)?(?:на\s+(?:нужды\s+)?|для\s+(?:обеспечения\s+)?)|систем{W}+\s+)?наружн{W}+\s+(?:противо)?пожаротушени{W}*([^.;]{{0,80}}?)(?<![0-9,.])([0-9]{{1,3}}(?:[,.][0-9]{{1,2}})?)\s*л\s?/\s?се?к?(?![а-яё])", ("t", "v"), key="'сеть'", value=f"CASE WHEN NOT x.raw LIKE '%здани%' AND {_FLOW} >= 5 AND {_FLOW} < 100 THEN {_FLOW} END", veto=_OUTSIDE, window=150, veto_after=_OUTSIDE, after=100),
     ],
     "hydrants": [Rule("hydrants", rf"(?<![а-яё])(?:от|с\s+помощью)\s+(двух|тр[её]х|четыр[её]х|пяти|[2-9])\s+((?:существующ|проектируем|установленн|нов){W}*\s+)?(?:пожарн{W}+\s+)?гидрант{W}*", ("n", "k"), key="CASE WHEN x.k LIKE 'существ%' THEN 'существующие' ELSE '' END", value=_HYDRANTS)],
-    "light_sources": [Rule("light_sources", p, value=f"'{k}'", veto=_NOT_DESIGN, inside=False, window=120, veto_after=_WASTE + ("" if k == "светодиодные" else _OR_LED), after=120, need=rf"светильник|ламп|освещени|источник{W}*\s+света|светов{W}+\s+указател") for k, p in _LIGHT.items()],
+    "light_sources": [Rule("light_sources", p, value=f"'{k}'", fold=k not in _LAMPS, veto="(?iu)" + _NOT_DESIGN, inside=False, window=120, veto_after="(?iu)" + _WASTE + ("" if k == "светодиодные" else _OR_LED), after=120, need=rf"(?iu)светильник|ламп|освещени|источник{W}*\s+света|светов{W}+\s+указател") for k, p in (_LIGHT | _LAMPS).items()],
     "resource_meters": [Rule("resource_meters", p, key=f"'{k}'", value=f"'{k}'") for k, p in _METERS.items()],
     "smoke_fans": [Rule("smoke_fans", rf"(?<![0-9A-Za-zА-Яа-яЁё_.-])({_SYSTEM}(?:,\s?{_SYSTEM}){{0,199}})\s*\(\s*L\s?=\s?([0-9]{{3,6}})\s*м[3³]/ч\s*,?\s*Pc\s?=\s?([0-9]{{2,4}})\s*Па\s*\)", ("s", "f", "p"), key="x.s", value="concat(x.f, '|', x.p)", fold=False)],
     "window_schedule": [Rule("window_schedule", r"(?<![А-ЯЁA-Za-zа-яё0-9])((?:ОК[БВЛ]?|ОБ|О|В[НВТЖ]?|ОП|Ок)[-\s]?[0-9]{1,3}(?:\.[0-9]{1,2})?[а-яё*]?)\s+([0-9]{3,5})\s*[xх×*]\s*([0-9]{3,5})(?:\s*\(h\))?\s+([0-9]{1,4})(?![0-9.,хx×])", ("mark", "w", "h", "n"), key="upper(replace(x.mark, ' ', ''))", value="concat(x.w, 'x', x.h, ' ', x.n)", fold=False)],
     "crane_zones": [
         Rule("crane_zones", r"(?<![A-Za-zА-Яа-я])((?:Potain|Liebherr|Terex|Comansa|Jaso|Zoomlion|XCMG|SANY|Yongmao)\s?[A-Za-zА-Яа-я]{0,4}[-‑\s]?[0-9]{2,4}|КБ[-‑]?\s?[0-9]{3}(?:\.[0-9])?)", ("m",), key="'башенный кран'", value=_LATIN, fold=False, veto=rf"(?i)ltm|КС[-‑\s]?[0-9]|автокран|автомобильн{WW}+\s+кран|манипулятор|unic|экскаватор|liebherr\s?r\s?[0-9]", window=40),
         Rule("crane_zones", rf"(?<![а-яё])опасн{W}+\s+зон{W}*[^.;]{{0,60}}?(?:составит|составляет|принимаем|принята|равна)[^.;]{{0,80}}?(?:=\s*|:\s*)([0-9]+(?:[,.][0-9]+)?)\s*м(?![а-яё²2])", ("v",), key="'радиус опасной зоны крана'", value=_between(_FLOW, 1, 150)),
+        Rule("crane_zones", r"принимаем\s+величину\s+опасной\s+зоны\s*:?\s*([0-9]+(?:[.,][0-9]+)?)\s*м(?![а-яё²2])", ("v",), key="'радиус опасной зоны крана'", value=_between(_FLOW, 1, 150)),
     ],
     "pit_edge_limits": [
         Rule("pit_edge_limits", rf"нагрузк{W}*[^.;]{{0,100}}?бровк{W}*[^.;]{{0,60}}?(?<![0-9,.])([0-9]+(?:[,.][0-9]+)?)\s*(кпа|т[сc]?\s*/\s*м\s?[2²])", ("v", "u"), key="'нагрузка на бровку котлована'", value=_between(_KPA, 1, 200)),

@@ -23,11 +23,11 @@ TEXTS = {
     "fire_jets": ["a || ' струи по ' || (a % 9) || ',' || (k % 10) || ' л/с на этаж'", "'следует принимать 2 струи по 2,5 л/с'", "'2 пожарные струи с расходом воды не менее 5,2 л/сек'", "'0 струй по 2,5 л/с'", "'1 струя 2.6 л/с, 4 струи, 5 л/с'"],
     "outdoor_fire_water": ["'расход воды на наружное пожаротушение здания ' || a || ' л/с'", "'наружное пожаротушение ' || a || ' л/с от сети'", "'кольцевая сеть, наружное пожаротушение 25 л/с'", "'наружное противопожаротушение 250 л/с'", "'системы наружного пожаротушения зданий составляет ' || (a * 8) || ' л/сек'"],
     "hydrants": ["'от двух существующих пожарных гидрантов'", "'с помощью ' || (a % 12) || ' гидрантов'", "'от трёх проектируемых гидрантов, от пяти гидрантов'", "'у гидранта ' || a"],
-    "light_sources": ["'светильники со светодиодными лампами, ' || a || ' шт.'", "'Замена: люминесцентные лампы светильников'", "'освещение выполнено люминесцентными лампами'", "'лампы накаливания в светильниках; отходы'", "'галогенные лампы прожектора и светодиодные модули, световые указатели'", "'светодиодный экран'"],
+    "light_sources": ["'светильники со светодиодными лампами, ' || a || ' шт.'", "'Замена: люминесцентные лампы светильников'", "'освещение выполнено люминесцентными лампами'", "'лампы накаливания в светильниках; отходы'", "'галогенные лампы прожектора и светодиодные модули, световые указатели'", "'светодиодный экран'", "'светильники с лампами ДРЛ и ДНаТ, ' || a", "'лампы ДРЛ; отходы'"],
     "resource_meters": ["'счётчик активной электрической энергии и водомерный узел ' || a", "'теплосчётчик в узле учёта тепловой энергии'", "'счетчик крыльчатый холодной воды Меркурий 230'", "'учёт рабочего времени'"],
     "smoke_fans": ["'ДУ' || (a % 20) || ' (L=' || (1000 + a * 10) || ' м³/ч, Pc=' || (100 + a) || ' Па)'", "'ВД1,ВД2.1 ( L = 25000 м3/ч Pc=450 Па ) и ПД3(1) (L=9000 м3/ч, Pc=90 Па)'", "'ДУ7 (L=12 м3/ч, Pc=90 Па)'"],
     "window_schedule": ["'ОК-' || (a % 30) || ' ' || (900 + a) || 'х1500 ' || (a % 12 + 1) || ' шт'", "'ОКБ 2.1 1500 x 1800 (h) 4; В-3 700*2100 12 конец'", "'окно 1500х1800'"],
-    "crane_zones": ["'башенный Potain MCT-' || (100 + a) || ' на рельсах'", "'автокран Liebherr 250 работает'", "'кран КБ-403 и Terex ' || (a + 100)", "'опасная зона крана составляет R = ' || a || ',5 м'", "'опасная зона равна: 400 м'"],
+    "crane_zones": ["'башенный Potain MCT-' || (100 + a) || ' на рельсах'", "'автокран Liebherr 250 работает'", "'кран КБ-403 и Terex ' || (a + 100)", "'опасная зона крана составляет R = ' || a || ',5 м'", "'опасная зона равна: 400 м'", "'принимаем величину опасной зоны: ' || a || ' м'"],
     "pit_edge_limits": ["'нагрузка на бровку котлована не более ' || (a * 3) || ' кПа'", "'нагрузка у бровки 2,5 т/м2'", "'складирование материалов не допускается в зоне ' || (a % 40) || ',5 м от бровки'", "'проезд не допускается в зоне 1 метр от бровки'"],
     "collapse_zone": ["'зона развала составляет ' || (a * 3) || ' м'", "'зона возможного развала здания при сносе равна 12,5 м.'", "'высота зоны развала 4 м'", "'зоны отдыха 5 м'"],
     "demolition_methods": ["'снос механизированным способом, ' || a || ' дней'", "'ручная разборка и поэлементный демонтаж'", "'методом обрушения запрещено; взрывной способ'", "'гидромолот на экскаваторе'", "'без сноса'"],
@@ -42,7 +42,7 @@ _AROUND = re.compile(r"\(\?<?!(?:\[[^\]]*\]|\([^()]*\)|[^()])*\)")
 
 
 def _re2(pattern: str) -> str:
-    return _AROUND.sub("", pattern).replace("'", "''")
+    return _AROUND.sub("", pattern).replace("(?iu)", "(?i)").replace("'", "''")
 
 
 def _twin(rule: Rule, body: str) -> str:

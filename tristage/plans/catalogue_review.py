@@ -210,10 +210,10 @@ def window_totals(spark, sf_dir):
     return review.window_totals(p, ["p_brand"])
 
 
-@query("WITH c AS (SELECT p_partkey AS k, p_brand AS object, p_type AS model, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size % 2 END AS zone FROM part WHERE p_size < 12), z AS (SELECT object, model, min(zone) AS a FROM c WHERE zone IS NOT NULL GROUP BY ALL HAVING min(zone) = max(zone)) SELECT k, object, model, coalesce(zone, a) AS zone FROM c LEFT JOIN z USING (object, model)")
+@query("WITH c AS (SELECT p_partkey AS k, p_brand AS object, p_type || ' ' || p_name AS model, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size % 2 END AS zone FROM part), z AS (SELECT object, model, min(zone) AS a FROM c WHERE zone IS NOT NULL GROUP BY ALL HAVING min(zone) = max(zone)) SELECT k, object, model, coalesce(zone, a) AS zone FROM c LEFT JOIN z USING (object, model)")
 def adopted_zones(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size < 12")
-    c = p.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("object"), F.col("p_type").alias("model"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 2).alias("zone"))
+    p = table(spark, sf_dir, "part")
+    c = p.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("object"), F.concat("p_type", F.lit(" "), "p_name").alias("model"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 2).alias("zone"))
     return review.one_zone(c, ["object"], "model", "zone").select("k", "object", "model", "zone")
 
 

@@ -39,7 +39,7 @@ def revision_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), n.alias("revision"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1900 + p_size + 50 WHEN p_size <= 30 THEN 2000 + p_size ELSE 1900 + p_size END AS year FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1900 + p_size + 50 WHEN p_size < 30 THEN 2000 + p_size ELSE 1900 + p_size END AS year FROM part")
 def edition_year(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     mark = F.when(F.col("p_size") % 5 == 0, (1950 + F.col("p_size")).cast("string")).otherwise(F.lpad(F.col("p_size").cast("string"), 2, "0"))
