@@ -463,9 +463,26 @@ ARTICLES = [
     ('<nav><a href=/>Home<div class="ad">{1}</div></nav><article><h1>Title</h1><p>{0}</p></article>', "Title\n{0}"),
     ("<p>{2}</p><p>{2}</p>", "{2}\n{2}"),
     ("<p>Hello</p>", "Hello"),
+    ('<div><p>{0}</p></div><div class="comment-thread"><p>{1}</p></div>', "{0}"),
+    ('<div class="cookie-policy-popup-v2"><p>{1}</p></div><div><p>{0} {0}</p><p>{0} {0}</p></div>', "{0} {0}\n{0} {0}"),
+    ('<div><h1>Title</h1><p>{0} {0}</p><p>{0} {0}</p></div><article class="story"><h3>More</h3><p>A short one.</p></article>', "Title\n{0} {0}\n{0} {0}"),
+    ('<article><h1>Title</h1></article><div><p>{0} {0}</p><p>{1}</p></div>', "Title\n{0} {0}\n{1}"),
+    ('<div class="ReaderComments_list"><p>{1}</p></div><section><p>{0} {0}</p><p>Short.</p><p>{0} {0}</p></section><div id="siteNoticeBox">{1}</div>', "{0} {0}\nShort.\n{0} {0}"),
+    ('<table><tr><td><p>{0} {0}</p><p>{1}</p></td></tr></table><div class="related-stories-rail"><p>{1}</p></div>', "{0} {0}\n{1}"),
+    ('<div><div><a href=x>One</a> <a href=y>Two</a></div><p>{0} {0}</p><blockquote>{1}</blockquote></div><div class="promo-unit-large">{1}</div>', "{0} {0}\n{1}"),
+    ('<article><p>{0} {0}</p><p>{2}</p><p>{1}</p></article>', "{0} {0}\n{2}\n{1}"),
 ]
 
 
+def test_density_decides(monkeypatch):
+    """Without it long blocks of names beside the text would stay."""
+    names = " ".join(f"Name{i}" for i in range(20))
+    page = f"<div><p>{names}</p></div><div><p>this is the text of a page and it is for the reader to be read again and again</p></div>"
+    assert "Name1" not in html.extract(page)
+    monkeypatch.setattr(html, "DENSE", 0.0)
+    assert "Name1" in html.extract(page)
+
+
 @pytest.mark.parametrize(("page", "want"), ARTICLES)
 def test_html_layouts(page, want):
     long = "this is the text of a page and it is for the reader to be read again", "we think that it was not as good as the one that they had before, but it is", "один два три " * 9

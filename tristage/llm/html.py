@@ -3,7 +3,9 @@
 The first pass decides blocks by their share of stop words, their length and their share of linked characters, and by
 where they stand: places are weighed by how much running text they hold, so an article counts before the open page, the
 open page before a form, a form before what its class names call something else. Short blocks that this leaves open
-inherit, in the second pass, from the nearest decided blocks before and after them.
+inherit, in the second pass, from the nearest decided blocks before and after them, and so do long blocks of an article
+that hardly hold a stop word. Ties: of two undecided neighbours as near the one before counts; of places that hold as
+much text the likelier.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are never part of an article, and those whose text belongs to a form; our choice.
 OUTSIDE = frozenset("nav footer aside menu dialog search template head".split())
 CONTROL = frozenset("button select option optgroup datalist label legend output".split())
-#: Words of a class, id or role that name something else than the article, and words that may stand beside them. A name
-#: counts only if all its parts are among them: "site-footer" does, "has-sidebar" does not. Our choice.
+#: Words of a class, id or role that name something else than the article: "site-footer" and "comment-thread" do, whatever
+#: stands beside them. Names that only say what an element has or lacks do not: "has-sidebar", "no-comments". Our choice.
 HINTS = frozenset("""
 ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie
 cookies consent disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices
@@ -46,11 +48,7 @@ notification alert pager pagination popup promo promoted promotion related reply
 sharebar sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets masthead
 contentinfo complementary copyright teaser teasers
 """.split())
-BESIDE = frozenset("""
-site page main top bottom left right primary secondary inner outer box bar block banner container wrapper wrap area
-section list item items links link buttons button icons icon posts post articles article content body text message form
-panel column col row group header entry user reader policy legal global mobile desktop sticky fixed unit slot zone js
-""".split())
+SAYS = frozenset("has have with no non without not free and".split())
 
 _CLOSE = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -139,7 +137,7 @@ def named(attributes: str) -> bool:
         if m[1].lower() in ("class", "id", "role"):
             for token in (m[2] or m[3] or m[4] or "").split():
                 parts = [x.lower() for x in _PART.split(token) if x]
-                if any(x in HINTS for x in parts) and all(x in HINTS or x in BESIDE for x in parts):
+                if any(x in HINTS for x in parts) and not any(x in SAYS for x in parts):
                     return True
     return False
 
@@ -242,6 +240,9 @@ def places(found: list[Block]) -> int:
     mass = [sum(len(b.text) for b in found if b.place == p and (p == ARTICLE and b.linked <= LINKED * len(b.text) or _running(b))) for p in (ARTICLE, OPEN, FORM, HINTED)]
     if mass[ARTICLE] and 2 * mass[ARTICLE] >= mass[OPEN]:
         return ARTICLE
+    short = sum(len(b.text) for b in found if b.place == OPEN and b.dense >= DENSE and b.linked <= LINKED * len(b.text))
+    if not mass[OPEN] and short >= LONG // 2 and 2 * short >= max(mass[FORM], mass[HINTED]):
+        return OPEN  # running text in short blocks
     return next((p for p in (OPEN, FORM, HINTED) if mass[p]), ARTICLE if any(b.place == ARTICLE for b in found) else OPEN)
 
 
@@ -251,8 +252,10 @@ def _decide(b: Block, last: int, known: bool) -> bool | None:
         return False
     if b.linked > LINKED * len(b.text):
         return None if b.place == last == ARTICLE and len(b.text) < LONG else False
-    if b.place == ARTICLE:
-        return True if len(b.text) >= LONG or b.dense >= DENSE else None
+    if b.place == ARTICLE != last:  # an article beside the text is a teaser, unless it is text itself
+        return b.dense >= DENSE or not known if len(b.text) >= LONG else None if b.heading else False
+    if b.place == ARTICLE:  # a long block without stop words, such as a list, goes with its neighbours
+        return True if b.dense >= DENSE or len(b.text) >= LONG and not known else None
     if "©" in b.text and len(b.text) < 2 * LONG:
         return False
     if len(b.text) >= LONG:
@@ -281,7 +284,9 @@ def extract(html: str | None) -> str:
         x = labels[i]
         if x is None:
             (p, left), (q, right) = before[i], after[i]
-            if left is None or right is None:
+            if b.place == ARTICLE != last:
+                x = bool(right)  # a heading goes with what follows it
+            elif left is None or right is None:
                 x = right if left is None else left
                 x = True if x is None else x  # a page of short blocks only
             elif left == right:
