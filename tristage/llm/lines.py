@@ -24,7 +24,7 @@ from .common import drop, save, small, tracked
 
 WORDS, PERCENT = 5, 80
 #: Buckets of words that are counted; a word's rank is that of its bucket.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 #: Lines that share a token: above this their pairs are decided before they are put out; in parts of so many rows.
 CROWD, SPLIT = 16, 512
 #: Longs of a sketch, a power of two.
@@ -46,8 +46,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def ranks(docs: DataFrame) -> Column:
-    """For each bucket the rank of how many words of the corpus fall into it, in the upper 16 bits of a long: BUCKETS
-    numbers, whatever the corpus."""
+    """For each bucket the rank of how many words of the corpus fall into it, in 16 bits: BUCKETS numbers, whatever the
+    corpus. They stand in the plan, so they are short."""
     text = F.replace(_text(), F.lit("\n"), F.lit(" "))
     # the outer form, as Spark adds a filter to the plain one that splits the text again
     words = docs.where("doc_id is not null").select(F.explode_outer(F.split(text, " ")).alias("w")).where("w != ''")
@@ -55,8 +55,8 @@ def ranks(docs: DataFrame) -> Column:
     known = {r.b: r["count"] for r in counts.collect()}
     out = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (known.get(b, 0), b))):
-        out[b] = (rank - BUCKETS // 2) << 48
-    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<bigint>")
+        out[b] = rank - BUCKETS // 2
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<smallint>")
 
 
 def _runs(words: Column, size: int, of: Callable) -> Column:
@@ -74,7 +74,8 @@ def _hashes(line: Column) -> Column:
 
 def tokens(line: Column, rank: Column, size: int) -> Column:
     """Distinct tokens, rarest first: rank of the run's first word in the upper 16 bits, then a hash of the run."""
-    known = F.transform(_hashes(line), lambda h: F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16)))
+    place = lambda h: F.shiftleft(F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 48)
+    known = F.transform(_hashes(line), lambda h: place(h).bitwiseOR(F.shiftrightunsigned(h, 16)))
     token = lambda first, run: first.bitwiseAND(F.lit(-1 << 48)).bitwiseOR(F.shiftrightunsigned(run, 16))
     return F.sort_array(F.array_distinct(_runs(known, size, token)))
 
