@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tristage.plans import catalogue, catalogue_compare, catalogue_elements, catalogue_extract, catalogue_findings, catalogue_labels, catalogue_layers, catalogue_places, catalogue_relations, catalogue_review, catalogue_revisions, catalogue_text  # noqa: F401
+from tristage.plans import catalogue, catalogue_compare, catalogue_elements, catalogue_extract, catalogue_findings, catalogue_judgement, catalogue_labels, catalogue_layers, catalogue_materials, catalogue_places, catalogue_relations, catalogue_review, catalogue_revisions, catalogue_sheets, catalogue_text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
