@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """df's rows that meet the condition, as where() gives them, but on the columns that df has reckoned.
+
+    Spark moves a where() below the columns it asks for and puts their expressions in their place, over all steps at
+    once; where one step uses another several times, the work multiplies with each. A generator stays where it stands.
+    """
+    return df.withColumn("_only", F.explode(F.when(condition, F.array(F.lit(True))))).drop("_only")
+
+
+def each(array: str) -> Column:
+    """explode() of a column, likewise without a filter that Spark would put before it and move down."""
+    return F.explode(F.when(F.size(array) > 0, F.col(array)))
+
+
 def hits(text: Column, pattern: str, groups: list[str] | tuple[str, ...] = ()) -> Column:
     """An array of start, end, raw and the named groups, one struct for each match from left to right.
 

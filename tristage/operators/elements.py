@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tristage.functions.match import hits
+from tristage.functions.match import each, hits, only
 from tristage.functions.text import flat
 
 _W = "[0-9A-Za-zА-Яа-яЁё_]"
@@ -117,7 +117,9 @@ def mentions(text: Column) -> Column:
         return F.transform(hits(text, _re(pattern)), lambda h: F.struct(F.lit(i).alias("kind"), h.start.alias("start"), h.end.alias("end"), F.lit(name).alias("name"), F.lit(zoned).alias("zoned")))
 
     kinds = [kind(i, *e) for i, e in enumerate(ELEMENTS)]
-    every = F.array_sort(F.concat(*kinds))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,name:string,zoned:boolean>>")
+    any_ = "|".join(f"(?:{p})" for _, p, _ in ELEMENTS)  # most texts of paths and leftovers name no element at all
+    every = F.when(text.rlike(_re(any_)), F.array_sort(F.concat(*kinds))).otherwise(none)
     over = lambda acc, h: F.exists(acc, lambda a: (a.start < h.end) & (h.start < a.end))
     kept = F.aggregate(every, F.array().cast("array<struct<kind:int,start:int,end:int,name:string,zoned:boolean>>"), lambda acc, h: F.when(over(acc, h), acc).otherwise(F.concat(acc, F.array(h))))
     crane = lambda m: m["name"].isin(*FOUNDATIONS) & cut(text, m.end, m.end + 80).rlike(_CRANE_AFTER)
@@ -280,14 +282,14 @@ def concrete_classes(pages: DataFrame, keys: list[str]) -> DataFrame:
     pages: keys, text, path, as_built. Limits ("not below B25"), classes below B20 and those beside what bears no load
     are no values of an element. Null texts give none.
     """
-    rows = read(pages).withColumn("_c", F.explode("_classes")).withColumns({"_pos": F.col("_c.start"), "_end": F.col("_c.end"), "value": F.col("_c.n")})
+    rows = read(pages).withColumn("_c", each("_classes")).withColumns({"_pos": F.col("_c.start"), "_end": F.col("_c.end"), "value": F.col("_c.n")})
     t, pos, end, bounds = F.col("_flat"), F.col("_pos"), F.col("_end"), F.col("_bounds")
     other = lambda x: F.when(F.col("as_built"), x.rlike(NOT_STRUCTURAL_BUILT)).otherwise(x.rlike(NOT_STRUCTURAL))
     stop = F.coalesce(F.get(F.filter(bounds, lambda b: (b.start >= end) & (b.end <= end + 60)), 0).start, end + 60)
     near = other(cut(t, F.greatest(clause_start(bounds, pos), pos - 60), pos)) | other(cut(t, end, stop))
-    rows = rows.where((F.col("value") >= LEAST_CLASS) & ~near & ~cut(t, pos - 80, pos).rlike(_LIMIT))
+    rows = only(rows, (F.col("value") >= LEAST_CLASS) & ~near & ~cut(t, pos - 80, pos).rlike(_LIMIT))
     raw = F.concat(F.lit("B"), F.replace(F.regexp_replace(F.col("value").cast("string"), r"\.0$", ""), F.lit("."), F.lit(",")))
-    return bind(rows).where("locations IS NOT NULL").select(*keys, F.explode("locations").alias("location"), "binding", "value", raw.alias("raw"), F.col("_pos").alias("start"))
+    return bind(rows).select(*keys, each("locations").alias("location"), "binding", "value", raw.alias("raw"), F.col("_pos").alias("start"))
 
 
 def crane_volume(titles: Column) -> Column:

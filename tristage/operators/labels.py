@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tristage.functions.language import convert
-from tristage.functions.match import after, before, hits, snippet
+from tristage.functions.match import after, before, hits, only, snippet
 from tristage.functions.text import flat
 
 #: A number as printed, and units that may stand before or behind one.
@@ -144,14 +144,14 @@ def find_values(pages: DataFrame, label: str, exclude: str | None = None, rule:
     page = page.withColumn("_v", columns_after(F.col("_f"), F.col("_h.end")))
     if exclude:
         row = F.concat(F.regexp_extract(before(F.col("_f"), F.col("_h.start"), 60), r"([^.;:0-9]*)$", 1), F.col("_h.raw"), F.regexp_extract(after(F.col("_f"), F.col("_h.end"), 60), r"^([^.;:0-9]*)", 1))
-        page = page.where(~row.rlike(f"(?iu){exclude}"))
+        page = only(page, ~row.rlike(f"(?iu){exclude}"))
     n = F.size("_v")
-    page = page.where(n > 0).withColumn("_rows", F.when(n > 1, rows_of_numbers(F.col("_f"))))
+    page = only(page, n > 0).withColumn("_rows", F.when(n > 1, rows_of_numbers(F.col("_f"))))
     page = page.withColumn("_p", pick_column(F.col("_f"), F.col("_rows"), F.col("_h.start"), F.col("_v"), rule))
-    page = page.where((n < LONG_ROW) | (F.col("_p.choice") == "header")).withColumn("_c", F.get("_v", F.col("_p.index")))
+    page = only(page, (n < LONG_ROW) | (F.col("_p.choice") == "header")).withColumn("_c", F.get("_v", F.col("_p.index")))
     value = F.col("_c.value") if unit is None else convert(F.col("_c.value"), F.col("_c.unit"), F.lit(unit))
     out = page.select(*keys, value.alias("value"), F.col("_c.raw").alias("raw"), n.alias("columns"), F.col("_p.choice").alias("choice"), F.col("_h.raw").alias("label"), F.col("_h.start").alias("pos"), snippet(F.col("_f"), F.col("_h.start"), F.col("_h.end")).alias("snippet"))
-    return out.where("value is not null")
+    return only(out, F.col("value").isNotNull())
 
 
 def _body(text: Column, header: str) -> Column:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tristage.functions.match import hits
+from tristage.functions.match import hits, only
+from tristage.operators.elements import let
 
 _W = "[0-9A-Za-zА-Яа-яЁё_]"
 
@@ -58,9 +59,14 @@ LAYERS = "array<struct<kind:string,mm:double,text:string>>"
 
 def kind_of(line: Column) -> Column:
     """The kind of a line: of the first words that name one, without what stands in brackets; null for none."""
-    core = F.regexp_replace(line, r"\([^)]*\)?", " ")
-    found = [F.when(F.regexp_instr(core, F.lit(_re(p))) > 0, F.struct(F.regexp_instr(core, F.lit(_re(p))).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("kind"))) for i, (k, _, p) in enumerate(KINDS)]
-    return F.when(~core.rlike(NOT_LAYER), F.array_min(F.array_compact(F.array(*found))).kind)
+
+    def first(core: Column) -> Column:
+        # most lines name no kind: one pattern tells; where it matches, the kinds are asked who begins there
+        at = F.regexp_instr(core, F.lit(_re("|".join(f"(?:{p})" for _, _, p in KINDS))))
+        named = lambda a: F.coalesce(*(F.when(F.regexp_instr(core, F.lit(_re(p))) == a, F.lit(k)) for k, _, p in KINDS))
+        return F.when(core.rlike(NOT_LAYER), None).otherwise(let(at, lambda a: F.when(a > 0, named(a))))
+
+    return let(F.regexp_replace(line, r"\([^)]*\)?", " "), first)
 
 
 def thickness(line: Column) -> Column:
@@ -97,7 +103,8 @@ def _purpose(text: Column) -> Column:
 def _blocks(pages: DataFrame, keys: list[str], head: str, stop: str) -> DataFrame:
     """What stands behind each heading up to the next one, or to where it stops: keys, key, purpose, start, body."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = pages.select(*keys, text.alias("_t"), hits(text, head, ["key", "purpose"]).alias("_h")).select("*", F.posexplode("_h").alias("_i", "_x"))
+    rows = pages.select(*keys, text.alias("_t"), hits(text, head, ["key", "purpose"]).alias("_h"))
+    rows = rows.select("*", F.posexplode(F.when(F.size("_h") > 0, F.col("_h"))).alias("_i", "_x"))
     end = F.coalesce(F.get("_h", F.col("_i") + 1).start, F.char_length("_t"))
     body = F.substring("_t", F.col("_x.end") + 1, end - F.col("_x.end"))
     at = F.regexp_instr(body, F.lit(stop))
@@ -112,12 +119,12 @@ def stacks(pages: DataFrame, keys: list[str], profile: str) -> DataFrame:
     """
     if profile == "pavement":
         rows = _blocks(pages, keys, _PAVEMENT, _CURB).withColumn("layers", layers(F.split("body", "\n")))
-        return rows.where(F.size("layers") > 0).drop("body")
+        return only(rows, F.size("layers") > 0).drop("body")
     rows = _blocks(pages, keys, _ROOF, _ROOF_END)
     items = F.slice(F.split("body", r"(?m)^\s*[0-9]+\.\s+"), 2, 1000)
     each = F.flatten(F.transform(items, lambda x: layers(F.split(x, r"\n\s*-\s+|\n"))))
     rows = rows.withColumn("layers", F.filter(each, lambda s: s.kind.isin(*ROOF_KINDS)))
-    return rows.where(F.size(F.array_distinct(F.transform("layers", lambda s: s.kind))) >= LEAST_ROOF).drop("body")
+    return only(rows, F.size(F.array_distinct(F.transform("layers", lambda s: s.kind))) >= LEAST_ROOF).drop("body")
 
 
 def kinds(stack: Column) -> Column:

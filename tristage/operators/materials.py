@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tristage.functions.match import hits
+from tristage.functions.match import each, hits, only
 from tristage.operators.elements import _BOUNDARY, _re, clause_start, cut, let, mentions
 
 #: Fixed values from here on: patterns, groups and limits that results depend on.
@@ -64,7 +64,7 @@ def rebar_classes(pages: DataFrame, keys: list[str]) -> DataFrame:
     in the same description; without an element, or outside as-built papers without a purpose, a class is none.
     """
     t = F.col("flat")
-    rows = pages.withColumns({"_m": mentions(t), "_b": hits(t, _BOUNDARY), "_x": hits(t, _EXTRA), "_c": hits(t, _CLASS, ("n", "s"))}).withColumn("_h", F.explode("_c"))
+    rows = pages.withColumns({"_m": mentions(t), "_b": hits(t, _BOUNDARY), "_x": hits(t, _EXTRA), "_c": hits(t, _CLASS, ("n", "s"))}).withColumn("_h", each("_c"))
     pos = F.col("_h.start")
     rows = rows.withColumn("_lo", F.greatest(clause_start(F.col("_b"), pos), pos - CLAUSE_BACK))
     inside = lambda a, lo, hi: F.filter(a, lambda m: (m.start >= lo) & (m.end <= hi))
@@ -77,7 +77,7 @@ def rebar_classes(pages: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumns({"_clause": clause, "_path": path, "_behind": behind, "purpose": purpose(cut(t, pos - NEAR, pos))})
     where = F.coalesce("_clause", "_path", "_behind")
     how = F.when(F.col("_clause").isNotNull(), "CLAUSE").when(F.col("_path").isNotNull(), "PATH").otherwise("PAGE")
-    out = rows.where(where.isNotNull() & (F.col("purpose").isNotNull() | F.col("as_built")))
+    out = only(rows, where.isNotNull() & (F.col("purpose").isNotNull() | F.col("as_built")))
     return out.select(*keys, where.alias("location"), how.alias("binding"), F.coalesce("purpose", F.lit("unknown")).alias("purpose"), F.col("_h.n").cast("int").alias("value"), F.concat(F.lit("А"), "_h.n", F.when(F.col("_h.s") != "", "С").otherwise("")).alias("raw"), pos.alias("start"))
 
 

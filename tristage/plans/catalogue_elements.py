@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tristage.functions.text import flat
 from tristage.operators import elements, labels
-from tristage.plans.catalogue import ORACLE_SQL, QUERIES, table
+from tristage.plans.catalogue import ORACLE_SQL, QUERIES, pages
 
 _V, _P = "Вертикальные конструкции", "Плиты перекрытия"
 _U, _A = "подземной части", "надземной части"
@@ -95,7 +95,7 @@ def _texts(spark, sf_dir, cases, text=lambda c: c[0]):
     """key, case and text of each part."""
     k = F.col("p_partkey")
     chosen = F.element_at(F.array(*(F.lit(text(c)) for c in cases)), (k % len(cases) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(k.alias("key"), (k % len(cases)).alias("case"), F.col("p_size"), chosen.alias("text"))
+    return pages(spark, sf_dir, "part", "p_partkey").select(k.alias("key"), (k % len(cases)).alias("case"), F.col("p_size"), chosen.alias("text"))
 
 
 def _twin(cases, rows, columns: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tristage.operators.extract import Rule, extract
 from tristage.operators.rules import RULES
-from tristage.plans.catalogue import ORACLE_SQL, QUERIES, table
+from tristage.plans.catalogue import ORACLE_SQL, QUERIES, pages
 
 TEXTS = {
     "soue_type": ["'предусмотрена СОУЭ  ' || (a % 5 + 1) || '-го типа в здании'", "'здание оснащается СОУЭ - ' || (a % 5 + 1) || ' типа'", "'при отсутствии на объекте СОУЭ 3-го типа и выше'", "'принят ' || (a % 5 + 1) || '-го типа системы СОУЭ, второй абзац'", "'СОУЭ (оповещение) не ниже 4-го типа; далее текст СОУЭ ' || (a % 7) || ' типа'"],
@@ -79,8 +79,8 @@ def _sql(kind: str) -> str:
 
 def _query(kind: str):
     def run(spark, sf_dir):
-        pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a"))
-        return extract(pages.select("k", F.expr(_texts(kind)).alias("text")), RULES[kind])
+        parts = pages(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a"))
+        return extract(parts.select("k", F.expr(_texts(kind)).alias("text")), RULES[kind])
 
     run.__name__ = f"extract_{kind}"
     return run

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tristage.functions import language as L
 from tristage.operators import review
 from tristage.operators.compare import IMPOSSIBLE, OK, VIOLATION
-from tristage.plans.catalogue import query, table
+from tristage.plans.catalogue import pages, query, table
 
 
 def _case(key: str, some: list[str]) -> str:
@@ -16,7 +16,7 @@ def _case(key: str, some: list[str]) -> str:
 
 
 def _parts(spark, sf_dir, **columns):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a"))
+    p = pages(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a"))
     return p.select("k", *(F.expr(sql).alias(name) for name, sql in columns.items()))
 
 

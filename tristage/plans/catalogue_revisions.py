@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tristage.functions import text as T
 from tristage.operators import alignment, revisions
-from tristage.plans.catalogue import query, table
+from tristage.plans.catalogue import pages, query, table
 
 _MARKS = {
     "archive": "o_orderstatus = 'F' AND o_orderkey % 5 = 0",
@@ -76,6 +76,6 @@ _NAMES = ["'Том 5_изм. ' || (a % 30 + 1) || ' корр. ' || (a % 9) || '.
 @query("""SELECT k, CASE k % 6 WHEN 0 THEN a % 9 END AS correction, k % 6 = 1 AS gip, k % 6 = 2 AS by_comments, CASE k % 6 WHEN 0 THEN a % 30 + 1 END AS change, CASE k % 6 WHEN 3 THEN a % 40 WHEN 4 THEN a % 20 END AS version,
  CASE k % 6 WHEN 1 THEN '2023-05-' || (10 + a % 20) WHEN 2 THEN '2024-0' || (a % 9 + 1) || '-05' WHEN 5 THEN '2022-02-01' END AS date, CASE k % 6 WHEN 1 THEN 2 END AS copy, CASE k % 6 WHEN 2 THEN 'E_SIGNATURE' WHEN 4 THEN 'ISSUED_FOR_CONSTRUCTION' WHEN 5 THEN 'STATE_EXPERTISE' END AS approval FROM (SELECT p_partkey AS k, CAST(p_size AS INTEGER) AS a FROM part)""")
 def name_marks(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a"))
+    p = pages(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("a"))
     name = "CASE k % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_NAMES)) + " END"
     return p.select("k", revisions.name_marks(F.expr(name)).alias("m")).select("k", "m.*")
