@@ -20,3 +20,33 @@ def test_no_filter_repeats_what_columns_reckon(spark, name):
     plan = e.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
     filters = [x for x in plan.treeString().splitlines() if x.strip(" :+-").startswith("Filter")]
     assert not [x for x in filters if "regexp" in x or "split(" in x or "lambda" in x.lower()]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name", ["page_shift", "part_shift"])
+def test_votes_are_not_shuffled(spark, name):
+    """Words go to the task of their page; votes and the cells around theirs stay there."""
+    assert exchanges(e.queries()[name](spark, DATA)) <= 9
+
+
+def test_only_kinds_meet(spark):
+    """Stacks meet by their kinds alone: no layers go through the join."""
+    from tristage.operators import layers
+
+    stack = "array(named_struct('kind', 'a', 'mm', 1D, 'text', ''), named_struct('kind', 'b', 'mm', 2D, 'text', '')) AS layers"
+    df = spark.sql(f"SELECT 1 AS o, id AS n, 'k' AS key, '' AS purpose, {stack} FROM range(3)")
+    plan = layers.pair(df, df, ["o"], "roof").select("o", "rd", "pd")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "array_intersect" in x]
+
+
+def test_marks_of_one_place_meet_once(spark):
+    """300 marks at one place and one beside them: no broadcast, and copies aren't joined with each other."""
+    from tristage.operators import spatial
+
+    df = spark.sql("SELECT 'b' AS g, id AS k, 1.0D AS x, 2.0D AS y FROM range(300) UNION ALL SELECT 'b', 1000, 1.5D, 2.0D UNION ALL SELECT 'c', 7, 0.0D, 0.0D")
+    out = spatial.nearest(df, df, ["g"], "k", "x", "y", 20.0)
+    assert {r.k: (r.nearest, r.distance) for r in out.collect()} == {k: (1 if k == 0 else 0, 0.5 if k == 1000 else 0.0) for k in [*range(300), 1000]}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

@@ -140,27 +140,43 @@ def peaks(old: DataFrame, new: DataFrame, by: list[str], first: bool) -> DataFra
     part needs MIN_VOTES, and of the rare words in the region of its voters LOCAL_SUPPORT must vote for it; cells are
     tried from the fullest on, down to the first with too few votes. Of cells alike, that of the earliest word is taken.
     """
-    rare = lambda df: df.withColumn("_c", F.count("*").over(Window.partitionBy(*by, "t"))).where(F.col("_c") <= RARE)
-    some = rare(old).select(*by, "t", "word", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    votes = some.join(rare(new).select(*by, "t", "other", "x", "y"), [*by, "t"])
-    votes = votes.withColumns({"_dx": F.col("x") - F.col("_x"), "_dy": F.col("y") - F.col("_y")})
+    here = lambda df, key, side: df.select(*by, "t", F.lit(side).alias("_s"), F.struct(F.col(key).cast("long").alias("w"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("_v"))
+    # all words of a page go to one task once; what follows groups by page and more, which needs no other shuffle
+    words = here(old, "word", 0).unionByName(here(new, "other", 1))
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    of = lambda side: F.collect_list(F.when(F.col("_s") == side, F.col("_v")))
+    listed = words.where("t IS NOT NULL").groupBy(*by, "t").agg(of(0).alias("_a"), of(1).alias("_b")).where((F.size("_a") > 0) & (F.size("_a") <= RARE))
+    some = listed.select(*by, F.explode("_a").alias("_o")).select(*by, F.col("_o.x").alias("_x"), F.col("_o.y").alias("_y"))
+    votes = listed.where(F.size("_b") <= RARE).select(*by, "_b", F.explode("_a").alias("_o")).select(*by, "_o", F.explode("_b").alias("_v"))
+    votes = votes.select(*by, F.col("_o.w").alias("word"), F.col("_v.w").alias("other"), F.col("_o.x").alias("_x"), F.col("_o.y").alias("_y"), (F.col("_v.x") - F.col("_o.x")).alias("_dx"), (F.col("_v.y") - F.col("_o.y")).alias("_dy"))
     votes = votes.withColumns({"_i": F.bround(F.col("_dx") / POS_TOL).cast("long"), "_j": F.bround(F.col("_dy") / POS_TOL).cast("long")})
-    cell = [*by, "_i", "_j"]
-    full = votes.groupBy(*cell).agg(F.count("*").alias("_n"), F.min(F.struct("word", "other")).alias("_first"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = votes.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).withColumns({"_i": F.col("_i") + F.col("_a"), "_j": F.col("_j") + F.col("_b")})
-    near = spread.groupBy(*cell).agg(F.count("*").alias("_near"), F.countDistinct("word").alias("_voters"), F.median("_dx").alias("dx"), F.median("_dy").alias("dy"), *(f(c).alias(n) for f, c, n in ((F.min, "_x", "_x0"), (F.min, "_y", "_y0"), (F.max, "_x", "_x1"), (F.max, "_y", "_y1"))))
+    full = votes.groupBy(*by, "_i", "_j").agg(F.count("*").alias("_n"), F.min(F.struct("word", "other")).alias("_first"))
     order = Window.partitionBy(*by).orderBy(F.desc("_n"), F.asc("_first"))
-    ranked = full.join(near, cell).withColumn("_rank", F.row_number().over(order))
     none = F.lit(None).cast("double")
+
+    def voted(cells: DataFrame, key: list[str]) -> DataFrame:
+        """What the votes in the chosen cells and those around them say: only these cells meet the votes again."""
+        chosen = cells.select(*key, F.col("_i").alias("_ci"), F.col("_j").alias("_cj"))
+        near = chosen.join(votes, by).where((F.abs(F.col("_i") - F.col("_ci")) <= 1) & (F.abs(F.col("_j") - F.col("_cj")) <= 1))
+        corners = [f(c).alias(n) for f, c, n in ((F.min, "_x", "_x0"), (F.min, "_y", "_y0"), (F.max, "_x", "_x1"), (F.max, "_y", "_y1"))]
+        return near.groupBy(*key).agg(F.count("*").alias("_near"), F.size(F.collect_set("word")).alias("_voters"), F.median("_dx").alias("dx"), F.median("_dy").alias("dy"), *corners)
+
     if first:
-        top = ranked.where((F.col("_rank") == 1) & (F.col("_near") >= FIRST_VOTES))
+        top = voted(full.withColumn("_rank", F.row_number().over(order)).where("_rank = 1"), by).where(F.col("_near") >= FIRST_VOTES)
         return top.select(*by, "dx", "dy", *(none.alias(c) for c in ("rx0", "ry0", "rx1", "ry1")))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    spread = full.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around))
+    own = (F.col("_a") == 0) & (F.col("_b") == 0)
+    spread = spread.select(*by, (F.col("_i") + F.col("_a")).alias("_i"), (F.col("_j") + F.col("_b")).alias("_j"), F.col("_n").alias("_m"), F.when(own, F.struct("_n", "_first")).alias("_own"))
+    near = spread.groupBy(*by, "_i", "_j").agg(F.sum("_m").alias("_near"), F.max("_own").alias("_own")).where("_own IS NOT NULL")
+    ranked = near.select(*by, "_i", "_j", "_near", "_own.*").withColumn("_rank", F.row_number().over(order))
     stop = F.min(F.when(F.col("_near") < MIN_VOTES, F.col("_rank"))).over(Window.partitionBy(*by))
     tried = ranked.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("_rank") < F.col("_stop")))
-    tried = tried.select(*by, "_rank", "_voters", "dx", "dy", (F.col("_x0") - REGION).alias("rx0"), (F.col("_y0") - REGION).alias("ry0"), (F.col("_x1") + REGION).alias("rx1"), (F.col("_y1") + REGION).alias("ry1"))
-    held = tried.join(some, by).where(F.col("_x").between(F.col("rx0"), F.col("rx1")) & F.col("_y").between(F.col("ry0"), F.col("ry1"))).groupBy(*by, "_rank").agg(F.count("*").alias("_held"))
-    good = tried.join(held, [*by, "_rank"]).where(F.col("_voters") >= LOCAL_SUPPORT * F.greatest(F.col("_held"), F.lit(1)))
+    tried = voted(tried, [*by, "_rank"]).select(*by, "_rank", "_voters", "dx", "dy", (F.col("_x0") - REGION).alias("rx0"), (F.col("_y0") - REGION).alias("ry0"), (F.col("_x1") + REGION).alias("rx1"), (F.col("_y1") + REGION).alias("ry1"))
+    region = ["_voters", "dx", "dy", "rx0", "ry0", "rx1", "ry1"]
+    inside = F.col("_x").between(F.col("rx0"), F.col("rx1")) & F.col("_y").between(F.col("ry0"), F.col("ry1"))
+    held = tried.join(some, by).groupBy(*by, "_rank").agg(F.count_if(inside).alias("_held"), *(F.first(c).alias(c) for c in region))
+    good = held.where((F.col("_held") > 0) & (F.col("_voters") >= LOCAL_SUPPORT * F.greatest(F.col("_held"), F.lit(1))))
     best = good.groupBy(*by).agg(F.min(F.struct("_rank", "dx", "dy", "rx0", "ry0", "rx1", "ry1")).alias("_b"))
     return best.select(*by, *(F.col(f"_b.{c}").alias(c) for c in ("dx", "dy", "rx0", "ry0", "rx1", "ry1")))
 
