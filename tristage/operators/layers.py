@@ -181,12 +181,13 @@ def pair(pd: DataFrame, rd: DataFrame, by: list[str], profile: str) -> DataFrame
         rows = rows.join(first("purpose"), [*by, "purpose"], "left")
         rows = rows.withColumns({"pd": F.coalesce("_key", "_purpose"), "how": F.when(F.col("_key").isNotNull(), "KEY").otherwise("PURPOSE")})
     elif profile == "roof":
-        each = lambda df, n: df.select(*by, F.col("n").alias(n), F.col("layers").alias(f"_{n}"), F.explode(kinds(F.col("layers"))).alias("_kind"))
-        met = each(rd, "n").join(each(pd, "pd"), [*by, "_kind"]).drop("_kind").dropDuplicates([*by, "n", "pd"])
-        scored = met.select(*by, "n", "pd", similarity(F.col("_pd"), F.col("_n")).alias("s"))
-        best = scored.where(F.col("s") >= ALIKE).groupBy(*by, "n").agg(F.max(F.struct("s", "pd")).alias("_b")).select(*by, "n", F.col("_b.pd").alias("_best"))
-        own = scored.select(*by, "n", F.col("pd").alias("_key"), F.col("s").alias("_s"))
-        rows = rows.join(best, [*by, "n"], "left").join(own, [*by, "n", "_key"], "left")
+        # of the stacks only their kinds meet: how many they share and have gives the similarity
+        each = lambda df, n: df.select(*by, F.col("n").alias(n), kinds(F.col("layers")).alias("_k")).select(*by, n, F.size("_k").alias(f"_{n}"), F.explode("_k").alias("_kind"))
+        met = each(rd, "n").join(each(pd, "pd"), [*by, "_kind"]).groupBy(*by, "n", "pd").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_pd").alias("_pd"))
+        scored = met.select(*by, "n", "pd", (F.col("_c") / (F.col("_n") + F.col("_pd") - F.col("_c"))).alias("s"))
+        keyed = rows.select(*by, "n", "_key").join(scored, [*by, "n"])
+        like = keyed.groupBy(*by, "n").agg(F.max(F.when(F.col("s") >= ALIKE, F.struct("s", "pd"))).alias("_b"), F.max(F.when(F.col("pd") == F.col("_key"), F.col("s"))).alias("_s"))
+        rows = rows.join(like.select(*by, "n", F.col("_b.pd").alias("_best"), "_s"), [*by, "n"], "left")
         held = F.col("_key").isNotNull() & (F.coalesce("_s", F.lit(0.0)) >= HELD)
         rows = rows.withColumns({"pd": F.when(held, F.col("_key")).otherwise(F.col("_best")), "how": F.when(held, "KEY").otherwise("KINDS")})
     else:
