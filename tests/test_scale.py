@@ -50,3 +50,30 @@ def test_marks_of_one_place_meet_once(spark):
     out = spatial.nearest(df, df, ["g"], "k", "x", "y", 20.0)
     assert {r.k: (r.nearest, r.distance) for r in out.collect()} == {k: (1 if k == 0 else 0, 0.5 if k == 1000 else 0.0) for k in [*range(300), 1000]}
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def both(spark, tmp_path, name, **tables):
+    """Rows of a query and of its SQL over the given tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = e.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
+    flat = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    return flat(map(tuple, got.collect())), flat(want)
+
+
+def test_long_tables_of_rooms(spark, tmp_path):
+    """2,100 rooms of a brand: both of its tables have some numbers, and some have four digits."""
+    part = "SELECT i AS p_partkey, 'red oak' AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, CAST(i % 50 + 1 AS INTEGER) AS p_size, 900.0 AS p_retailprice FROM range(2100) t(i)"
+    got, want = both(spark, tmp_path, "room_tables", part=part)
+    assert got == want and len(got) < 2100
+
+
+def test_zones_in_many_rounds(spark, tmp_path):
+    """A page of this supplier needs more than five rounds."""
+    got, want = both(spark, tmp_path, "word_zones", lineitem="SELECT * FROM '/root/testdata/sf0.1/lineitem.parquet' WHERE l_suppkey = 363")
+    assert got == want

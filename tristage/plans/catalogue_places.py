@@ -54,15 +54,16 @@ def part_shift(spark, sf_dir):
     return layout.peaks(*_words(spark, sf_dir), BY, first=False).select(*BY, "dx", "dy", "rx0", "ry1")
 
 
-def _round(i: int) -> str:
-    """Boxes that reach each other become one, named by the least; the next round has their frames."""
-    return f""", e{i} AS MATERIALIZED (SELECT a.f, a.page, a.id AS a, b.id AS b FROM z{i} a JOIN z{i} b ON a.f = b.f AND a.page = b.page AND a.id <> b.id AND a.x0 - 12 <= b.x1 AND b.x0 - 12 <= a.x1 AND a.y0 - 12 <= b.y1 AND b.y0 - 12 <= a.y1),
- r{i} AS (SELECT f, page, id AS a, id AS root FROM z{i} UNION SELECT r.f, r.page, e.b, r.root FROM r{i} r JOIN e{i} e ON e.f = r.f AND e.page = r.page AND e.a = r.a),
- m{i} AS (SELECT f, page, a, min(root) AS root FROM r{i} GROUP BY ALL),
- z{i + 1} AS MATERIALIZED (SELECT f, page, root AS id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(n) AS n FROM z{i} JOIN m{i} USING (f, page) WHERE m{i}.a = z{i}.id GROUP BY ALL)"""
+#: A box grows to the frame of all that it reaches, equal frames are one, until nothing grows, in however many rounds.
+_ZONES = """, g AS (SELECT f, page, list(DISTINCT {'x0': x - 10, 'y0': y - 4, 'x1': x + 10, 'y1': y + 4}) AS z FROM w GROUP BY f, page),
+ u AS (SELECT f, page, z, false AS still FROM g UNION ALL SELECT f, page, n, len(n) = len(z) AND len(list_filter(n, lambda a: NOT list_contains(z, a))) = 0 FROM (
+  SELECT f, page, z, list_distinct(list_transform(list_transform(z, lambda a: list_filter(z, lambda b: a.x0 - 12 <= b.x1 AND b.x0 - 12 <= a.x1 AND a.y0 - 12 <= b.y1 AND b.y0 - 12 <= a.y1)),
+   lambda m: {'x0': list_min(list_transform(m, lambda b: b.x0)), 'y0': list_min(list_transform(m, lambda b: b.y0)), 'x1': list_max(list_transform(m, lambda b: b.x1)), 'y1': list_max(list_transform(m, lambda b: b.y1))})) AS n FROM u WHERE NOT still)),
+ e AS (SELECT f, page, unnest(z) AS b FROM u WHERE still)
+ SELECT e.f, e.page, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, count(*) AS n FROM e JOIN w ON w.f = e.f AND w.page = e.page AND w.x BETWEEN b.x0 AND b.x1 AND w.y BETWEEN b.y0 AND b.y1 GROUP BY ALL"""
 
 
-@query(_WORDS.replace("WITH w", "WITH RECURSIVE w") + ", z0 AS MATERIALIZED (SELECT f, page, word AS id, x - 10 AS x0, y - 4 AS y0, x + 10 AS x1, y + 4 AS y1, 1 AS n FROM w)" + "".join(map(_round, range(5))) + " SELECT f, page, x0, y0, x1, y1, CAST(n AS BIGINT) AS n FROM z5")
+@query(_WORDS.replace("WITH w", "WITH RECURSIVE w") + _ZONES)
 def word_zones(spark, sf_dir):
     w, _ = _words(spark, sf_dir)
     boxes = w.select(*BY, F.col("word").alias("box"), (F.col("x") - 10).alias("x0"), (F.col("y") - 4).alias("y0"), (F.col("x") + 10).alias("x1"), (F.col("y") + 4).alias("y1"))
@@ -165,9 +166,14 @@ def _room_words(spark, sf_dir):
     return body.unionByName(top).withColumns({"x1": F.col("x0") + 0.03, "y1": F.col("y0") + 0.006})
 
 
-@query("""SELECT p_brand AS brand, CAST(CASE WHEN p_partkey % 2 = 0 THEN 99 ELSE 499 END + row_number() OVER (PARTITION BY p_brand, p_partkey % 2 ORDER BY p_partkey) AS VARCHAR) AS number, p_name AS name,
- CASE WHEN p_size % 5 > 0 THEN p_size + 0.5::DOUBLE END AS area, CASE WHEN p_size % 3 = 0 THEN 'В2' END AS category, true AS labeled FROM part""")
+@query("""WITH n AS (SELECT p_brand AS brand, p_partkey % 2 AS side, CASE WHEN p_partkey % 2 = 0 THEN 99 ELSE 499 END + row_number() OVER (PARTITION BY p_brand, p_partkey % 2 ORDER BY p_partkey) AS number, p_name AS name,
+ CASE WHEN p_size % 5 > 0 THEN p_size + 0.5::DOUBLE END AS area, CASE WHEN p_size % 3 = 0 THEN 'В2' END AS category FROM part),
+ f AS (SELECT *, count(*) OVER (PARTITION BY brand, side, length(CAST(number AS VARCHAR))) AS alike FROM n),
+ r AS (SELECT * FROM f WHERE number BETWEEN 10 AND 999 OR (number BETWEEN 1000 AND 9999 AND alike >= 2))
+ SELECT brand, CAST(number AS VARCHAR) AS number, name, area, category, true AS labeled FROM r QUALIFY row_number() OVER (PARTITION BY brand, number ORDER BY side) = 1""")
 def room_tables(spark, sf_dir):
-    """What the tables were made of must come back from the boxes of their words."""
+    """What the tables were made of must come back from the boxes of their words, by the rules of rooms.rooms(): two or
+    three digits are a number, four if the column repeats that form, more never; of tables side by side that repeat a
+    number the first has the room."""
     found, _ = rooms.rooms(_room_words(spark, sf_dir), ["p_brand"])
     return found.select(F.col("p_brand").alias("brand"), "number", "name", "area", "category", "labeled")
