@@ -87,3 +87,9 @@ def test_copies_of_names_stay_linear(spark):
     out = joins.token_similarity(df, ["g"], "k", "t", 0.3).collect()
     assert sum(r.link == "COPY" for r in out) == 398 and all(r.x == 0 for r in out if r.link == "COPY")
     assert [(r.x, r.y, r.similarity) for r in out if r.link == "PAIR"] == [(0, 7, 0.5)]
+
+
+def test_acts_are_parsed_once(spark):
+    """The filter of acts stays above what was read from their XML."""
+    plan = e.queries()["act_contents"](spark, DATA)._jdf.queryExecution().optimizedPlan()
+    assert not [x for x in plan.treeString().splitlines() if x.strip(" :+-").startswith("Filter") and "xpath" in x]

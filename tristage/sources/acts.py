@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tristage.functions.match import only
+
 #: Names of elements.
 ACT, SECTION, SHORT, WORK, MATERIAL, RULE, SCHEMA, QUALITY = "actInfo", "workDocumentationSectionsListItem", "shortWorkDocumentationSectionsListItem", "worksListItem", "usedMaterialsListItem", "technicalRegulationDetailsListItem", "asBuiltSchemasListItem", "untypedQualityApproveDocumentsListItem"
 
@@ -34,11 +36,12 @@ def blocks(xml: Column, name: str) -> Column:
 def first(xml: Column, *path: str) -> Column:
     """The first text at a path anywhere in xml; null if there is none or it is empty."""
     found = F.filter(F.xpath(xml, F.lit("//" + "/".join(path) + "/text()")), lambda t: F.trim(t) != "")
-    return F.trim(F.get(found, 0))
+    return F.when(xml.contains("<" + path[-1]), F.trim(F.get(found, 0)))  # no document is built for what isn't there
 
 
 def every(xml: Column, name: str) -> Column:
-    return F.filter(F.transform(F.xpath(xml, F.lit(f"//{name}/text()")), lambda t: F.trim(t)), lambda t: t != "")
+    found = F.filter(F.transform(F.xpath(xml, F.lit(f"//{name}/text()")), lambda t: F.trim(t)), lambda t: t != "")
+    return F.when(xml.isNull() | xml.contains("<" + name), found).otherwise(F.array().cast("array<string>"))
 
 
 def _person(xml: Column, name: str) -> Column:
@@ -58,7 +61,7 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = files.select("relative_path", plain(F.col("content")).alias("_x"))
     checked = rows.withColumn("_bad", (F.col("_x") == "") | ~F.col("_x").startswith("<") | F.from_xml("_x", kind, {"mode": "PERMISSIVE"})["_corrupt_record"].isNotNull())
     x = F.when(~F.col("_bad"), F.col("_x"))
-    acts = checked.where("NOT _bad").withColumn("_x", x)
+    acts = only(checked, ~F.col("_bad")).withColumn("_x", x)
     a = F.col("_x")
     works = F.transform(blocks(a, WORK), lambda b: F.struct(first(b, "workDescription", "workName").alias("name"), first(b, "location", "place").alias("place")))
     long = F.transform(blocks(a, SECTION), lambda b: F.struct(first(b, "workDocumentationSectionCode").alias("code"), first(b, "workDocumentationSectionName").alias("name"), every(b, "sheetNumber").alias("sheets")))
@@ -76,7 +79,7 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         first(a, "permanentObjectName").alias("object_name"), first(a, "worksDate", "beginDate").alias("work_begin"), first(a, "worksDate", "endDate").alias("work_end"),
         works.alias("works"), F.concat("_long", F.array_distinct(more)).alias("sections"), materials.alias("materials"), rules.alias("regulations"), schemas.alias("schemas"), _person(a, "workExecutorRepresentative").alias("executor"),
     )
-    return out.where((F.col("act_number").isNotNull()) | (F.size("works") > 0) | (F.size("sections") > 0)), checked.where("_bad").select("relative_path", F.lit("NOT_XML").alias("error"))
+    return only(out, (F.col("act_number").isNotNull()) | (F.size("works") > 0) | (F.size("sections") > 0)), checked.where("_bad").select("relative_path", F.lit("NOT_XML").alias("error"))
 
 
 def sheets(acts: DataFrame) -> DataFrame:
