@@ -93,3 +93,15 @@ def test_acts_are_parsed_once(spark):
     """The filter of acts stays above what was read from their XML."""
     plan = e.queries()["act_contents"](spark, DATA)._jdf.queryExecution().optimizedPlan()
     assert not [x for x in plan.treeString().splitlines() if x.strip(" :+-").startswith("Filter") and "xpath" in x]
+
+
+def test_contents_meet_in_blocks(spark, tmp_path, monkeypatch):
+    """Copies of a volume are linked with the first, and blocks of three find every pair that the SQL finds."""
+    from tristage.operators import relations
+
+    monkeypatch.setattr(relations, "BLOCK", 3)
+    text = "CASE WHEN i % 10 = 3 THEN 'a a b c' ELSE concat('a b c d ', repeat('e ', i % 7), 'u', i) END"
+    got, want = both(spark, tmp_path, "same_content", conversations=f"SELECT i AS conv_id, t AS turn, 'user' AS role, {text} AS text FROM range(40) r(i), range(2) s(t)")
+    assert got == want
+    assert sum(r[3] == "COPY" for r in got) == 3 and all(r[0] == 3 for r in got if r[3] == "COPY")
+    assert "PAIR" in {r[3] for r in got}

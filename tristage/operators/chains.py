@@ -104,9 +104,15 @@ def alike(profiles: DataFrame, members: DataFrame, fams: DataFrame, by: list[str
     term (a code on its pages), n."""
     of = members.join(fams.select(*by, "family", "group"), [*by, "family"])
     p = profiles.join(of.select(*by, F.col("file_id").alias("volume"), "group"), [*by, "volume"])
-    pairs = relations.same_content(p, [*by, "group"])
-    fam = lambda v, n: of.select(*by, F.col("file_id").alias(v), F.col("family").alias(n))
-    return pairs.join(fam("x", "a"), [*by, "x"]).join(fam("y", "b"), [*by, "y"]).where("a <> b").select(*by, "a", "b")
+    group = [*by, "group"]
+    classes = relations.profile_classes(p, group)
+    pairs = relations.same_content(classes, group).where("link = 'PAIR'")
+    # families of a class: what holds for its first volume holds for all
+    fams_of = classes.join(of.select(*group, F.col("file_id").alias("volume"), "family"), [*group, "volume"]).select(*group, "first", "family").distinct()
+    fam = lambda v, n: fams_of.select(*group, F.col("first").alias(v), F.col("family").alias(n))
+    apart = pairs.join(fam("x", "a"), [*group, "x"]).join(fam("y", "b"), [*group, "y"]).select(*by, "a", "b")
+    copies = fam("x", "a").join(fam("x", "b"), [*group, "x"]).where("a < b").select(*by, "a", "b")
+    return apart.union(copies).where("a <> b").distinct()
 
 
 def build(docs: DataFrame, profiles: DataFrame, by: list[str]) -> DataFrame:
