@@ -105,3 +105,20 @@ def test_contents_meet_in_blocks(spark, tmp_path, monkeypatch):
     assert got == want
     assert sum(r[3] == "COPY" for r in got) == 3 and all(r[0] == 3 for r in got if r[3] == "COPY")
     assert "PAIR" in {r[3] for r in got}
+
+
+def test_sheets_meet_in_blocks(spark, tmp_path, monkeypatch):
+    """Classes in blocks of nine give what all pairs give, ties and copies of sheets included."""
+    from tristage.operators import sheets
+
+    monkeypatch.setattr(sheets, "BLOCK", 9)
+    got, want = both(spark, tmp_path, "sheet_pairs", orders=f"SELECT o_orderkey, o_orderkey // 400 AS o_custkey FROM '{DATA}/orders.parquet'", lineitem=f"SELECT l_orderkey, l_partkey % 5 AS l_partkey FROM '{DATA}/lineitem.parquet'")
+    assert got == want and len(got) > 1000
+
+
+def test_halves_are_rounded_as_in_sql():
+    import numpy as np
+
+    from tristage.operators import sheets
+
+    assert sheets._half_up(np.array([0.0125, -0.0125, 1.0005, 2 / 3, 0.1 + 0.25, -0.1])).tolist() == [13, -13, 1001, 667, 350, -100]

@@ -2,52 +2,158 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tristage.sources.shared import cut
+
 #: Rooms and share of rooms that a pair shares, similarity and words of names, what names and disciplines
 #: add, and how many pairs of a sheet are handed over.
 SHARED, CONTAINED, NAMED, WORDS = 3, 0.15, 0.6, 3
 DISCIPLINE, SAME_NAME, NAME, TOP = 0.25, 2.0, 0.5, 12
+#: Classes of a block.
+BLOCK = 4000
+
+
+def _keyed(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
+    """Sheets with what pairs are scored by, in one order, and key, which is equal where all of it is; a written table."""
+    room = rooms.select(*by, "sheet", "room").distinct().groupBy(*by, "sheet").agg(F.sort_array(F.collect_list("room")).alias("held"), F.count("*").alias("n_rooms"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    names = lambda c: F.sort_array(F.array_distinct(none(F.col(c)))).alias(c)
+    some = sheets.where(F.col("stage").isin("PD", "RD")).dropna(subset=[*by, "sheet"])
+    some = some.select(*by, "sheet", "stage", "section", names("words"), F.sort_array(none(F.col("numbers"))).alias("numbers"), names("tags"))
+    held = F.coalesce("held", F.array().cast(dict(room.dtypes)["held"])).alias("held")
+    out = some.join(room, [*by, "sheet"], "left").select(*some.columns, held, F.coalesce("n_rooms", F.lit(0)).alias("n_rooms"))
+    return cut(out.withColumn("key", F.sha2(F.to_json(F.struct("section", "words", "numbers", "tags", "held", "n_rooms")), 256)))
+
+
+def _half_up(x: np.ndarray) -> np.ndarray:
+    """Thousandths, halves away from zero, as round() in SQL takes them from a number's shortest form."""
+    out = np.floor(x * 1000 + 0.5)
+    odd = np.abs(x * 1000 - np.floor(x * 1000) - 0.5) < 1e-6
+    out[odd] = [int(Decimal(repr(v)).scaleb(3).quantize(Decimal(1), ROUND_HALF_UP)) for v in x[odd].tolist()]
+    return out.astype(np.int64)
 
 
-def name_similarity(words_a: Column, numbers_a: Column, words_b: Column, numbers_b: Column) -> Column:
-    """Jaccard of words and numbers if the numbers are the same, else 0; 0 too for names of one token (row 177)."""
-    a, b = F.array_union(words_a, numbers_a), F.array_union(words_b, numbers_b)
-    odd = (F.size(words_a) == 0) | (F.size(words_b) == 0) | (F.sort_array(numbers_a) != F.sort_array(numbers_b)) | (F.size(a) < 2) | (F.size(b) < 2)
-    return F.when(odd, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+def _incidence(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the elements that both sides know each row's list holds, as 0 and 1."""
+    known = set().union(*map(set, left)) & set().union(*map(set, right))
+    number = {x: i for i, x in enumerate(known)}
+
+    def one(lists: list) -> np.ndarray:
+        out = np.zeros((len(lists), max(1, len(number))), dtype=np.float32)
+        for row, items in enumerate(lists):
+            out[row, [number[x] for x in items if x in number]] = 1
+        return out
+
+    return one(left), one(right)
+
+
+def best(left: pd.DataFrame, right: pd.DataFrame, rows: int = 256) -> Iterator[pd.DataFrame]:
+    """key, rd and scores of the TOP working sheets in `right` (classes, with their first TOP sheets) for each class of
+    design sheets in `left`. Of equal scores and rooms those of the earliest sheet count, so TOP classes hold TOP sheets.
+    Names are as similar as the Jaccard of their words and numbers if the numbers are the same, else not at all; nor are
+    those of one token (row 177)."""
+    right = right.assign(_first=[x[0] for x in right["sheets"]]).sort_values("_first", ignore_index=True)
+    lists = lambda df, c: [list(x) for x in df[c]]
+    tokens = lambda df: [list({*w, *n}) for w, n in zip(df["words"], df["numbers"], strict=True)]
+    room_l, room_r = _incidence(lists(left, "held"), lists(right, "held"))
+    word_l, word_r = _incidence(lists(left, "words"), lists(right, "words"))
+    tag_l, tag_r = _incidence(lists(left, "tags"), lists(right, "tags"))
+    token = tokens(left), tokens(right)
+    tok_l, tok_r = _incidence(*token)
+    size = lambda x: np.array([len(v) for v in x], dtype=np.float64)
+    size_l, size_r = size(token[0]), size(token[1])
+    tagged_l, tagged_r = size(left["tags"]) > 0, size(right["tags"]) > 0
+    worded_l, worded_r = size(left["words"]) > 0, size(right["words"]) > 0
+    code: dict = {"OTHER": 0, None: 1}
+    coded = lambda values: np.array([code.setdefault(v, len(code)) for v in values])
+    part_l, part_r = coded(left["section"]), coded(right["section"])
+    num_l, num_r = coded(map(tuple, left["numbers"])), coded(map(tuple, right["numbers"]))
+    n_rooms = left["n_rooms"].to_numpy(dtype=np.float64)
+    named_r = worded_r & (size_r >= 2)
+    keys, sheets = left["key"].to_numpy(), right["sheets"].tolist()
+    many = len(right)
+    for at in range(0, len(left), rows):
+        i = slice(at, at + rows)
+        shared = (room_l[i] @ room_r.T).astype(np.float64)
+        contained = np.divide(shared, n_rooms[i, None], out=np.zeros_like(shared), where=n_rooms[i, None] > 0)
+        common = (tok_l[i] @ tok_r.T).astype(np.float64)
+        alike = num_l[i, None] == num_r
+        similar = np.where(alike & (worded_l[i] & (size_l[i] >= 2))[:, None] & named_r, common / np.maximum(1, size_l[i, None] + size_r - common), 0.0)
+        met = (shared > 0) | (alike & (word_l[i] @ word_r.T > 0))
+        same = part_l[i, None] == part_r
+        apart = ~same & (part_l[i] > 1)[:, None] & (part_r > 1)
+        by_rooms = (shared >= SHARED) & (contained >= CONTAINED)
+        named = similar >= NAMED
+        informative = (size_l[i] >= WORDS)[:, None]
+        good = met & ~apart & (by_rooms | (named & informative & same)) & ((n_rooms[i] >= SHARED)[:, None] | informative)
+        a, b = np.nonzero(good)
+        if not len(a):
+            continue
+        bonus = np.where(tagged_l[i][a] & tagged_r[b], np.where((tag_l[i] @ tag_r.T)[a, b] > 0, DISCIPLINE, -DISCIPLINE), 0.0)
+        near = similar[a, b]
+        score = _half_up(contained[a, b] + bonus + np.where(near >= 0.999, SAME_NAME, np.where(near >= NAMED, NAME * near, 0.0)))
+        order = np.lexsort((b, -shared[a, b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        first = np.searchsorted(a, a)
+        a, b, score = (x[np.arange(len(a)) - first < TOP] for x in (a, b, score))
+        # the sheets of these classes, the best of them
+        each = np.repeat(np.arange(len(b)), [len(sheets[k]) for k in b])
+        rd = np.concatenate([sheets[k] for k in b])
+        a, b, score = a[each], b[each], score[each]
+        order = np.lexsort((rd, -shared[a, b], -score, a))
+        order = order[np.arange(len(a)) - np.searchsorted(a, a) < TOP]
+        a, b, score, rd = a[order], b[order], score[order], rd[order]
+        how = np.where(by_rooms[a, b] & named[a, b], "BOTH", np.where(by_rooms[a, b], "ROOMS", "NAME"))
+        yield pd.DataFrame({"key": keys[i][a], "rd": rd, "shared": shared[a, b].astype(np.int64), "containment": contained[a, b], "similarity": similar[a, b], "how": how, "score": score / 1000.0})
 
 
 def pairs(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
     """by, pd, rd, shared, containment, similarity, how (ROOMS, NAME or BOTH), score and place of at most TOP working
     sheets for each design sheet; the limit is the feature.
 
-    sheets: by, sheet, stage, section, words, numbers, tags; rooms: by, sheet, room. Sheets meet by a room or by a word
-    of their names, so what shares neither is never paired.
+    sheets: by, sheet, stage, section, words, numbers, tags; rooms: by, sheet, room. What shares neither a room nor a word
+    of its name is never paired. Sheets alike in all that counts are one class; of a class of working sheets the first
+    TOP are enough. Classes are dealt to blocks, each two blocks of a group meet in a task, which hands over TOP pairs of
+    each class: the work grows with the square of the classes of a group, what is moved with their number.
     """
-    side = lambda s: sheets.where(F.col("stage") == s)
-    names = {"PD": "pd", "RD": "rd"}
-    room = {s: rooms.select(*by, "sheet", "room").distinct().join(side(s).select(*by, "sheet"), [*by, "sheet"]).withColumnRenamed("sheet", n) for s, n in names.items()}
-    count = room["PD"].groupBy(*by, "pd").agg(F.count("*").alias("rooms"))
-    by_room = room["PD"].join(room["RD"], [*by, "room"]).groupBy(*by, "pd", "rd").agg(F.count("*").alias("shared"))
-    word = {s: side(s).select(*by, F.col("sheet").alias(n), F.explode(F.array_distinct("words")).alias("w"), F.sort_array("numbers").alias("k")) for s, n in names.items()}
-    by_name = word["PD"].join(word["RD"], [*by, "w", "k"]).select(*by, "pd", "rd").distinct()
-    met = by_room.join(by_name, [*by, "pd", "rd"], "full").join(count, [*by, "pd"], "left")
-    about = lambda s: side(s).select(*by, F.col("sheet").alias(names[s]), *(F.col(c).alias(f"{names[s]}_{c}") for c in ("section", "words", "numbers", "tags")))
-    met = met.join(about("PD"), [*by, "pd"]).join(about("RD"), [*by, "rd"])
-    col = F.col
-    met = met.withColumn("shared", F.coalesce("shared", F.lit(0))).withColumn("containment", F.coalesce(F.try_divide("shared", "rooms"), F.lit(0.0)))
-    met = met.withColumn("similarity", name_similarity(col("pd_words"), col("pd_numbers"), col("rd_words"), col("rd_numbers")))
-    apart = (col("pd_section") != col("rd_section")) & (col("pd_section") != "OTHER") & (col("rd_section") != "OTHER")
-    rooms_ok = (col("shared") >= SHARED) & (col("containment") >= CONTAINED)
-    named = col("similarity") >= NAMED
-    informative = F.size(F.array_union("pd_words", "pd_numbers")) >= WORDS
-    name_ok = named & informative & col("pd_section").eqNullSafe(col("rd_section"))
-    met = met.where(~F.coalesce(apart, F.lit(False)) & (rooms_ok | name_ok) & ((F.coalesce("rooms", F.lit(0)) >= SHARED) | informative))
-    both = (F.size("pd_tags") > 0) & (F.size("rd_tags") > 0)
-    bonus = F.when(both, F.when(F.arrays_overlap("pd_tags", "rd_tags"), DISCIPLINE).otherwise(-DISCIPLINE)).otherwise(0.0)
-    for_name = F.when(col("similarity") >= 0.999, SAME_NAME).when(named, NAME * col("similarity")).otherwise(0.0)
-    how = F.when(rooms_ok & named, "BOTH").when(rooms_ok, "ROOMS").otherwise("NAME")
-    met = met.withColumn("score", F.round(col("containment") + bonus + for_name, 3)).withColumn("how", how)
-    place = F.row_number().over(Window.partitionBy(*by, "pd").orderBy(F.desc("score"), F.desc("shared"), F.asc("rd")))
-    return met.withColumn("place", place).where(col("place") <= TOP).select(*by, "pd", "rd", "shared", F.round("containment", 3).alias("containment"), F.round("similarity", 3).alias("similarity"), "how", "score", "place")
+    keyed = _keyed(sheets, rooms, by)
+    kind = dict(keyed.dtypes)["sheet"]
+    facts = [F.first(c).alias(c) for c in ("section", "words", "numbers", "tags", "held", "n_rooms")]
+    place = F.row_number().over(Window.partitionBy(*by, "key").orderBy("sheet"))
+    working = keyed.where("stage = 'RD'").withColumn("_place", place).where(F.col("_place") <= TOP)
+    working = working.groupBy(*by, "key").agg(F.sort_array(F.collect_list("sheet")).alias("sheets"), *facts)
+    design = keyed.where("stage = 'PD'").groupBy(*by, "key").agg(F.array().cast(f"array<{kind}>").alias("sheets"), *facts)
+    both = cut(design.withColumn("stage", F.lit("PD")).unionByName(working.withColumn("stage", F.lit("RD"))))
+    size = lambda s: F.ceil(F.count_if(F.col("stage") == s) / BLOCK).cast("int")
+    blocks = both.groupBy(*by).agg(size("PD").alias("_p"), size("RD").alias("_r")).where("_p > 0 AND _r > 0")
+    own = lambda c: F.array(F.pmod(F.xxhash64("key"), F.col(c)).cast("int"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    design_side = F.col("stage") == "PD"
+    dealt = both.join(blocks, by).withColumn("_i", F.explode(F.when(design_side, own("_p")).otherwise(every("_p")))).withColumn("_j", F.explode(F.when(design_side, every("_r")).otherwise(own("_r")))).drop("_p", "_r")
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(parts), ignore_index=True)
+        left, right = df[df["stage"] == "PD"], df[df["stage"] == "RD"]
+        if len(left) and len(right):
+            for out in best(left, right):
+                for n, k in enumerate(by):
+                    out.insert(n, k, df[k].iloc[0])
+                yield out
+
+    kinds = dict(keyed.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), f"key string, rd {kind}, shared long, containment double, similarity double, how string, score double"])
+    spark = keyed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    found = dealt.repartition(tasks, *by, "_i", "_j").groupBy(*by, "_i", "_j").applyInPandas(meet, schema)
+    place = F.row_number().over(Window.partitionBy(*by, "key").orderBy(F.desc("score"), F.desc("shared"), F.asc("rd")))
+    found = found.withColumn("place", place).where(F.col("place") <= TOP)
+    found = found.select(*by, "key", "rd", "shared", F.round("containment", 3).alias("containment"), F.round("similarity", 3).alias("similarity"), "how", "score", "place")
+    members = keyed.where("stage = 'PD'").select(*by, "key", F.col("sheet").alias("pd"))
+    return members.join(found, [*by, "key"]).select(*by, "pd", "rd", "shared", "containment", "similarity", "how", "score", "place")
