@@ -122,3 +122,9 @@ def test_halves_are_rounded_as_in_sql():
     from tristage.operators import sheets
 
     assert sheets._half_up(np.array([0.0125, -0.0125, 1.0005, 2 / 3, 0.1 + 0.25, -0.1])).tolist() == [13, -13, 1001, 667, 350, -100]
+
+
+def test_signs_of_editions_are_reckoned_once(spark):
+    """What two editions are compared by stands in columns of its own, not again wherever it counts."""
+    plan = e.queries()["edition_order"](spark, DATA)._jdf.queryExecution().optimizedPlan().treeString()
+    assert max(map(len, plan.splitlines())) < 4000

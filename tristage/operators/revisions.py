@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 MARKS = ["archive", "year", "issue_corr", "correction", "correction_sub", "gip", "change", "version", "date"]
 
 
-def issue_order(a: Column, b: Column) -> Column:
+def issue_order(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
     """1, -1 or null by issue folders: an archive is before the rest, then years, then corrections of one year."""
     by = lambda c: F.when(a[c] > b[c], 1).when(a[c] < b[c], -1)
-    corr = F.when(a.year.eqNullSafe(b.year), by("issue_corr"))
-    return F.when(a.archive & ~b.archive, -1).when(~a.archive & b.archive, 1).otherwise(F.coalesce(by("year"), corr))
+    corr = F.when(a["year"].eqNullSafe(b["year"]), by("issue_corr"))
+    return F.when(a["archive"] & ~b["archive"], -1).when(~a["archive"] & b["archive"], 1).otherwise(F.coalesce(by("year"), corr))
 
 
 def compare(a: Column, b: Column) -> Column:
@@ -22,14 +22,26 @@ def compare(a: Column, b: Column) -> Column:
     Issue folders decide first; then corrections and numbers of changes, which must not disagree, and then versions;
     dates decide where these are alike, and make editions incomparable where they disagree. a, b: structs of MARKS.
     """
-    sign = lambda x, y: F.when(x > y, 1).when(x < y, -1).otherwise(0)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    level = lambda p: F.struct(zero(p.correction), zero(p.correction_sub), zero(p.gip))
-    c, ch = sign(level(a), level(b)), sign(zero(a.change), zero(b.change))
-    marks = F.when(c != 0, c).when(ch != 0, ch).otherwise(sign(zero(a.version), zero(b.version)))
-    dated = F.when(a.date > b.date, 1).when(a.date < b.date, -1)
+    return _judged(*_signs(_leveled(a), _leveled(b)))
+
+
+def _leveled(m: Column | dict[str, Column]) -> dict[str, Column]:
+    """What one edition brings to a comparison."""
+    zero = lambda c: F.coalesce(m[c], F.lit(0))
+    issue = {c: m[c] for c in ("archive", "year", "issue_corr", "date")}
+    return issue | {"level": F.struct(zero("correction"), zero("correction_sub"), zero("gip")), "change": zero("change"), "version": zero("version")}
+
+
+def _signs(a: dict[str, Column], b: dict[str, Column]) -> list[Column]:
+    """How a stands to b by issue folders, level, change, version and date."""
+    sign = lambda c: F.when(a[c] > b[c], 1).when(a[c] < b[c], -1)
+    return [issue_order(a, b), *(sign(c).otherwise(0) for c in ("level", "change", "version")), sign("date")]
+
+
+def _judged(issue: Column, c: Column, ch: Column, version: Column, dated: Column) -> Column:
+    marks = F.when(c != 0, c).when(ch != 0, ch).otherwise(version)
     out = F.when(dated.isNull(), marks).when(marks == 0, dated).when(marks == dated, marks)
-    return F.coalesce(issue_order(a, b), F.when((c != 0) & (ch != 0) & (c != ch), None).otherwise(out))
+    return F.coalesce(issue, F.when((c != 0) & (ch != 0) & (c != ch), None).otherwise(out))
 
 
 def resolve(members: DataFrame, chain: list[str], file: str) -> DataFrame:
@@ -40,13 +52,18 @@ def resolve(members: DataFrame, chain: list[str], file: str) -> DataFrame:
     another are SUPERSEDED and the rest need CLARIFICATION_REQUIRED. A lone member is CURRENT. members: chain, file and
     the columns of MARKS; chains are short.
     """
-    rows = members.select(*chain, file, F.struct(*MARKS).alias("m"))
+    own = _leveled({c: F.col(c) for c in MARKS})
+    names = {k: f"_m_{k}" for k in own}
+    rows = members.select(*chain, file, *(v.alias(names[k]) for k, v in own.items()))
     a, b = rows.alias("a"), rows.alias("b")
     on = F.col(f"a.{file}") != F.col(f"b.{file}")
     for k in chain:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    order, issue = compare(F.col("a.m"), F.col("b.m")), issue_order(F.col("a.m"), F.col("b.m"))
-    met = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in chain), F.col(f"a.{file}").alias(file), order.alias("_o"), issue.alias("_i"))
+    side = lambda p: {k: F.col(f"{p}.{c}") for k, c in names.items()}
+    # in steps of their own, as each sign counts several times in what follows
+    signs = ["_i", "_c", "_h", "_v", "_d"]
+    met = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in chain), F.col(f"a.{file}").alias(file), *(x.alias(n) for n, x in zip(signs, _signs(side("a"), side("b")), strict=True)))
+    met = met.select(*chain, file, "_i", _judged(*map(F.col, signs)).alias("_o"))
     each = met.groupBy(*chain, file).agg(F.count_if(F.col("_o") == -1).alias("later"), F.count_if(F.col("_o").isNull() | (F.col("_o") == 0)).alias("open"), F.max(F.coalesce(F.col("_i") == -1, F.lit(False))).alias("older"))
     one = members.select(*chain, file).join(each, [*chain, file], "left").fillna({"later": 0, "open": 0, "older": False})
     tops = one.groupBy(*chain).agg(F.count_if(F.col("later") == 0).alias("_tops"), F.max(F.when(F.col("later") == 0, F.col("open"))).alias("_blocked"))
