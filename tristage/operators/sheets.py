@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tristage.sources.shared import cut
 
+# workers need not find this package: its functions travel with the task
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rooms and share of rooms that a pair shares, similarity and words of names, what names and disciplines
 #: add, and how many pairs of a sheet are handed over.
 SHARED, CONTAINED, NAMED, WORDS = 3, 0.15, 0.6, 3
