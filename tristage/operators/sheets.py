@@ -31,10 +31,10 @@ def _keyed(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
     none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     names = lambda c: F.sort_array(F.array_distinct(none(F.col(c)))).alias(c)
     some = sheets.where(F.col("stage").isin("PD", "RD")).dropna(subset=[*by, "sheet"])
-    some = some.select(*by, "sheet", "stage", "section", names("words"), F.sort_array(none(F.col("numbers"))).alias("numbers"), names("tags"))
+    some = some.select(*by, "sheet", "stage", "section", names("words"), F.sort_array(none(F.col("numbers"))).alias("numbers"), names("tags"), (F.col("words").isNull() | F.col("numbers").isNull()).alias("unnamed"))
     held = F.coalesce("held", F.array().cast(dict(room.dtypes)["held"])).alias("held")
     out = some.join(room, [*by, "sheet"], "left").select(*some.columns, held, F.coalesce("n_rooms", F.lit(0)).alias("n_rooms"))
-    return cut(out.withColumn("key", F.sha2(F.to_json(F.struct("section", "words", "numbers", "tags", "held", "n_rooms")), 256)))
+    return cut(out.withColumn("key", F.sha2(F.to_json(F.struct("section", "words", "numbers", "tags", "held", "n_rooms", "unnamed")), 256)))
 
 
 def _half_up(x: np.ndarray) -> np.ndarray:
@@ -82,6 +82,7 @@ def best(left: pd.DataFrame, right: pd.DataFrame, rows: int = 256) -> Iterator[p
     num_l, num_r = coded(map(tuple, left["numbers"])), coded(map(tuple, right["numbers"]))
     n_rooms = left["n_rooms"].to_numpy(dtype=np.float64)
     named_r = worded_r & (size_r >= 2)
+    unnamed_l, unnamed_r = (df["unnamed"].to_numpy(dtype=bool) for df in (left, right))
     keys, sheets = left["key"].to_numpy(), right["sheets"].tolist()
     many = len(right)
     for at in range(0, len(left), rows):
@@ -116,7 +117,7 @@ def best(left: pd.DataFrame, right: pd.DataFrame, rows: int = 256) -> Iterator[p
         order = order[np.arange(len(a)) - np.searchsorted(a, a) < TOP]
         a, b, score, rd = a[order], b[order], score[order], rd[order]
         how = np.where(by_rooms[a, b] & named[a, b], "BOTH", np.where(by_rooms[a, b], "ROOMS", "NAME"))
-        yield pd.DataFrame({"key": keys[i][a], "rd": rd, "shared": shared[a, b].astype(np.int64), "containment": contained[a, b], "similarity": similar[a, b], "how": how, "score": score / 1000.0})
+        yield pd.DataFrame({"key": keys[i][a], "rd": rd, "shared": shared[a, b].astype(np.int64), "containment": contained[a, b], "similarity": np.where(unnamed_l[i][a] | unnamed_r[b], np.nan, similar[a, b]), "how": how, "score": score / 1000.0})
 
 
 def pairs(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
@@ -130,7 +131,7 @@ def pairs(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
     """
     keyed = _keyed(sheets, rooms, by)
     kind = dict(keyed.dtypes)["sheet"]
-    facts = [F.first(c).alias(c) for c in ("section", "words", "numbers", "tags", "held", "n_rooms")]
+    facts = [F.first(c).alias(c) for c in ("section", "words", "numbers", "tags", "held", "n_rooms", "unnamed")]
     place = F.row_number().over(Window.partitionBy(*by, "key").orderBy("sheet"))
     working = keyed.where("stage = 'RD'").withColumn("_place", place).where(F.col("_place") <= TOP)
     working = working.groupBy(*by, "key").agg(F.sort_array(F.collect_list("sheet")).alias("sheets"), *facts)
