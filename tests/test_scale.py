@@ -128,3 +128,13 @@ def test_signs_of_editions_are_reckoned_once(spark):
     """What two editions are compared by stands in columns of its own, not again wherever it counts."""
     plan = e.queries()["edition_order"](spark, DATA)._jdf.queryExecution().optimizedPlan().treeString()
     assert max(map(len, plan.splitlines())) < 4000
+
+
+def test_pages_are_placed_without_broadcasts(spark):
+    """Tables between steps are small as files only: no join of the rounds sends one through the driver."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: [x for x in map(store.executionsList().apply, range(store.executionsList().size()))]
+    last = max((x.executionId() for x in runs()), default=-1)
+    assert e.queries()["placed_pages"](spark, DATA).count() > 0
+    plans = [x.physicalPlanDescription() for x in runs() if x.executionId() > last]
+    assert len(plans) > 10 and not [x for x in plans if "BroadcastExchange" in x]

@@ -121,7 +121,7 @@ def near_words(old: DataFrame, new: DataFrame, by: list[str], most: float, text:
     cell = lambda c: F.floor(F.col(c) / most).cast("long")
     a = old.select(*by, "word", F.col("t").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j"))
     a = a.withColumns({"_i": cell("_x") + F.col("_i"), "_j": cell("_y") + F.col("_j")})
-    b = new.select(*by, "other", F.col("t").alias("_u"), F.col("x").alias("_v"), F.col("y").alias("_w"), cell("x").alias("_i"), cell("y").alias("_j"))
+    b = new.select(*by, "other", F.col("t").alias("_u"), F.col("x").alias("_v"), F.col("y").alias("_w"), cell("x").alias("_i"), cell("y").alias("_j")).hint("merge")
     on = [*by, "_i", "_j"]
     both = a.withColumn("t", F.col("_t")).join(b.withColumn("t", F.col("_u")), [*on, "t"]) if text else a.join(b, on)
     d = F.greatest(F.abs(F.col("_v") - F.col("_x")), F.abs(F.col("_w") - F.col("_y")))
@@ -157,7 +157,7 @@ def peaks(old: DataFrame, new: DataFrame, by: list[str], first: bool) -> DataFra
     def voted(cells: DataFrame, key: list[str]) -> DataFrame:
         """What the votes in the chosen cells and those around them say: only these cells meet the votes again."""
         chosen = cells.select(*key, F.col("_i").alias("_ci"), F.col("_j").alias("_cj"))
-        near = chosen.join(votes, by).where((F.abs(F.col("_i") - F.col("_ci")) <= 1) & (F.abs(F.col("_j") - F.col("_cj")) <= 1))
+        near = chosen.join(votes.hint("merge"), by).where((F.abs(F.col("_i") - F.col("_ci")) <= 1) & (F.abs(F.col("_j") - F.col("_cj")) <= 1))
         corners = [f(c).alias(n) for f, c, n in ((F.min, "_x", "_x0"), (F.min, "_y", "_y0"), (F.max, "_x", "_x1"), (F.max, "_y", "_y1"))]
         return near.groupBy(*key).agg(F.count("*").alias("_near"), F.size(F.collect_set("word")).alias("_voters"), F.median("_dx").alias("dx"), F.median("_dy").alias("dy"), *corners)
 
@@ -175,7 +175,7 @@ def peaks(old: DataFrame, new: DataFrame, by: list[str], first: bool) -> DataFra
     tried = voted(tried, [*by, "_rank"]).select(*by, "_rank", "_voters", "dx", "dy", (F.col("_x0") - REGION).alias("rx0"), (F.col("_y0") - REGION).alias("ry0"), (F.col("_x1") + REGION).alias("rx1"), (F.col("_y1") + REGION).alias("ry1"))
     region = ["_voters", "dx", "dy", "rx0", "ry0", "rx1", "ry1"]
     inside = F.col("_x").between(F.col("rx0"), F.col("rx1")) & F.col("_y").between(F.col("ry0"), F.col("ry1"))
-    held = tried.join(some, by).groupBy(*by, "_rank").agg(F.count_if(inside).alias("_held"), *(F.first(c).alias(c) for c in region))
+    held = tried.join(some.hint("merge"), by).groupBy(*by, "_rank").agg(F.count_if(inside).alias("_held"), *(F.first(c).alias(c) for c in region))
     good = held.where((F.col("_held") > 0) & (F.col("_voters") >= LOCAL_SUPPORT * F.greatest(F.col("_held"), F.lit(1))))
     best = good.groupBy(*by).agg(F.min(F.struct("_rank", "dx", "dy", "rx0", "ry0", "rx1", "ry1")).alias("_b"))
     return best.select(*by, *(F.col(f"_b.{c}").alias(c) for c in ("dx", "dy", "rx0", "ry0", "rx1", "ry1")))
@@ -188,7 +188,7 @@ def align(old: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, Dat
     its service fields may have stayed in place.
     """
     none = old.select(*by, "word", F.col("word").alias("other")).limit(0)
-    matched, offsets, live = none, None, None
+    matched, offsets, a, b = none, None, old, new
 
     def left(df: DataFrame, key: str) -> DataFrame:
         return df.join(matched.select(*by, key), [*by, key], "left_anti")
@@ -198,19 +198,18 @@ def align(old: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, Dat
         return free.join(shift, by).where(inside).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
 
     for k in range(MAX_OFFSETS):
-        a, b = left(old, "word"), left(new, "other")
-        if live is not None:
-            a, b = a.join(live, by, "left_semi"), b.join(live, by, "left_semi")
         shift = cut(peaks(a, b, by, k == 0))
         got = cut(_match(shifted(a, shift), b, by))
         step = got.groupBy(*by).agg(F.count("*").alias("n")).join(shift, by).select(*by, F.lit(k).alias("step"), F.round("dx", 1).alias("dx"), F.round("dy", 1).alias("dy"), "n")
         step = cut(step)
         matched, offsets = matched.union(got.select(matched.columns)), step if offsets is None else offsets.union(step)
         live = step.select(*by)
-        if not live.take(1):
+        if k + 1 == MAX_OFFSETS or not live.take(1):
             break
+        # what is left is read by votes and matches, and is smaller in each round
+        a, b = (cut(df.join(got.select(*by, key), [*by, key], "left_anti").join(live, by, "left_semi")) for df, key in ((a, "word"), (b, "other")))
     far = offsets.where("step = 0 AND (abs(dx) > 1 OR abs(dy) > 1)").select(*by)
-    still = left(old, "word").where("service").join(far, by, "left_semi")
+    still = left(old, "word").where("service").join(far.hint("merge"), by, "left_semi")
     got = cut(_match(still, left(new, "other"), by))
     stayed = got.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(MAX_OFFSETS).alias("step"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "n")
     return cut(matched.union(got.select(matched.columns))), cut(offsets.union(stayed))
@@ -235,7 +234,7 @@ def place(old: DataFrame, new: DataFrame, page: list[str]) -> Placed:
     that has no words on one side is left out. Of two formats both scaled and plain places are tried.
     """
     size = lambda df, p: df.groupBy(*page).agg(F.max("width").alias(f"_w{p}"), F.max("height").alias(f"_h{p}"), F.count("*").alias(f"_n{p}"))
-    both = cut(size(old, 0).join(size(new, 1), page))
+    both = cut(size(old, 0).join(size(new, 1).hint("merge"), page))
     other = (F.abs(F.col("_w0") - F.col("_w1")) > 0.01 * F.col("_w1")) | (F.abs(F.col("_h0") - F.col("_h1")) > 0.01 * F.col("_h1"))
     frames = both.withColumn("frame", F.explode(F.when(other, F.array(F.lit("scaled"), F.lit("points"))).otherwise(F.array(F.lit("points")))))
     scaled = F.col("frame") == "scaled"
@@ -269,7 +268,7 @@ def place(old: DataFrame, new: DataFrame, page: list[str]) -> Placed:
         d = F.sqrt(F.pow(F.col("_v") - F.col("_x"), 2) + F.pow(F.col("_w") - F.col("_y"), 2))
         near = near_words(left, right, page, PAIR, text=False).where("_t <> _u").withColumn("d", d).where(F.col("d") <= PAIR)
         pair = greedy(near, page, [F.col("d"), F.col("word"), F.col("other")], "word", "other")
-        out = pair.join(left.select(*page, "word", F.col("t").alias("was")), [*page, "word"]).join(right.select(*page, "other", F.col("t").alias("became")), [*page, "other"])
+        out = pair.join(left.select(*page, "word", F.col("t").alias("was")).hint("merge"), [*page, "word"]).join(right.select(*page, "other", F.col("t").alias("became")).hint("merge"), [*page, "other"])
         return out.select(*page, "word", "other", "was", "became", F.lit(kind).alias("kind"))
 
     gone, come = was.where("state = 'REMOVED'"), now.where("state = 'ADDED'")
@@ -281,7 +280,7 @@ def place(old: DataFrame, new: DataFrame, page: list[str]) -> Placed:
     share = F.round(F.col("matched") / F.greatest(F.lit(1), F.least("_n0", "_n1")), 3)
     exact = F.col("matched") / F.greatest(F.lit(1), F.least("_n0", "_n1"))
     layout = F.when(exact < MIN_MATCHED, "RELAID").when(F.col("frame") == "scaled", "RESIZED").when(F.col("_far") | (F.col("_steps") > 1), "SHIFTED").otherwise("SAME_PLACE")
-    pages = cut(best.join(shifts, page, "left").join(sums, page).select(*page, layout.alias("layout"), "matched", share.alias("matched_share"), "offsets", *sums.columns[len(page) :]))
+    pages = cut(best.join(shifts, page, "left").join(sums.hint("merge"), page).select(*page, layout.alias("layout"), "matched", share.alias("matched_share"), "offsets", *sums.columns[len(page) :]))
     sizes = best.select(*page, F.when(F.col("frame") == "scaled", F.col("_w1")).otherwise(F.col("_w0")).alias("_wo"), F.when(F.col("frame") == "scaled", F.col("_h1")).otherwise(F.col("_h0")).alias("_ho"), "_w1", "_h1")
     fine = pages.where("layout <> 'RELAID'").select(*page)
     box = lambda df, side, word: df.join(fine, page, "left_semi").select(*page, F.lit(side).alias("side"), F.col(word).alias("box"), "x0", "y0", "x1", "y1")
