@@ -138,3 +138,28 @@ def test_pages_are_placed_without_broadcasts(spark):
     assert e.queries()["placed_pages"](spark, DATA).count() > 0
     plans = [x.physicalPlanDescription() for x in runs() if x.executionId() > last]
     assert len(plans) > 10 and not [x for x in plans if "BroadcastExchange" in x]
+
+
+def test_pages_of_many_volumes_are_aligned_side_by_side(spark):
+    """Small rows that take work go to all tasks; words are shuffled, not broadcast; workers need not find the package."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    from tristage.operators import alignment
+
+    out = e.queries()["aligned_pages"](spark, DATA)
+    assert out.rdd.getNumPartitions() >= 4
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "FlatMapGroups" not in plan
+    assert pickle.loads(cloudpickle.dumps(alignment.chain)) is not alignment.chain
+
+
+def test_chains_as_heavy_are_told_apart_by_order(spark):
+    """Volumes with ties, in whatever order their pairs come, and one with more than one chain."""
+    from tristage.operators import alignment
+
+    rows = [(v, i, j, 0.5) for v in range(50) for i in range(3) for j in range(3)] + [(99, 0, 1, 0.9), (99, 1, 0, 0.5), (99, 2, 2, 0.4)]
+    make = lambda x: spark.createDataFrame(x, "v int, i int, j int, similarity double")
+    got = [sorted(map(tuple, alignment.align(make(x), ["v"]).collect())) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] == [(v, i, i) for v in range(50) for i in range(3)] + [(99, 0, 1), (99, 2, 2)]

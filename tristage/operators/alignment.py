@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# workers need not find this package: its functions travel with the task
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Fixed value: similarity from which pages may be the same.
 LEAST = 0.35
 
@@ -16,7 +22,8 @@ def similar_pages(old: DataFrame, new: DataFrame, by: list[str], page: str, item
     """Pairs of pages of one pair of editions (i, j, similarity) by Jaccard of their sets, `least` or more. Pages meet by
     what they share, so pages without anything in common are never paired."""
     side = lambda df, p: df.select(*by, F.col(page).alias(p), F.size(items).alias(f"n{p}"), F.explode(F.array_distinct(items)).alias("_t"))
-    met = side(old, "i").join(side(new, "j"), [*by, "_t"]).groupBy(*by, "i", "j").agg(F.count("*").alias("c"), F.first("ni").alias("ni"), F.first("nj").alias("nj"))
+    met = side(old, "i").join(side(new, "j").hint("merge"), [*by, "_t"])  # words are many times their files, so no broadcast
+    met = met.groupBy(*by, "i", "j").agg(F.count("*").alias("c"), F.first("ni").alias("ni"), F.first("nj").alias("nj"))
     return met.withColumn("similarity", F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).where(F.col("similarity") >= least).select(*by, "i", "j", "similarity")
 
 
@@ -45,17 +52,23 @@ def chain(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
 
 
 def align(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by, i, j of the pages that belong together. A group holds the similar pages of one pair of volumes."""
-    kinds = dict(pairs.dtypes)
+    """by, i, j of the pages that belong together. A group holds the similar pages of one pair of volumes.
+
+    A group is one row, so a worker takes many at a time; of chains as heavy the order of i, j decides. Rows are small
+    and each is work, so the count of tasks is given, as it would else be fitted to their size.
+    """
+    kinds, spark = dict(pairs.dtypes), pairs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    listed = pairs.repartition(n, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "j", "similarity"))).alias("_p"))
+    listed = listed.select(*by, F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), F.col("_p.similarity").alias("_s"))
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        found = chain(list(zip(df["i"].tolist(), df["j"].tolist(), df["similarity"].tolist(), strict=True)))
-        out = pd.DataFrame(found, columns=["i", "j"])
-        for k in reversed(by):
-            out.insert(0, k, df[k].iloc[0])
-        return out
+    def chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            found = [chain(list(zip(i.tolist(), j.tolist(), s.tolist(), strict=True))) for i, j, s in zip(df["_i"], df["_j"], df["_s"], strict=True)]
+            out = df[by].loc[df.index.repeat([len(x) for x in found])]
+            yield out.assign(i=[i for x in found for i, _ in x], j=[j for x in found for _, j in x])
 
-    return pairs.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in [*by, "i", "j"]))
+    return listed.mapInPandas(chains, ", ".join(f"{c} {kinds[c]}" for c in [*by, "i", "j"]))
 
 
 def page_states(old: DataFrame, new: DataFrame, aligned: DataFrame, by: list[str], page: str, lines: str) -> DataFrame:

@@ -38,12 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
     """A table whose rows become pages of text, dealt to as many tasks as a shuffle has: its file is small, so one task
     or two would read it, and what each page takes is work on its text. The count of tasks is given, as it would else be
     fitted to the size of the rows."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return table(spark, sf_dir, name).repartition(n, key)
+    return table(spark, sf_dir, name).repartition(n, *key)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

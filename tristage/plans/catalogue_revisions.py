@@ -44,7 +44,7 @@ _TURNS = "SELECT conv_id AS v, turn AS p, list_distinct(list_filter(regexp_split
 
 
 def _turns(spark, sf_dir, odd):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("v"), F.col("turn").alias("p"), T.word_set(F.col("text")).alias("w"))
+    c = pages(spark, sf_dir, "conversations", "conv_id", "turn").select(F.col("conv_id").alias("v"), F.col("turn").alias("p"), T.word_set(F.col("text")).alias("w"))
     return c.where((F.col("p") % 2 == 1) == F.lit(odd)) if odd is not None else c
 
 
