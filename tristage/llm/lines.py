@@ -1,11 +1,11 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct runs of five words (the whole line if it has fewer). They are ordered by rarity: a run
-is at most as frequent as its first word, so runs go by the rank of that word's corpus count, then by hash; both make
-up one long, so sorting longs sorts tokens. Two lines with enough in common share one of their first tokens (prefix
-filter), so lines meet by single tokens of their prefixes; the length filter bounds the sizes, the positional filter
-what can still follow after the shared place. What passes is verified by Jaccard on the full sets of 64-bit hashes. A
-line that matches an earlier one, by doc_id and place, is removed.
+A line's tokens are its distinct runs of five words (the whole line if it has fewer). Runs whose first word is long come
+first, as long words are rare in most texts, then they go by hash; both make up one long, so sorting longs sorts tokens,
+and no pass over the corpus is needed for it. Any order gives the same links, a better one fewer candidates. Two lines
+with enough in common share one of their first tokens (prefix filter), so lines meet by single tokens of their prefixes;
+the length filter bounds the sizes, the positional filter what can still follow after the shared place. What passes is
+verified by Jaccard on the full sets of tokens. A line that matches an earlier one, by doc_id and place, is removed.
 
 Equal lines are one class: copies are counted before anything else moves, and only classes are joined. All links
 between different lines are found. Where many lines share a token, as variants of one line do, sketches of the sets
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import drop, save, small, tracked
 
 WORDS, PERCENT = 5, 80
-#: Buckets of words that are counted; a word's rank is that of its bucket.
-BUCKETS = 1 << 16
 #: Lines that share a token: above this their pairs are decided before they are put out; in parts of so many rows.
 CROWD, SPLIT = 16, 512
 #: Longs of a sketch, a power of two.
@@ -45,20 +43,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(_text(), "\n")).alias("pos", "line"))
 
 
-def ranks(docs: DataFrame) -> Column:
-    """For each bucket the rank of how many words of the corpus fall into it, in 16 bits: BUCKETS numbers, whatever the
-    corpus. They stand in the plan, so they are short."""
-    text = F.replace(_text(), F.lit("\n"), F.lit(" "))
-    # the outer form, as Spark adds a filter to the plain one that splits the text again
-    words = docs.where("doc_id is not null").select(F.explode_outer(F.split(text, " ")).alias("w")).where("w != ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
-    known = {r.b: r["count"] for r in counts.collect()}
-    out = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (known.get(b, 0), b))):
-        out[b] = rank - BUCKETS // 2
-    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<smallint>")
-
-
 def _runs(words: Column, size: int, of: Callable) -> Column:
     """of(first element, hash) of each run of `size` elements; of all elements if there are fewer."""
     at = lambda x: lambda y, i: of(y, F.xxhash64(y, *(F.get(x, i + k) for k in range(1, size))))
@@ -68,20 +52,11 @@ def _runs(words: Column, size: int, of: Callable) -> Column:
     return F.get(F.transform(F.array(words), runs), 0)  # a one-element array binds words to a name
 
 
-def _hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
-
-
-def tokens(line: Column, rank: Column, size: int) -> Column:
-    """Distinct tokens, rarest first: rank of the run's first word in the upper 16 bits, then a hash of the run."""
-    place = lambda h: F.shiftleft(F.get(rank, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 48)
-    known = F.transform(_hashes(line), lambda h: place(h).bitwiseOR(F.shiftrightunsigned(h, 16)))
-    token = lambda first, run: first.bitwiseAND(F.lit(-1 << 48)).bitwiseOR(F.shiftrightunsigned(run, 16))
-    return F.sort_array(F.array_distinct(_runs(known, size, token)))
-
-
-def full_set(line: Column, size: int) -> Column:
-    return F.array_distinct(_runs(_hashes(line), size, lambda first, run: run))
+def tokens(line: Column, size: int) -> Column:
+    """Distinct tokens, in order: minus the bytes of the run's first word in the upper 8 bits, then a hash of the run."""
+    known = lambda w: F.shiftleft((-F.octet_length(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    token = lambda first, run: first.bitwiseAND(F.lit(-1 << 56)).bitwiseOR(F.shiftrightunsigned(run, 8))
+    return F.sort_array(F.array_distinct(_runs(F.transform(F.array_remove(F.split(line, " "), ""), known), size, token)))
 
 
 def _up(n: Column, by: int, over: int) -> Column:
@@ -118,29 +93,36 @@ def sketches(sets: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.count("*").alias("m"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(SKETCH)))
 
 
-def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def crowded(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of tokens that many lines share: variants of one line, most of them apart.
 
     An element that only one of two sets holds flips at most one bit between their sketches, so sketches too far apart
-    tell within the join that a pair is none; a pair is put out only at the first token that both prefixes have. The
-    rows of a token are dealt to parts of SPLIT rows on one side, so no token's pairs fall to one task.
-    rows: token, id, n, i, c (lines of the token); sets: id, prefix, m, sketch.
+    tell within the join that a pair is none; a pair is put out only at the first of these tokens that both have.
+    The rows of a token that has SPLIT or more are dealt to parts of SPLIT rows on one side, so no token's pairs fall
+    to one task. rows: token, id, n, i, c (lines of the token); known: id, m, sketch.
     """
-    rows = rows.withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1).join(sets, "id")
-    a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
-    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    own = rows.groupBy("id").agg(F.collect_list("token").alias("own"))
+    rows = rows.join(known.join(own, "id"), "id")
     total = F.col("a.m") + F.col("b.m")
     apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = (total - apart) * (100 + percent) >= 2 * percent * total
-    first = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.token")
-    met = a.join(b, (F.col("a.part") == F.col("b.part")) & _met(percent) & near & first)
-    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-
-def _read(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and line of the classes ids (id, doc_id, pos, h1)."""
+    first = F.array_min(F.array_intersect("a.own", "b.own")) == F.col("a.token")
+    met = _met(percent) & near & first
+    few = rows.where(F.col("c") < SPLIT).drop("c")
+    many = rows.where(F.col("c") >= SPLIT).withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1)
+    a = many.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    b = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = lambda pairs: pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+    return out(few.alias("a").join(few.alias("b"), met)).unionByName(out(a.alias("a").join(b.alias("b"), (F.col("a.part") == F.col("b.part")) & met)))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, crowd and set of the classes ids (id, crowd, doc_id, pos, h1, h2); a written table."""
     lines = _lines(docs).withColumn("h1", F.xxhash64("line"))
-    return lines.join(small(ids, 500_000), ["doc_id", "pos", "h1"]).select("id", "line").dropDuplicates(["id"])
+    known = small(ids.select("id", "crowd", "doc_id", "pos", "h1"), 500_000)
+    sets = save(lines.join(known, ["doc_id", "pos", "h1"]).select("id", "crowd", tokens(F.col("line"), size).alias("set")), "sets")
+    # versions of a document may have a line at the same place
+    return sets if sets.count() == ids.count() else save(sets.dropDuplicates(["id"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,33 +146,34 @@ def matches(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def _matches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    rank = ranks(docs)
-    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), tokens(F.col("line"), rank, size).alias("set"))
+    found = _lines(docs).select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), tokens(F.col("line"), size).alias("set"))
     n = F.size("set")
     prefix = F.slice("set", F.lit(1), n - _up(n, percent, 100) + 1).alias("prefix")
-    found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), prefix), "lines").where("n > 0")
+    with tracked() as wide:
+        found = save(found.select("doc_id", "pos", "h1", "h2", n.alias("n"), prefix), "lines").where("n > 0")
     classes = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = save(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*", "copies", "n", "prefix"), "classes")
+    found = save(found.select("doc_id", "pos", "h1", "h2"), "places")
+    drop(docs.sparkSession, wide[0])  # prefixes are with the classes
     rows = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
     met = save(rows.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "met")
     pairs = save(candidates(met.where(F.col("c") <= CROWD), percent), "pairs")
     crowd = met.where(F.col("c") > CROWD)
-    # only the lines in question are read again, once, into full sets
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).unionByName(crowd.select("id")).distinct()
-    ids = save(classes.select("id", "doc_id", "pos", "h1").join(ids, "id", "left_semi"), "ids")
-    sets = save(_read(docs, ids).select("id", full_set(F.col("line"), size).alias("set")), "sets")
+    # only the lines in question are read again, once, into full sets; their hashes and places go with their ids
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id"), F.lit(False).alias("crowd")).unionByName(crowd.select("id", F.lit(True).alias("crowd")))
+    ids = save(classes.select("id", "doc_id", "pos", "h1", "h2").join(ids.groupBy("id").agg(F.max("crowd").alias("crowd")), "id"), "ids")
+    sets = _sets(docs, ids, size)
     if not crowd.isEmpty():
-        own = save(crowd.select("id").distinct(), "crowd")
-        prefixes = classes.select("id", "prefix").join(own, "id", "left_semi")
-        known = save(prefixes.join(sketches(sets.join(own, "id", "left_semi")), "id"), "sketches")
+        known = save(sketches(sets.where("crowd")), "sketches")
         pairs = save(pairs.unionByName(crowded(crowd, known, percent)).distinct(), "pairs")
     links = verified(pairs, sets, percent)
     both = links.unionByName(links.select(F.col("x").alias("y"), F.col("y").alias("x")))
-    places = classes.select(F.col("id").alias("y"), F.struct("doc_id", "pos").alias("place"))
-    linked = save(both.join(places, "y").groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n_links"), F.min("place").alias("other")), "linked")
-    heads = classes.join(linked, "id", "left").where("copies > 1 or n_links is not null")
-    heads = heads.select("h1", "h2", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least(F.struct("doc_id", "pos"), "other").alias("earliest"))
-    return found.select("doc_id", "pos", "h1", "h2").join(save(heads, "heads"), ["h1", "h2"]).select("doc_id", "pos", "n_links", "earliest")
+    place = F.struct("doc_id", "pos")
+    linked = both.join(ids.select(F.col("id").alias("y"), place.alias("place")), "y").groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n_links"), F.min("place").alias("other"))
+    linked = linked.join(ids, "id").select("h1", "h2", "n_links", F.least(place, "other").alias("earliest"))
+    copied = classes.where("copies > 1").select("h1", "h2", F.lit(0).cast("long").alias("n_links"), place.alias("earliest"))
+    heads = linked.unionByName(copied).groupBy("h1", "h2").agg(F.max("n_links").alias("n_links"), F.min("earliest").alias("earliest"))
+    return found.join(save(heads, "heads"), ["h1", "h2"]).select("doc_id", "pos", "n_links", "earliest")
 
 
 def removed(matched: DataFrame) -> DataFrame:
