@@ -21,9 +21,9 @@ def test_prefixes_move_once(spark, monkeypatch):
     r = random.Random(5)
     base = [prose(60, k).replace("\n", " ") for k in range(3)]
     texts = [(i, "\n".join(edited(r.choice(base), 1, i * 5 + k) for k in range(2))) for i in range(50)]
-    df = spark.createDataFrame([*texts, (7, texts[7][1]), (3, "a\nb")], "doc_id long, text string")
+    df = spark.createDataFrame([*texts, (7, texts[7][1]), (3, "\n\na\nb")], "doc_id long, text string")
     got = {(x.doc_id, x.pos): (x.n_links, tuple(x.earliest)) for x in lines.matches(df).collect()}
-    want = line_report([*texts, (7, texts[7][1]), (3, "a\nb")])
+    want = line_report([*texts, (7, texts[7][1]), (3, "\n\na\nb")])
     assert got.items() <= want.items() and sum(n for n, _ in want.values()) == sum(n for n, _ in got.values()) > 0
     assert "sketches" in plans and not [k for k in set(plans) - {"lines", "classes", "met"} if "prefix" in "".join(plans[k])]
     assert "Exchange hashpartitioning" not in plans["sets"][0]

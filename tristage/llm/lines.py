@@ -1,11 +1,11 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct runs of five words (the whole line if it has fewer). Runs whose first word is long come
-first, as long words are rare in most texts, then they go by hash; both make up one long, so sorting longs sorts tokens,
-and no pass over the corpus is needed for it. Any order gives the same links, a better one fewer candidates. Two lines
-with enough in common share one of their first tokens (prefix filter), so lines meet by single tokens of their prefixes;
-the length filter bounds the sizes, the positional filter what can still follow after the shared place. What passes is
-verified by Jaccard on the full sets of tokens. A line that matches an earlier one, by doc_id and place, is removed.
+A line's tokens are its distinct runs of five words (the whole line if it has fewer), as 64-bit hashes and in their
+order: runs of five words are rare enough that an order by rarity, which takes a pass over the corpus, gives few fewer
+candidates; the links are the same in any order. Two lines with enough in common share one of their first tokens
+(prefix filter), so lines meet by single tokens of their prefixes; the length filter bounds the sizes, the positional
+filter what can still follow after the shared place. What passes is verified by Jaccard on the full sets. A line that
+matches an earlier one, by doc_id and place, is removed.
 
 Equal lines are one class: copies are counted before anything else moves, and only classes are joined. All links
 between different lines are found. Where many lines share a token, as variants of one line do, sketches of the sets
@@ -15,8 +15,6 @@ grows with the square of such a group of different lines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,20 +41,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(_text(), "\n")).alias("pos", "line"))
 
 
-def _runs(words: Column, size: int, of: Callable) -> Column:
-    """of(first element, hash) of each run of `size` elements; of all elements if there are fewer."""
-    at = lambda x: lambda y, i: of(y, F.xxhash64(y, *(F.get(x, i + k) for k in range(1, size))))
+def _runs(words: Column, size: int) -> Column:
+    """A hash of each run of `size` elements; of all elements if there are fewer."""
+    at = lambda x: lambda y, i: F.xxhash64(y, *(F.get(x, i + k) for k in range(1, size)))
     whole = lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - (size - 1)), at(x))
-    short = lambda x: F.transform(F.slice(x, 1, 1), lambda y: of(y, F.xxhash64(x)))
+    short = lambda x: F.transform(F.slice(x, 1, 1), lambda y: F.xxhash64(x))
     runs = lambda x: F.when(F.size(x) < size, short(x)).otherwise(whole(x))
     return F.get(F.transform(F.array(words), runs), 0)  # a one-element array binds words to a name
 
 
 def tokens(line: Column, size: int) -> Column:
-    """Distinct tokens, in order: minus the bytes of the run's first word in the upper 8 bits, then a hash of the run."""
-    known = lambda w: F.shiftleft((-F.octet_length(w)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    token = lambda first, run: first.bitwiseAND(F.lit(-1 << 56)).bitwiseOR(F.shiftrightunsigned(run, 8))
-    return F.sort_array(F.array_distinct(_runs(F.transform(F.array_remove(F.split(line, " "), ""), known), size, token)))
+    """Distinct tokens in order: 64-bit hashes of the runs."""
+    words = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(_runs(words, size)))
 
 
 def _up(n: Column, by: int, over: int) -> Column:
@@ -64,18 +61,15 @@ def _up(n: Column, by: int, over: int) -> Column:
     return F.floor((n.cast("long") * by + (over - 1)) / over).cast("int")
 
 
-def need(n: Column, m: Column, percent: int) -> Column:
-    """Tokens that sets of sizes n and m must share."""
-    return _up(n + m, percent, 100 + percent)
-
-
 def _met(percent: int) -> Column:
     """Whether the rows a and b (token, id, n tokens in all, i the token's place) of one token pass the length and
-    positional filters, x before y."""
-    n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.i"), F.col("b.i")
+    positional filters, x before y. Products instead of quotients, as pairs are many and this is all that is done for
+    most of them; sets of sizes n and m must share percent * (n + m) / (100 + percent) tokens."""
+    n, m = F.col("a.n").cast("long"), F.col("b.n").cast("long")
+    left, right = (n - F.col("a.i")) * (100 + percent), (m - F.col("b.i")) * (100 + percent)
+    place = F.least(left, right) >= percent * (n + m)
     # of two lines the smaller one needs only the shorter prefix, which its own size gives
-    place = F.least(n - i, m - j) >= need(n, m, percent)
-    short = F.when(n <= m, n - i >= need(n, n, percent)).otherwise(m - j >= need(m, m, percent))
+    short = F.when(n <= m, left >= 2 * percent * n).otherwise(right >= 2 * percent * m)
     close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     return (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & close & place & short
 
@@ -98,8 +92,7 @@ def crowded(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     An element that only one of two sets holds flips at most one bit between their sketches, so sketches too far apart
     tell within the join that a pair is none; a pair is put out only at the first of these tokens that both have.
-    The rows of a token that has SPLIT or more are dealt to parts of SPLIT rows on one side, so no token's pairs fall
-    to one task. rows: token, id, n, i, c (lines of the token); known: id, m, sketch.
+    The rows of a token are dealt to parts of SPLIT rows on one side, so no token's pairs fall to one task. rows: token, id, n, i, c (lines of the token); known: id, m, sketch.
     """
     own = rows.groupBy("id").agg(F.collect_list("token").alias("own"))
     rows = rows.join(known.join(own, "id"), "id")
@@ -107,13 +100,11 @@ def crowded(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(SKETCH)), F.lit(0))
     near = (total - apart) * (100 + percent) >= 2 * percent * total
     first = F.array_min(F.array_intersect("a.own", "b.own")) == F.col("a.token")
-    met = _met(percent) & near & first
-    few = rows.where(F.col("c") < SPLIT).drop("c")
-    many = rows.where(F.col("c") >= SPLIT).withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1)
-    a = many.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    b = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = lambda pairs: pairs.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    return out(few.alias("a").join(few.alias("b"), met)).unionByName(out(a.alias("a").join(b.alias("b"), (F.col("a.part") == F.col("b.part")) & met)))
+    rows = rows.withColumn("parts", (F.col("c") / SPLIT).cast("int") + 1)
+    a = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("a")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    met = a.join(b, (F.col("a.part") == F.col("b.part")) & _met(percent) & near & first)
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
