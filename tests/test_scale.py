@@ -163,3 +163,14 @@ def test_chains_as_heavy_are_told_apart_by_order(spark):
     make = lambda x: spark.createDataFrame(x, "v int, i int, j int, similarity double")
     got = [sorted(map(tuple, alignment.align(make(x), ["v"]).collect())) for x in (rows, rows[::-1])]
     assert got[0] == got[1] == [(v, i, i) for v in range(50) for i in range(3)] + [(99, 0, 1), (99, 2, 2)]
+
+
+def test_all_copies_of_names_are_paired(spark, tmp_path, monkeypatch):
+    """Every pair of copies counts, also over lists of three, with rows that repeat a key and rows without name or brand."""
+    from tristage.operators import joins
+
+    monkeypatch.setattr(joins, "LIST", 3)
+    name = "CASE i % 5 WHEN 0 THEN 'red oak' WHEN 1 THEN 'oak red red' WHEN 2 THEN 'red pine' WHEN 3 THEN '' END"
+    part = f"SELECT i // 2 * 2 - i % 3 AS p_partkey, {name} AS p_name, CASE WHEN i < 35 THEN 'b' END AS p_brand, 'SMALL' AS p_type, 1 AS p_size FROM range(40) t(i)"
+    got, want = both(spark, tmp_path, "name_similarity", part=part)
+    assert got == want and sum(r[2] == 1 for r in got) > 60

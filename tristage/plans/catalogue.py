@@ -252,12 +252,11 @@ def backward_nearest(spark, sf_dir):
     return joins.backward_nearest(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "view", "event_id").select("event_id", "user_id", "nearest")
 
 
-@query("""WITH w AS (SELECT p_partkey AS k, p_brand, p_type, list_sort(list_distinct(string_split(p_name, ' '))) AS w FROM part WHERE p_name IS NOT NULL), c AS (SELECT p_brand, p_type, w, min(k) AS k FROM w GROUP BY ALL)
- SELECT a.k AS x, b.k AS y, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4) AS similarity, 'PAIR' AS link FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.k < b.k AND len(list_intersect(a.w, b.w)) > 0
- WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.3
- UNION ALL SELECT c.k, w.k, 1.0, 'COPY' FROM w JOIN c ON c.p_brand = w.p_brand AND c.p_type = w.p_type AND c.w = w.w AND c.k < w.k""")
+@query("""WITH w AS (SELECT p_partkey AS k, p_brand, p_type, p_size, list_distinct(string_split(p_name, ' ')) AS w FROM part)
+ SELECT a.k AS x, b.k AS y, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4) AS similarity FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.k < b.k AND len(list_intersect(a.w, b.w)) > 0
+ WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.3""")
 def name_similarity(spark, sf_dir):
-    return joins.token_similarity(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_partkey", "p_name", 0.3)
+    return joins.similar_rows(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_partkey", "p_name", 0.3)
 
 
 @query(CANDS + ", e AS (SELECT DISTINCT chain, stage, source FROM cands) SELECT a.stage AS from_stage, b.stage AS to_stage, a.source AS state, count(*) AS n FROM e a JOIN e b ON a.chain = b.chain AND a.source = b.source AND a.stage < b.stage GROUP BY ALL")
