@@ -96,15 +96,40 @@ def test_acts_are_parsed_once(spark):
 
 
 def test_contents_meet_in_blocks(spark, tmp_path, monkeypatch):
-    """Copies of a volume are linked with the first, and blocks of three find every pair that the SQL finds."""
+    """Blocks of three find every pair that the SQL finds, those of copies included; as classes, copies are linked with
+    the first."""
     from tristage.operators import relations
 
     monkeypatch.setattr(relations, "BLOCK", 3)
     text = "CASE WHEN i % 10 = 3 THEN 'a a b c' ELSE concat('a b c d ', repeat('e ', i % 7), 'u', i) END"
     got, want = both(spark, tmp_path, "same_content", conversations=f"SELECT i AS conv_id, t AS turn, 'user' AS role, {text} AS text FROM range(40) r(i), range(2) s(t)")
     assert got == want
-    assert sum(r[3] == "COPY" for r in got) == 3 and all(r[0] == 3 for r in got if r[3] == "COPY")
-    assert "PAIR" in {r[3] for r in got}
+    assert {r[:2] for r in got if r[0] % 10 == 3 == r[1] % 10} == {(3, 13), (3, 23), (3, 33), (13, 23), (13, 33), (23, 33)}
+    terms = spark.sql(f"SELECT i AS volume, 6 AS pages, explode(split({text}, ' +')) AS term FROM (SELECT id AS i FROM range(40))").groupBy("volume", "pages", "term").count()
+    linked = relations.same_content(relations.profile_classes(terms.withColumnRenamed("count", "n"), []), [], 0.6).collect()
+    assert sum(r.link == "COPY" for r in linked) == 3 and all(r.x == 3 for r in linked if r.link == "COPY")
+    assert "PAIR" in {r.link for r in linked}
+
+
+@pytest.mark.parametrize(("often", "spots"), [(0.0, 4_000_000), (0.3, 7), (2.0, 1)])
+def test_like_contents_by_matrix_and_index(monkeypatch, often, spots):
+    """Terms as a matrix, by the index or both, few at a time: the pairs of plain sums, counts above 2 ** 24 included."""
+    import numpy as np
+    import pandas as pd
+
+    from tristage.operators import relations
+
+    monkeypatch.setattr(relations, "OFTEN", often)
+    monkeypatch.setattr(relations, "SPOTS", spots)
+    r = np.random.default_rng(5)
+    counts = r.integers(0, 3, (30, 12)) * r.integers(0, 2, (30, 12)) * np.where(np.arange(30) < 15, 1, 9001)[:, None]
+    counts[:, 0] += 1
+    df = pd.DataFrame({"volume": np.arange(30), "pages": r.integers(5, 11, 30).astype(float), "norm": np.sqrt((counts**2).sum(1)), "ids": [np.flatnonzero(c) for c in counts], "ns": [c[c > 0] for c in counts]})
+    value = (counts @ counts.T) / np.outer(df["norm"], df["norm"])
+    want = {(i, j, round(value[i, j], 6)) for i in range(30) for j in range(30) if value[i, j] >= 0.6 and abs(df["pages"][i] - df["pages"][j]) <= 3}
+    both = lambda a, b, one: {tuple(x) for out in relations.like(a, b, 0.6, one) for x in out.itertuples(index=False)}
+    assert both(df, df, True) == {x for x in want if x[0] < x[1]}
+    assert both(df[:11], df[11:], False) == {x for x in want if x[0] < 11 <= x[1]}
 
 
 def test_sheets_meet_in_blocks(spark, tmp_path, monkeypatch):
