@@ -199,3 +199,47 @@ def test_all_copies_of_names_are_paired(spark, tmp_path, monkeypatch):
     part = f"SELECT i // 2 * 2 - i % 3 AS p_partkey, {name} AS p_name, CASE WHEN i < 35 THEN 'b' END AS p_brand, 'SMALL' AS p_type, 1 AS p_size FROM range(40) t(i)"
     got, want = both(spark, tmp_path, "name_similarity", part=part)
     assert got == want and sum(r[2] == 1 for r in got) > 60
+
+
+def test_zones_need_one_shuffle(spark):
+    """All rounds of a page are in one task: nothing is written or moved between them."""
+    out = e.queries()["word_zones"](spark, DATA)
+    assert "FileScan" in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("FileScan") == 1
+    assert exchanges(out) == 1 and "steps-" not in plan
+
+
+@pytest.mark.parametrize(("near", "pairs"), [(1, 1), (2, 10), (64, 2_000_000)])
+def test_frames_of_pages_taken_together(monkeypatch, near, pairs):
+    """However few boxes are tested at a time, the frames of several pages are those of each page alone."""
+    import numpy as np
+
+    from tests.test_layout import naive_zones
+    from tristage.operators import pagewise
+
+    monkeypatch.setattr(pagewise, "NEAR", near)
+    monkeypatch.setattr(pagewise, "PAIRS", pairs)
+    r = np.random.default_rng(2)
+    page = np.sort(r.integers(0, 9, 150))
+    corner = r.integers(0, 300, (2, 150)).astype(float)
+    boxes = np.concatenate([corner, corner + r.integers(2, 40, (2, 150))])
+    at, found, n = pagewise.frames(page, boxes, 3.0)
+    for p in range(9):
+        assert sorted(map(tuple, found[:, at == p].T)) == naive_zones(boxes[:, page == p].T.tolist(), 3.0)
+    assert n.sum() == 150
+
+
+def test_pages_longer_than_a_batch(spark, monkeypatch):
+    """Pages are whole to their function, also those that end or begin between two batches."""
+    import pandas as pd
+
+    from tristage.operators import pagewise
+
+    monkeypatch.setattr(pagewise, "ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.range(200).selectExpr("CASE WHEN id < 60 THEN 'long' ELSE concat('p', id % 40) END AS p", "id")
+        count = lambda rows, page: pd.DataFrame({"p": rows["p"], "n": pd.Series(page).groupby(page).transform("size").to_numpy(), "id": rows["id"]})
+        got = pagewise.by_page(df, ["p"], count, "p string, n long, id long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 200 and all(r.n == (60 if r.p == "long" else 4 if int(r.p[1:]) >= 20 else 3) for r in got)

@@ -10,14 +10,22 @@ points from the upper left.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tristage.operators.graph import components, greedy
+from tristage.operators.graph import greedy
+from tristage.operators.pagewise import by_page, frames
 from tristage.sources.shared import cut
 
+# workers need not find this package: its functions travel with the task
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Tolerances in points, numbers of votes, shares, and the fields of a sheet in millimetres.
 POS_TOL = 4.0
 MAX_OFFSETS = 6
@@ -291,23 +299,20 @@ def place(old: DataFrame, new: DataFrame, page: list[str]) -> Placed:
     return Placed(pages, words, pairs, shares)
 
 
-def zones(boxes: DataFrame, by: list[str], gap: float, cell: float = 64.0) -> DataFrame:
+def zones(boxes: DataFrame, by: list[str], gap: float) -> DataFrame:
     """Boxes (box, x0, y0, x1, y1) merged until no two of a group lie within gap of each other (row 331): by, x0, y0, x1,
     y1 and n, the boxes in each.
 
     A round merges components of boxes that touch and takes the frame of each, which may touch others: then it goes on.
-    Boxes meet in the grid cells that they cover.
+    All rounds of a page are in the task that has its boxes; a box without corners is none.
     """
-    step = lambda c: F.floor(c / cell).cast("long")
-    now = cut(boxes.select(*by, "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n")))
-    while True:
-        now = cut(now.withColumn("_id", F.monotonically_increasing_id()))
-        reach = now.select("*", F.explode(F.sequence(step(F.col("x0") - gap), step(F.col("x1")))).alias("_i")).select("*", F.explode(F.sequence(step(F.col("y0") - gap), step(F.col("y1")))).alias("_j"))
-        other = reach.select(*by, "_i", "_j", *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")), F.col("_id").alias("_other"))
-        touch = (F.col("x0") - gap <= F.col("_x1")) & (F.col("_x0") - gap <= F.col("x1")) & (F.col("y0") - gap <= F.col("_y1")) & (F.col("_y0") - gap <= F.col("y1"))
-        edges = cut(reach.join(other, [*by, "_i", "_j"]).where((F.col("_id") < F.col("_other")) & touch).select("_id", "_other").distinct())
-        if not edges.take(1):
-            return now.drop("_id")
-        roots = components(now, edges, "_id", "_id", "_other")
-        merged = now.join(roots, "_id").groupBy(*by, "root").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
-        now = cut(merged.drop("root"))
+    corners = ["x0", "y0", "x1", "y1"]
+
+    def merge(df: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        at, box, n = frames(page, df[corners].to_numpy(dtype=float).T, gap)
+        first = np.searchsorted(page, at)
+        return pd.DataFrame({**{k: df[k].to_numpy()[first] for k in by}, **dict(zip(corners, box, strict=True)), "n": n})
+
+    kinds = dict(boxes.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "x0 double, y0 double, x1 double, y1 double, n long"])
+    return by_page(boxes.select(*by, *(F.col(c).cast("double").alias(c) for c in corners)).dropna(subset=corners), by, merge, schema)
