@@ -141,6 +141,26 @@ def test_sheets_meet_in_blocks(spark, tmp_path, monkeypatch):
     assert got == want and len(got) > 1000
 
 
+def test_working_sheets_meet_sets_of_rooms(spark, tmp_path, monkeypatch):
+    """Both sides in several blocks and tables of few cells give what all pairs give; sheets that differ in name alone
+    meet their rooms once."""
+    import numpy as np
+    import pandas as pd
+
+    from tristage.operators import sheets
+
+    for name, value in (("BLOCK", 7), ("LARGE", 11), ("CELLS", 40)):
+        monkeypatch.setattr(sheets, name, value)
+    got, want = both(spark, tmp_path, "sheet_pairs", orders=f"SELECT o_orderkey, o_orderkey // 400 AS o_custkey FROM '{DATA}/orders.parquet'", lineitem=f"SELECT l_orderkey, l_partkey % 7 AS l_partkey FROM '{DATA}/lineitem.parquet'")
+    assert got == want and len(got) > 1000
+    rows = []
+    monkeypatch.setattr(sheets, "CELLS", 2_000_000)
+    real = np.sort
+    monkeypatch.setattr(sheets.np, "sort", lambda x, **k: rows.append(len(x)) or real(x, **k))
+    side = lambda n: pd.DataFrame([{"key": i, "sheets": [i], "section": "AR", "words": ["w", f"v{i}"], "numbers": ["1"], "tags": [], "held": [1, 2, 3 + i % 2], "n_rooms": 3, "unnamed": False} for i in range(n)])
+    assert sum(map(len, sheets.best(side(50), side(40)))) == 50 * 12 and sum(rows) == 2
+
+
 def test_halves_are_rounded_as_in_sql():
     import numpy as np
 

@@ -21,8 +21,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: add, and how many pairs of a sheet are handed over.
 SHARED, CONTAINED, NAMED, WORDS = 3, 0.15, 0.6, 3
 DISCIPLINE, SAME_NAME, NAME, TOP = 0.25, 2.0, 0.5, 12
-#: Classes of a block.
-BLOCK = 4000
+#: Classes of a block: design sheets of a group are cut into up to BUSY blocks of at least BLOCK, either side into more only
+#: where a block would hold more than LARGE.
+BLOCK, LARGE, BUSY = 4000, 64_000, 4
+#: Cells of a table that is reckoned at a time.
+CELLS = 2_000_000
 
 
 def _keyed(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
@@ -41,7 +44,8 @@ def _half_up(x: np.ndarray) -> np.ndarray:
     """Thousandths, halves away from zero, as round() in SQL takes them from a number's shortest form."""
     out = np.floor(x * 1000 + 0.5)
     odd = np.abs(x * 1000 - np.floor(x * 1000) - 0.5) < 1e-6
-    out[odd] = [int(Decimal(repr(v)).scaleb(3).quantize(Decimal(1), ROUND_HALF_UP)) for v in x[odd].tolist()]
+    value, at = np.unique(x[odd], return_inverse=True)
+    out[odd] = np.array([int(Decimal(repr(v)).scaleb(3).quantize(Decimal(1), ROUND_HALF_UP)) for v in value.tolist()], dtype=float)[at]
     return out.astype(np.int64)
 
 
@@ -59,65 +63,95 @@ def _incidence(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
     return one(left), one(right)
 
 
-def best(left: pd.DataFrame, right: pd.DataFrame, rows: int = 256) -> Iterator[pd.DataFrame]:
+def _numbered(rows: Iterator) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row among those that differ, in order of their first, and where these stand."""
+    number: dict = {}
+    at = np.array([number.setdefault(x, len(number)) for x in rows])
+    return at, np.unique(at, return_index=True)[1]
+
+
+def best(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """key, rd and scores of the TOP working sheets in `right` (classes, with their first TOP sheets) for each class of
     design sheets in `left`. Of equal scores and rooms those of the earliest sheet count, so TOP classes hold TOP sheets.
     Names are as similar as the Jaccard of their words and numbers if the numbers are the same, else not at all; nor are
-    those of one token (row 177)."""
-    right = right.assign(_first=[x[0] for x in right["sheets"]]).sort_values("_first", ignore_index=True)
-    lists = lambda df, c: [list(x) for x in df[c]]
+    those of one token (row 177).
+
+    A pair's score is what its kinds (section, name and tags) give and the share of rooms, which for one design sheet grows
+    with the rooms they share. So of working sheets of one kind, those that share most of a set of rooms are the best for
+    any design sheet with that set: kinds meet kinds, sets meet sets, and only TOP classes of each kind meet the sheet.
+    """
+    lists = lambda df, c: [tuple(x) for x in df[c]]
+    kind = lambda df: _numbered(zip(df["section"], *(lists(df, c) for c in ("words", "numbers", "tags")), df["unnamed"], strict=True))
+    left = left.assign(_s=_numbered(lists(left, "held"))[0]).sort_values("_s", kind="stable", ignore_index=True)
+    right = right.assign(_k=kind(right)[0], _first=[x[0] for x in right["sheets"]]).sort_values(["_k", "_first"], ignore_index=True)
+    (set_l, sets_l), (set_r, sets_r) = (_numbered(lists(df, "held")) for df in (left, right))
+    (kind_l, kinds_l), (kind_r, kinds_r) = kind(left), kind(right)
+    room_l, room_r = _incidence(*([x for x in df["held"].iloc[at]] for df, at in ((left, sets_l), (right, sets_r))))
+    # what a kind is to a kind
+    one, two = left.iloc[kinds_l], right.iloc[kinds_r]
     tokens = lambda df: [list({*w, *n}) for w, n in zip(df["words"], df["numbers"], strict=True)]
-    room_l, room_r = _incidence(lists(left, "held"), lists(right, "held"))
-    word_l, word_r = _incidence(lists(left, "words"), lists(right, "words"))
-    tag_l, tag_r = _incidence(lists(left, "tags"), lists(right, "tags"))
-    token = tokens(left), tokens(right)
-    tok_l, tok_r = _incidence(*token)
+    token = tokens(one), tokens(two)
+    (word_l, word_r), (tag_l, tag_r), (tok_l, tok_r) = _incidence(lists(one, "words"), lists(two, "words")), _incidence(lists(one, "tags"), lists(two, "tags")), _incidence(*token)
     size = lambda x: np.array([len(v) for v in x], dtype=np.float64)
-    size_l, size_r = size(token[0]), size(token[1])
-    tagged_l, tagged_r = size(left["tags"]) > 0, size(right["tags"]) > 0
-    worded_l, worded_r = size(left["words"]) > 0, size(right["words"]) > 0
+    size_l, size_r = size(token[0])[:, None], size(token[1])
     code: dict = {"OTHER": 0, None: 1}
     coded = lambda values: np.array([code.setdefault(v, len(code)) for v in values])
-    part_l, part_r = coded(left["section"]), coded(right["section"])
-    num_l, num_r = coded(map(tuple, left["numbers"])), coded(map(tuple, right["numbers"]))
-    n_rooms = left["n_rooms"].to_numpy(dtype=np.float64)
-    named_r = worded_r & (size_r >= 2)
-    unnamed_l, unnamed_r = (df["unnamed"].to_numpy(dtype=bool) for df in (left, right))
-    keys, sheets = left["key"].to_numpy(), right["sheets"].tolist()
+    part_l, part_r = coded(one["section"])[:, None], coded(two["section"])
+    alike = coded(lists(one, "numbers"))[:, None] == coded(lists(two, "numbers"))
+    both = (size(one["words"])[:, None] > 0) & (size_l >= 2) & (size(two["words"]) > 0) & (size_r >= 2)
+    common = (tok_l @ tok_r.T).astype(np.float64)
+    similar = np.where(alike & both, common / np.maximum(1, size_l + size_r - common), 0.0)
+    named, informative = similar >= NAMED, size_l >= WORDS
+    touching = alike & (word_l @ word_r.T > 0)
+    same = part_l == part_r
+    apart = ~same & (part_l > 1) & (part_r > 1)
+    by_name = named & informative & same
+    bonus = np.where((size(one["tags"])[:, None] > 0) & (size(two["tags"]) > 0), np.where(tag_l @ tag_r.T > 0, DISCIPLINE, -DISCIPLINE), 0.0)
+    name = np.where(similar >= 0.999, SAME_NAME, np.where(named, NAME * similar, 0.0))
+    unnamed = one["unnamed"].to_numpy(dtype=bool)[:, None] | two["unnamed"].to_numpy(dtype=bool)
+    # the first TOP of every kind, when a kind's classes are in order of the rooms that they share, then of their sheets
     many = len(right)
-    for at in range(0, len(left), rows):
-        i = slice(at, at + rows)
-        shared = (room_l[i] @ room_r.T).astype(np.float64)
-        contained = np.divide(shared, n_rooms[i, None], out=np.zeros_like(shared), where=n_rooms[i, None] > 0)
-        common = (tok_l[i] @ tok_r.T).astype(np.float64)
-        alike = num_l[i, None] == num_r
-        similar = np.where(alike & (worded_l[i] & (size_l[i] >= 2))[:, None] & named_r, common / np.maximum(1, size_l[i, None] + size_r - common), 0.0)
-        met = (shared > 0) | (alike & (word_l[i] @ word_r.T > 0))
-        same = part_l[i, None] == part_r
-        apart = ~same & (part_l[i] > 1)[:, None] & (part_r > 1)
-        by_rooms = (shared >= SHARED) & (contained >= CONTAINED)
-        named = similar >= NAMED
-        informative = (size_l[i] >= WORDS)[:, None]
-        good = met & ~apart & (by_rooms | (named & informative & same)) & ((n_rooms[i] >= SHARED)[:, None] | informative)
-        a, b = np.nonzero(good)
-        if not len(a):
-            continue
-        bonus = np.where(tagged_l[i][a] & tagged_r[b], np.where((tag_l[i] @ tag_r.T)[a, b] > 0, DISCIPLINE, -DISCIPLINE), 0.0)
-        near = similar[a, b]
-        score = _half_up(contained[a, b] + bonus + np.where(near >= 0.999, SAME_NAME, np.where(near >= NAMED, NAME * near, 0.0)))
-        order = np.lexsort((b, -shared[a, b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        first = np.searchsorted(a, a)
-        a, b, score = (x[np.arange(len(a)) - first < TOP] for x in (a, b, score))
-        # the sheets of these classes, the best of them
-        each = np.repeat(np.arange(len(b)), [len(sheets[k]) for k in b])
-        rd = np.concatenate([sheets[k] for k in b])
-        a, b, score = a[each], b[each], score[each]
-        order = np.lexsort((rd, -shared[a, b], -score, a))
-        order = order[np.arange(len(a)) - np.searchsorted(a, a) < TOP]
-        a, b, score, rd = a[order], b[order], score[order], rd[order]
-        how = np.where(by_rooms[a, b] & named[a, b], "BOTH", np.where(by_rooms[a, b], "ROOMS", "NAME"))
-        yield pd.DataFrame({"key": keys[i][a], "rd": rd, "shared": shared[a, b].astype(np.int64), "containment": contained[a, b], "similarity": np.where(unnamed_l[i][a] | unnamed_r[b], np.nan, similar[a, b]), "how": how, "score": score / 1000.0})
+    start = np.searchsorted(kind_r, np.arange(len(kinds_r) + 1))
+    taken = np.flatnonzero(np.arange(many) - start[kind_r] < TOP)
+    of = kind_r[taken]
+    most = int(room_l.sum(axis=1).max(initial=0)) + 1
+    whole = np.int32 if len(kinds_r) * (most + 1) * many < 2**31 else np.int64
+    base = (kind_r.astype(np.int64) * (most + 1) * many + np.arange(many)).astype(whole)
+    rank = np.empty(many, dtype=np.int64)
+    rank[np.argsort(right["_first"].to_numpy(), kind="stable")] = np.arange(many)
+    n_rooms, keys, sheets = left["n_rooms"].to_numpy(dtype=np.float64), left["key"].to_numpy(), right["sheets"].tolist()
+    step = max(1, CELLS // many)
+    for s in range(0, len(sets_l), step):
+        shares = (room_l[s : s + step] @ room_r.T).astype(whole)[:, set_r]
+        order = np.sort(base + (most - shares) * whole(many), axis=1)[:, taken]
+        place, rooms = order % many, most - order // many % (most + 1)
+        first, last = np.searchsorted(set_l, [s, s + step])
+        rows = max(1, CELLS // len(taken))
+        for at in range(first, last, rows):
+            i = np.arange(at, min(last, at + rows))
+            k = kind_l[i]
+            shared, n = rooms[set_l[i] - s].astype(np.float64), n_rooms[i, None]
+            contained = np.divide(shared, n, out=np.zeros_like(shared), where=n > 0)
+            by_rooms = (shared >= SHARED) & (contained >= CONTAINED)
+            good = ((shared > 0) | touching[k][:, of]) & ~apart[k][:, of] & (by_rooms | by_name[k][:, of]) & ((n >= SHARED) | informative[k])
+            a, c = np.nonzero(good)
+            if not len(a):
+                continue
+            b, ka, kb = place[set_l[i] - s][a, c], k[a], of[c]
+            shared, contained, by_rooms = shared[a, c], contained[a, c], by_rooms[a, c]
+            score = _half_up(contained + bonus[ka, kb] + name[ka, kb])
+            order = np.lexsort((rank[b], -shared, -score, a))
+            order = order[np.arange(len(a)) - np.searchsorted(a, a) < TOP]
+            a, b, ka, kb, shared, contained, by_rooms, score = (x[order] for x in (a, b, ka, kb, shared, contained, by_rooms, score))
+            # the sheets of these classes, the best of them
+            each = np.repeat(np.arange(len(b)), [len(sheets[x]) for x in b])
+            rd = np.concatenate([sheets[x] for x in b])
+            order = np.lexsort((rd, -shared[each], -score[each], a[each]))
+            order = order[np.arange(len(order)) - np.searchsorted(a[each], a[each]) < TOP]
+            rd, each = rd[order], each[order]
+            how = np.where(by_rooms & named[ka, kb], "BOTH", np.where(by_rooms, "ROOMS", "NAME"))
+            near = np.where(unnamed[ka, kb], np.nan, similar[ka, kb])
+            yield pd.DataFrame({"key": keys[i][a[each]], "rd": rd, "shared": shared[each].astype(np.int64), "containment": contained[each], "similarity": near[each], "how": how[each], "score": score[each] / 1000.0})
 
 
 def pairs(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
@@ -126,8 +160,9 @@ def pairs(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
 
     sheets: by, sheet, stage, section, words, numbers, tags; rooms: by, sheet, room. What shares neither a room nor a word
     of its name is never paired. Sheets alike in all that counts are one class; of a class of working sheets the first
-    TOP are enough. Classes are dealt to blocks, each two blocks of a group meet in a task, which hands over TOP pairs of
-    each class: the work grows with the square of the classes of a group, what is moved with their number.
+    TOP are enough. Classes are dealt to blocks, design sheets in order of their rooms and working sheets in order of their
+    kind; each two blocks of a group meet in a task, which hands over TOP pairs of each class: the work grows with the
+    sets of rooms of the one and the classes of the other.
     """
     keyed = _keyed(sheets, rooms, by)
     kind = dict(keyed.dtypes)["sheet"]
@@ -136,30 +171,32 @@ def pairs(sheets: DataFrame, rooms: DataFrame, by: list[str]) -> DataFrame:
     working = keyed.where("stage = 'RD'").withColumn("_place", place).where(F.col("_place") <= TOP)
     working = working.groupBy(*by, "key").agg(F.sort_array(F.collect_list("sheet")).alias("sheets"), *facts)
     design = keyed.where("stage = 'PD'").groupBy(*by, "key").agg(F.array().cast(f"array<{kind}>").alias("sheets"), *facts)
-    both = cut(design.withColumn("stage", F.lit("PD")).unionByName(working.withColumn("stage", F.lit("RD"))))
-    size = lambda s: F.ceil(F.count_if(F.col("stage") == s) / BLOCK).cast("int")
-    blocks = both.groupBy(*by).agg(size("PD").alias("_p"), size("RD").alias("_r")).where("_p > 0 AND _r > 0")
-    own = lambda c: F.array(F.pmod(F.xxhash64("key"), F.col(c)).cast("int"))
-    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    both = cut(design.withColumn("stage", F.lit("PD")).unionByName(working.withColumn("stage", F.lit("RD"))).withColumn("_id", F.monotonically_increasing_id()))
+    n = lambda s: F.count_if(F.col("stage") == s)
+    cut_in = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    blocks = both.groupBy(*by).agg(n("PD").alias("_pd"), n("RD").alias("_rd")).where("_pd > 0 AND _rd > 0")
+    blocks = blocks.withColumns({"_p": F.greatest(cut_in("_pd", max(BLOCK, LARGE)), F.least(cut_in("_pd", BLOCK), F.lit(BUSY))), "_r": cut_in("_rd", LARGE)})
     design_side = F.col("stage") == "PD"
-    dealt = both.join(blocks, by).withColumn("_i", F.explode(F.when(design_side, own("_p")).otherwise(every("_p")))).withColumn("_j", F.explode(F.when(design_side, every("_r")).otherwise(own("_r")))).drop("_p", "_r")
+    order = F.when(design_side, F.xxhash64("held")).otherwise(F.xxhash64("section", "words", "numbers", "tags", "unnamed"))
+    rank = F.row_number().over(Window.partitionBy(*by, "stage").orderBy(order, "key")) - 1
+    own = lambda c, n: F.array(F.floor(F.col("_rank") * F.col(c) / F.col(n)).cast("int"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    ranked = both.drop("key").withColumn("key", F.col("_id")).withColumn("_rank", rank).drop("_id")
+    dealt = ranked.join(blocks, by).withColumn("_i", F.explode(F.when(design_side, own("_p", "_pd")).otherwise(every("_p")))).withColumn("_j", F.explode(F.when(design_side, every("_r")).otherwise(own("_r", "_rd")))).drop("_p", "_r", "_pd", "_rd", "_rank")
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(parts), ignore_index=True)
         left, right = df[df["stage"] == "PD"], df[df["stage"] == "RD"]
         if len(left) and len(right):
             for out in best(left, right):
-                for n, k in enumerate(by):
-                    out.insert(n, k, df[k].iloc[0])
                 yield out
 
-    kinds = dict(keyed.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), f"key string, rd {kind}, shared long, containment double, similarity double, how string, score double"])
+    schema = f"key long, rd {kind}, shared long, containment double, similarity double, how string, score double"
     spark = keyed.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     found = dealt.repartition(tasks, *by, "_i", "_j").groupBy(*by, "_i", "_j").applyInPandas(meet, schema)
-    place = F.row_number().over(Window.partitionBy(*by, "key").orderBy(F.desc("score"), F.desc("shared"), F.asc("rd")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc("shared"), F.asc("rd")))
     found = found.withColumn("place", place).where(F.col("place") <= TOP)
-    found = found.select(*by, "key", "rd", "shared", F.round("containment", 3).alias("containment"), F.round("similarity", 3).alias("similarity"), "how", "score", "place")
-    members = keyed.where("stage = 'PD'").select(*by, "key", F.col("sheet").alias("pd"))
-    return members.join(found, [*by, "key"]).select(*by, "pd", "rd", "shared", "containment", "similarity", "how", "score", "place")
+    found = found.select(F.col("key").alias("_id"), "rd", "shared", F.round("containment", 3).alias("containment"), F.round("similarity", 3).alias("similarity"), "how", "score", "place")
+    members = keyed.where("stage = 'PD'").select(*by, "key", F.col("sheet").alias("pd")).join(both.where(design_side).select(*by, "key", "_id"), [*by, "key"])
+    return members.join(found, "_id").select(*by, "pd", "rd", "shared", "containment", "similarity", "how", "score", "place")
