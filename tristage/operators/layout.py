@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tristage.operators.graph import greedy
-from tristage.operators.pagewise import by_page, frames
+from tristage.operators.pagewise import aligned, by_page, frames
 from tristage.sources.shared import cut
 
 # workers need not find this package: its functions travel with the task
@@ -136,11 +136,6 @@ def near_words(old: DataFrame, new: DataFrame, by: list[str], most: float, text:
     return both.withColumn("d", d).where(F.col("d") <= most)
 
 
-def _match(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
-    """Old words, in their order, each with the nearest new word of its text that is left (the later of two as near)."""
-    return greedy(near_words(old, new, by, POS_TOL), [*by, "t"], [F.col("word"), F.col("d"), -F.col("other")], "word", "other").drop("t")
-
-
 def peaks(old: DataFrame, new: DataFrame, by: list[str], first: bool) -> DataFrame:
     """The displacement (dx, dy) that the rare words of each page vote for (rows 329, 330), and its region.
 
@@ -192,35 +187,33 @@ def peaks(old: DataFrame, new: DataFrame, by: list[str], first: bool) -> DataFra
 def align(old: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Matched words (by, word, other) and offsets (by, step, dx, dy, n) of pages in rounds: the whole page, then parts.
 
-    old: by, word, t, x, y, service; new: by, other, t, x, y, service; written tables. At last, if a page has shifted,
-    its service fields may have stayed in place.
+    old: by, word, t, x, y, service; new: by, other, t, x, y, service. All rounds of a page are in the task that has its
+    words, with the rules of peaks(); each takes the nearest new word of its text that is left, in order of the old ones.
+    At last, if a page has shifted, its service fields may have stayed in place.
     """
-    none = old.select(*by, "word", F.col("word").alias("other")).limit(0)
-    matched, offsets, a, b = none, None, old, new
-
-    def left(df: DataFrame, key: str) -> DataFrame:
-        return df.join(matched.select(*by, key), [*by, key], "left_anti")
-
-    def shifted(free: DataFrame, shift: DataFrame) -> DataFrame:
-        inside = F.col("rx0").isNull() | (F.col("x").between(F.col("rx0"), F.col("rx1")) & F.col("y").between(F.col("ry0"), F.col("ry1")))
-        return free.join(shift, by).where(inside).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
-
-    for k in range(MAX_OFFSETS):
-        shift = cut(peaks(a, b, by, k == 0))
-        got = cut(_match(shifted(a, shift), b, by))
-        step = got.groupBy(*by).agg(F.count("*").alias("n")).join(shift, by).select(*by, F.lit(k).alias("step"), F.round("dx", 1).alias("dx"), F.round("dy", 1).alias("dy"), "n")
-        step = cut(step)
-        matched, offsets = matched.union(got.select(matched.columns)), step if offsets is None else offsets.union(step)
-        live = step.select(*by)
-        if k + 1 == MAX_OFFSETS or not live.take(1):
-            break
-        # what is left is read by votes and matches, and is smaller in each round
-        a, b = (cut(df.join(got.select(*by, key), [*by, key], "left_anti").join(live, by, "left_semi")) for df, key in ((a, "word"), (b, "other")))
-    far = offsets.where("step = 0 AND (abs(dx) > 1 OR abs(dy) > 1)").select(*by)
-    still = left(old, "word").where("service").join(far.hint("merge"), by, "left_semi")
-    got = cut(_match(still, left(new, "other"), by))
-    stayed = got.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(MAX_OFFSETS).alias("step"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "n")
-    return cut(matched.union(got.select(matched.columns))), cut(offsets.union(stayed))
+    word = lambda df, key, side: df.select(*by, F.lit(side).alias("_s"), F.col(key).cast("long").alias("_w"), "t", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "service")
+    both = word(old, "word", 0).unionByName(word(new, "other", 1)).where("t IS NOT NULL")
+
+    def run(df: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        rows = list(zip(df["_w"].tolist(), df["t"].tolist(), df["x"].tolist(), df["y"].tolist(), df["service"].tolist(), strict=True))
+        side = df["_s"].tolist()
+        out: list[tuple] = []
+        start = np.searchsorted(page, np.arange(page[-1] + 2)).tolist()
+        for a, b in zip(start, start[1:], strict=False):
+            was, now = ([rows[i] for i in range(a, b) if side[i] == s] for s in (0, 1))
+            if was and now:
+                pairs, steps = aligned(was, now, MAX_OFFSETS, (FIRST_VOTES, MIN_VOTES), POS_TOL, RARE, REGION, LOCAL_SUPPORT)
+                out += [(a, w, o, None, None, None, None) for w, o in pairs] + [(a, None, None, *s) for s in steps]
+        found = pd.DataFrame(out, columns=["_at", "word", "other", "step", "dx", "dy", "n"])
+        keys = {k: df[k].to_numpy()[found["_at"].to_numpy(dtype=int)] for k in by}
+        whole = {c: found[c].astype("Int64") for c in ("word", "other", "step", "n")}
+        return pd.DataFrame({**keys, **whole, "dx": found["dx"].astype(float), "dy": found["dy"].astype(float)})
+
+    kinds = dict(both.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "word long, other long, step long, n long, dx double, dy double"])
+    done = cut(by_page(both, by, run, schema))
+    pairs = done.where("word IS NOT NULL").select(*by, F.col("word").cast(dict(old.dtypes)["word"]).alias("word"), F.col("other").cast(dict(new.dtypes)["other"]).alias("other"))
+    return pairs, done.where("step IS NOT NULL").select(*by, F.col("step").cast("int").alias("step"), "dx", "dy", "n")
 
 
 @dataclass(frozen=True)
