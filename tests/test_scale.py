@@ -285,3 +285,83 @@ def test_marks_meet_those_near_them(spark, tmp_path):
             if node.name() == "SortMergeJoin":
                 rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows"]
     assert rows and max(rows) < 300_000
+
+
+def test_pages_are_placed_in_few_steps(spark):
+    """No step for each round, and of the tables between steps those that nothing reads any more are gone."""
+    import os
+
+    from tristage.sources import shared
+
+    store, made, real = spark._jsparkSession.sharedState().statusStore(), [], shared.folder
+    shared.folder = lambda s: made.append(real(s)) or made[-1]
+    before = store.executionsCount()
+    try:
+        assert e.queries()["placed_pages"](spark, DATA).count() > 0
+    finally:
+        shared.folder = real
+    assert store.executionsCount() - before < 16
+    assert sum(not os.path.exists(p.removeprefix("file://")) for p in made) == 4
+
+
+def test_shuffles_of_written_tables_are_removed(spark):
+    import time
+
+    from tristage.sources.shared import cut
+
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def names():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = names()
+    table = cut(spark.range(1000).groupBy("id").count())
+    for _ in range(50):
+        if not names() - before:
+            break
+        time.sleep(0.2)
+    assert not names() - before and len(table.collect()) == 1000
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_peaks_of_a_page_are_those_of_all_pages(spark, first):
+    """What the task of a page finds is what the joins over all pages find."""
+    from tristage.operators import layout, pagewise
+    from tristage.plans import catalogue_places as P
+
+    w, new = P._words(spark, DATA)
+    want = {(r.f, r.page): (r.dx, r.dy, *((r.rx0, r.ry0, r.rx1, r.ry1) if not first else ())) for r in layout.peaks(w, new, P.BY, first).collect()}
+    pages = {}
+    for side, df, key in ((0, w, "word"), (1, new, "other")):
+        for r in df.collect():
+            pages.setdefault((r.f, r.page), ([], []))[side].append((r[key], r.t, r.x, r.y, False, 150.0))
+    got = {}
+    for p, (a, b) in pages.items():
+        top = pagewise.peak(a, b, layout.POS_TOL, layout.RARE, layout.FIRST_VOTES if first else layout.MIN_VOTES, None if first else layout.REGION, layout.LOCAL_SUPPORT)
+        if top:
+            got[p] = (top[0], top[1], *(top[2] or ()))
+    assert got == want and len(got) > 10
+
+
+def test_crowded_texts_of_a_page_meet_by_place():
+    """More words of one text than are looked through one by one: taken in order, each the nearest that is left."""
+    import random
+
+    from tristage.operators import pagewise
+
+    r = random.Random(4)
+    make = lambda n: [(i, "-", r.randint(0, 60) / 2, r.randint(0, 60) / 2, False, 9.0) for i in range(n)]
+    old, new = make(80), make(70)
+    far = lambda o, n: max(abs(o[2] + 1 - n[2]), abs(o[3] - n[3]))
+
+    def taken(pairs):
+        left, right, out = set(), set(), set()
+        for w, n in pairs:
+            if w not in left and n not in right:
+                left.add(w), right.add(n), out.add((w, n))
+        return out
+
+    near = [(o[0], far(o, n), n[0]) for o in old for n in new]
+    assert set(pagewise.matched(old, new, 4.0, 1.0, 0.0)) == taken((w, n) for w, d, n in sorted(near, key=lambda x: (x[0], x[1], -x[2])) if d <= 4)
+    assert set(pagewise.moved(old, new, 1.0, 0.0)) == taken((w, n) for d, w, n in sorted((d, w, n) for w, d, n in near) if d <= 9)

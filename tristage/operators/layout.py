@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tristage.operators.graph import greedy
 from tristage.operators.pagewise import aligned, by_page, frames
-from tristage.sources.shared import cut
+from tristage.sources.shared import cut, drop
 
 # workers need not find this package: its functions travel with the task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -185,34 +185,37 @@ def peaks(old: DataFrame, new: DataFrame, by: list[str], first: bool) -> DataFra
 
 
 def align(old: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Matched words (by, word, other) and offsets (by, step, dx, dy, n) of pages in rounds: the whole page, then parts.
+    """Words that are paired (by, word, other, moved) and offsets (by, step, dx, dy, n) of pages in rounds: the whole page,
+    then parts.
 
     old: by, word, t, x, y, service; new: by, other, t, x, y, service. All rounds of a page are in the task that has its
     words, with the rules of peaks(); each takes the nearest new word of its text that is left, in order of the old ones.
-    At last, if a page has shifted, its service fields may have stayed in place.
+    At last, if a page has shifted, its service fields may have stayed in place. Content that is left may have moved.
+    Both results are of one written table.
     """
-    word = lambda df, key, side: df.select(*by, F.lit(side).alias("_s"), F.col(key).cast("long").alias("_w"), "t", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "service")
+    far = F.when(F.col("t").rlike(NUMERIC), MOVE).otherwise(MOVE_TEXT)
+    word = lambda df, key, side: df.select(*by, F.lit(side).alias("_s"), F.col(key).cast("long").alias("_w"), "t", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "service", far.alias("_f"))
     both = word(old, "word", 0).unionByName(word(new, "other", 1)).where("t IS NOT NULL")
 
     def run(df: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
-        rows = list(zip(df["_w"].tolist(), df["t"].tolist(), df["x"].tolist(), df["y"].tolist(), df["service"].tolist(), strict=True))
+        rows = list(zip(*(df[c].tolist() for c in ("_w", "t", "x", "y", "service", "_f")), strict=True))
         side = df["_s"].tolist()
         out: list[tuple] = []
         start = np.searchsorted(page, np.arange(page[-1] + 2)).tolist()
         for a, b in zip(start, start[1:], strict=False):
             was, now = ([rows[i] for i in range(a, b) if side[i] == s] for s in (0, 1))
             if was and now:
-                pairs, steps = aligned(was, now, MAX_OFFSETS, (FIRST_VOTES, MIN_VOTES), POS_TOL, RARE, REGION, LOCAL_SUPPORT)
-                out += [(a, w, o, None, None, None, None) for w, o in pairs] + [(a, None, None, *s) for s in steps]
-        found = pd.DataFrame(out, columns=["_at", "word", "other", "step", "dx", "dy", "n"])
+                pairs, steps, other = aligned(was, now, MAX_OFFSETS, (FIRST_VOTES, MIN_VOTES), POS_TOL, RARE, REGION, LOCAL_SUPPORT)
+                out += [(a, m, w, o, None, None, None, None) for m, some in ((False, pairs), (True, other)) for w, o in some] + [(a, None, None, None, *s) for s in steps]
+        found = pd.DataFrame(out, columns=["_at", "moved", "word", "other", "step", "dx", "dy", "n"])
         keys = {k: df[k].to_numpy()[found["_at"].to_numpy(dtype=int)] for k in by}
         whole = {c: found[c].astype("Int64") for c in ("word", "other", "step", "n")}
-        return pd.DataFrame({**keys, **whole, "dx": found["dx"].astype(float), "dy": found["dy"].astype(float)})
+        return pd.DataFrame({**keys, **whole, "moved": found["moved"].astype("boolean"), "dx": found["dx"].astype(float), "dy": found["dy"].astype(float)})
 
     kinds = dict(both.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "word long, other long, step long, n long, dx double, dy double"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "word long, other long, step long, n long, moved boolean, dx double, dy double"])
     done = cut(by_page(both, by, run, schema))
-    pairs = done.where("word IS NOT NULL").select(*by, F.col("word").cast(dict(old.dtypes)["word"]).alias("word"), F.col("other").cast(dict(new.dtypes)["other"]).alias("other"))
+    pairs = done.where("word IS NOT NULL").select(*by, F.col("word").cast(dict(old.dtypes)["word"]).alias("word"), F.col("other").cast(dict(new.dtypes)["other"]).alias("other"), "moved")
     return pairs, done.where("step IS NOT NULL").select(*by, F.col("step").cast("int").alias("step"), "dx", "dy", "n")
 
 
@@ -244,24 +247,23 @@ def place(old: DataFrame, new: DataFrame, page: list[str]) -> Placed:
     b = new.join(frames, page).select(*page, "frame", F.col("word").alias("other"), "t", "service", "x", "y", "x0", "y0", "x1", "y1")
     by = [*page, "frame"]
     a, b = cut(a), cut(b)
-    matched, offsets = align(a, b, by)
-    n = frames.join(matched.groupBy(*by).agg(F.count("*").alias("matched")), by, "left").fillna({"matched": 0})
+    paired, offsets = align(a, b, by)
+    n = frames.join(paired.where("NOT moved").groupBy(*by).agg(F.count("*").alias("matched")), by, "left").fillna({"matched": 0})
     best = n.groupBy(*page).agg(F.max(F.struct("matched", "frame")).alias("_b"))  # scaled counts first among equals
     best = cut(best.select(*page, F.col("_b.frame").alias("frame"), F.col("_b.matched").alias("matched")).join(both, page))
     lead = offsets.join(best.select(*by), by, "left_semi")
     shifts = lead.groupBy(*page).agg(F.max((F.abs("dx") > 1) | (F.abs("dy") > 1)).alias("_far"), F.count("*").alias("_steps"), F.max(F.when(F.col("step") == 0, F.struct("dx", "dy"))).alias("_g"), F.sort_array(F.collect_list(F.struct("step", "dx", "dy", "n"))).alias("offsets"))
-    keep = lambda df, key: df.join(best.select(*by), by, "left_semi").join(matched.select(*by, key, F.lit(True).alias("_in")), [*by, key], "left").drop("frame")
-    was, now = cut(keep(a, "word")), cut(keep(b, "other"))
-    gone, come = was.where("_in IS NULL"), now.where("_in IS NULL")
+    # the words of the frame that counts, then what has become of them
+    keep = lambda df: cut(df.join(best.select(*by), by, "left_semi"))
+    was, now = keep(a), keep(b)
+    drop(a, b)
     base = best.select(*page).join(shifts, page, "left").select(*page, F.coalesce("_g.dx", F.lit(0.0)).alias("_gx"), F.coalesce("_g.dy", F.lit(0.0)).alias("_gy"))
-    ahead = gone.join(base, page).withColumns({"x": F.col("x") + F.col("_gx"), "y": F.col("y") + F.col("_gy")})
-    content = near_words(ahead.where("NOT service"), come.where("NOT service"), page, MOVE_TEXT)
-    content = content.where(F.col("d") <= F.when(F.col("t").rlike(NUMERIC), MOVE).otherwise(MOVE_TEXT))
-    moved = cut(greedy(content, [*page, "t"], [F.col("d"), F.col("word"), F.col("other")], "word", "other").withColumn("_moved", F.lit(True)))
-    state = lambda word: F.when(F.col("_in"), "MATCHED").when(F.col("service"), "SERVICE").when(F.col("_moved"), "MOVED").when(F.col("t").rlike(SEPARATOR), "SEPARATOR").otherwise(word)
-    was = was.join(moved.select(*page, "word", "_moved"), [*page, "word"], "left").withColumn("state", state("REMOVED"))
-    now = now.join(moved.select(*page, "other", "_moved"), [*page, "other"], "left").withColumn("state", state("ADDED"))
+    state = lambda word: F.when(~F.col("moved"), "MATCHED").when(F.col("service"), "SERVICE").when(F.col("moved"), "MOVED").when(F.col("t").rlike(SEPARATOR), "SEPARATOR").otherwise(word)
+    tell = lambda df, key, word: df.join(paired.select(*by, key, "moved"), [*by, key], "left").withColumn("state", state(word)).drop("frame", "moved")
+    first = was, now
+    was, now = tell(was, "word", "REMOVED"), tell(now, "other", "ADDED")
     was, now = cut(was), cut(now)
+    drop(*first)
 
     def changes(kind: str, left: DataFrame, right: DataFrame, form: str) -> DataFrame:
         """What became what: of unequal words near each other the nearest pairs first."""
